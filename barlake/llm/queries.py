@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, token_counts
 
 QUERIES = {
+    "op6_token_counts": token_counts.op6_token_counts,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
