@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, token_counts
+from . import fingerprints, packing, sharding, token_counts
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_token_counts": token_counts.op6_token_counts,
     "op10_sharding": sharding.op10_sharding,
 }
