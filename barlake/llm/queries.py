@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, packing, sharding, token_counts
+from . import chat, fingerprints, packing, sharding, token_counts
 
 QUERIES = {
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_token_counts": token_counts.op6_token_counts,
