@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, packing, sharding, token_counts
+from . import chat, fingerprints, line_dedup, packing, sharding, token_counts
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+}
