@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, line_dedup, packing, sharding, token_counts
+from . import chat, fingerprints, line_dedup, packing, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
