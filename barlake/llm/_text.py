@@ -14,6 +14,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Letters, digits and all bytes of longer characters: words without punctuation.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _WINDOW = 1 << 21
 _powers: dict[str, np.ndarray] = {}
 
@@ -44,10 +47,10 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, of: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word (A-Z lower-cased, runs of bytes but space and 9-13), its first and past-last byte, and
-    where each text's words begin (n + 1 offsets)."""
-    is_word = _WORD[data]
+    where each text's words begin (n + 1 offsets). of: which bytes belong to words."""
+    is_word = of[data]
     first, last = is_word.copy(), is_word.copy()
     first[1:] &= ~is_word[:-1]
     last[:-1] &= ~is_word[1:]

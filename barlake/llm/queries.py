@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
+from . import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
