@@ -25,7 +25,10 @@ _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Characters in a chunk of a text, states of the transducer and runs in a cache; beyond the last two they are emptied.
 CHUNK = 1 << 16
 STATES = 300_000
-RUNS = 400_000
+RUNS = 500_000
+#: Characters from which on lower-casing before normalisation might give other characters than after it.
+_LATE = re.compile("[\u0130\u0300-\U0010ffff]")
+_STOPS = frozenset(",.;:!?")
 
 
 def vocabulary_path(name: str = VOCAB) -> str:
@@ -34,6 +37,36 @@ def vocabulary_path(name: str = VOCAB) -> str:
     return public_tokenizers.path(name)
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, where that changes nothing but the number of different runs."""
+    return text if _LATE.search(text) else text.lower()
+
+
+def stem_of(run: str) -> str:
+    """A run without its last character, if that is a lone stop after letters: a token of its own."""
+    return run[:-1] if run[-1] in _STOPS and run[:-1].isalpha() else run
+
+
+class Generations:
+    """A bounded map: when it is full, what was used since the last time stays."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str) -> object | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: object) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def runs_of(text: str) -> list[str]:
     if _CONTROLS.search(text):
         return [x for x in _SPACE.split(text) if x]
@@ -151,14 +184,14 @@ class TokenCounter:
 
     def __init__(self, path: str) -> None:
         self.transducer = Transducer(path)
-        self.known: dict[str, int] = {}
+        self.known = Generations(RUNS)
 
     def run_tokens(self, run: str) -> int:
         n = self.known.get(run)
         if n is None:
-            if len(self.known) >= RUNS:
-                self.known.clear()
-            n = self.known[run] = sum(map(self.transducer.tokens, words_of(run)))
+            stem = stem_of(run)
+            n = sum(map(self.transducer.tokens, words_of(run))) if stem == run else self.run_tokens(stem) + 1
+            self.known.put(run, n)
         return n
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
@@ -173,12 +206,10 @@ class TokenCounter:
             return head, None, ""
         tail = "" if _SPACE.match(chunk[-1]) else runs[-1]
         inner = runs[bool(head) : len(runs) - bool(tail)]
-        known = self.known
-        n = 0
-        for run in inner:
-            m = known.get(run)
-            n += self.run_tokens(run) if m is None else m
-        return head, n, tail
+        found = list(map(self.known.new.get, inner))
+        if None in found:
+            found = [self.run_tokens(x) if n is None else n for x, n in zip(inner, found, strict=True)]
+        return head, sum(found), tail
 
     def join(self, a: tuple, b: tuple) -> tuple:
         """The map of two neighbouring chunks; associative."""
@@ -190,6 +221,7 @@ class TokenCounter:
         return a[0], a[1] + b[1] + (self.run_tokens(middle) if middle else 0), b[2]
 
     def part(self, text: str) -> int:
+        text = lowered(text)
         maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         while len(maps) > 1:  # neighbours in pairs, as the up-sweep of a prefix scan
             maps = [self.join(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
@@ -212,6 +244,10 @@ class IdCache:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(WORD_END)]] = True
+        self.stops = {x: vocabulary[x + WORD_END] for x in _STOPS}
         self.reset()
 
     def reset(self) -> None:
@@ -219,34 +255,66 @@ class IdCache:
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint16), 0
 
-    def learn(self, runs: list[str]) -> None:
-        for run, got in zip(runs, self.library.encode_batch(runs, add_special_tokens=False), strict=True):
-            ids, n = got.ids, len(self.index)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if n >= len(self.at):
-                self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.at[n], self.size[n], self.index[run] = self.used, len(ids), n
-            self.used += len(ids)
+    def _keep(self, runs: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(runs) > len(self.at):
+            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[n : n + len(runs)] = size
+        self.at[n : n + len(runs)] = self.used + np.cumsum(size) - size
+        self.index.update(zip(runs, range(n, n + len(runs)), strict=True))
+        self.used += len(ids)
 
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:  # may hold a special string
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
-        runs = runs_of(text)
-        if not runs:
-            return np.zeros(0, np.uint16)
+    def learn(self, runs: list[str]) -> None:
+        """Ask the library for many runs at once; the tokens that end a word tell where each run's ids end."""
+        stems = [x for x in dict.fromkeys(map(stem_of, runs)) if x not in self.index]
+        for i in range(0, len(stems), 1000):
+            part = stems[i : i + 1000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            words = np.array([1 if x.isascii() and x.isalpha() else len(words_of(x)) for x in part])
+            last = np.concatenate([[-1], np.flatnonzero(self.ends[ids])])[np.cumsum(words)]
+            self._keep(part, ids, np.diff(last, prepend=-1))
+        rest = [x for x in runs if x not in self.index]
+        if rest:
+            where = np.array([self.index[x[:-1]] for x in rest])
+            ids, ends = self._gather(where, 1)
+            ids[ends - 1] = [self.stops[x[-1]] for x in rest]
+            self._keep(rest, ids, self.size[where] + 1)
+
+    def _gather(self, where: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs in a row, with `more` places after each (of any content), and where each run's end."""
+        size, at = self.size[where] + more, self.at[where]
+        ends = np.cumsum(size)
+        from_ = np.repeat(at - ends + size, size)
+        from_ += np.arange(ends[-1])
+        return self.pool.take(from_, mode="clip"), ends
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        runs: list[str] = []
+        counts = []
+        for x in texts:
+            own = [] if "<|" in x else runs_of(lowered(x))
+            counts.append(len(own))
+            runs += own
         found = list(map(self.index.get, runs))
         if None in found:
-            if len(self.index) >= RUNS:
+            if len(self.index) >= 2 * RUNS:
                 self.reset()
-            new = [x for x in dict.fromkeys(runs) if x not in self.index]
-            self.learn(new)
+            self.learn([x for x in dict.fromkeys(runs) if x not in self.index])
             found = list(map(self.index.__getitem__, runs))
-        where = np.array(found, np.int64)
-        size, at = self.size[where], self.at[where]
-        ends = np.cumsum(size)
-        return self.pool[np.repeat(at - ends + size, size) + np.arange(ends[-1])]
+        out = [np.zeros(0, np.uint16)] * len(texts)
+        if runs:
+            ids, ends = self._gather(np.array(found))
+            last = np.cumsum(counts)
+            stop = np.where(last > 0, ends[last - 1], 0)
+            out = np.split(ids, stop[:-1])
+        # special strings may be in these
+        return [np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint16) if "<|" in x else got for x, got in zip(texts, out, strict=True)]
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
 _made: dict[tuple[type, str], object] = {}
