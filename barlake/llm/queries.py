@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
+from . import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, pii, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op2_pii_surrogates": pii.op2_pii_surrogates,
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
