@@ -2,5 +2,493 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable, Iterator
+from datetime import datetime
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import timeutil as tu
+from ..operators import clean, frames, master
+from ..session import scratch
+from ..sources import lake, readers
+from . import topics
+from .fixtures import view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Requested range and local day of the topic queries.
+START, END = 20240105, 20240120
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def _lake_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with tick and an instant as datetime."""
+    bars = view(spark, sf_dir, "bars").withColumn("datetime", tu.local_to_utc(F.col("datetime")).cast("timestamp"))
+    return bars.withColumn("tick", F.unix_timestamp("datetime"))
+
+
+def _round(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _naive(df: DataFrame, column: str = "datetime") -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
+
+
+# Topics
+
+@query("""SELECT sid, CAST(datetime AS DATE) AS day, arg_min(open, (datetime, event_id)) AS open, max(high) AS high, min(low) AS low, arg_max(close, (datetime, event_id)) AS close,
+  CAST(sum(volume) AS BIGINT) AS volume, round(sum(amount), 2) AS amount FROM bars GROUP BY 1, 2""")
+def topic_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(topics.roll_up(view(spark, sf_dir, "bars"), F.col("datetime"), ["datetime", "event_id"]), ["amount"], 2)
+
+
+@query("SELECT sid, CAST(datetime AS DATE) AS day, arg_max(close, (datetime, event_id)) AS close FROM bars GROUP BY 1, 2")
+def topic_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.closes(view(spark, sf_dir, "bars"), F.col("datetime"), ["datetime", "event_id"])
+
+
+@query("""SELECT sid, event_id, datetime - INTERVAL 8 HOUR AS datetime, CAST(floor(epoch(datetime)) AS BIGINT) - 28800 AS tick, close
+  FROM bars WHERE datetime >= TIMESTAMP '2024-01-05 00:00:00' AND datetime <= TIMESTAMP '2024-01-20 23:59:59'""")
+def topic_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _lake_bars(spark, sf_dir)
+    return _naive(topics.fetch("tick", bars, START, END, bars.select("sid").distinct()).select("sid", "event_id", "datetime", "tick", "close"))
+
+
+@query("SELECT sid, name, first_trading, delist, merger, ratio FROM asset WHERE sid IN (SELECT sid FROM asset_update)")
+def topic_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.fetch("asset", view(spark, sf_dir, "asset"), 0, 0, view(spark, sf_dir, "asset_update"))
+
+
+@query("SELECT sid, name, first_trading, delist, merger, ratio FROM asset WHERE first_trading BETWEEN 20000105 AND 20000120")
+def topic_asset_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.fetch("asset", view(spark, sf_dir, "asset"), 20000105, 20000120)
+
+
+@query("""SELECT sid, ex_date, register_date, CAST(round(bonus_share * 1000) AS INT) AS bonus_share, CAST(round(transfer * 1000) AS INT) AS transfer, CAST(round(bonus * 1000) AS INT) AS bonus
+  FROM adjustment WHERE ex_date BETWEEN 19950101 AND 19961231""")
+def topic_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.fetch("adjust", view(spark, sf_dir, "adjustment"), 19950101, 19961231)
+
+
+@query("SELECT sid, ex_date, register_date, CAST(round(price * 1000) AS INT) AS price, CAST(round(ratio * 1000) AS INT) AS ratio FROM rightment WHERE ex_date BETWEEN 19950101 AND 19961231")
+def topic_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.fetch("right", view(spark, sf_dir, "rightment"), 19950101, 19961231)
+
+
+# Cleaning
+
+@query("""SELECT event_id, make_timestamp(dates // 2048 + 2004, (dates % 2048) // 100, (dates % 2048) % 100, sub_dates // 60, sub_dates % 60, 0) AS datetime,
+  CAST(epoch(make_timestamp(dates // 2048 + 2004, (dates % 2048) // 100, (dates % 2048) % 100, sub_dates // 60, sub_dates % 60, 0)) AS BIGINT) - 28800 AS tick FROM packed""")
+def packed_date_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.decode_packed(view(spark, sf_dir, "packed")).select("event_id", "datetime", "tick")
+
+
+@query("SELECT event_id, date_trunc('second', datetime) AS datetime, CAST(floor(epoch(datetime)) AS BIGINT) AS tick FROM bars")
+def text_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = view(spark, sf_dir, "bars").select("event_id", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
+    return clean.parse_text_date(text, tick_mode="wallclock")
+
+
+@query("SELECT sid, datetime, CAST(trunc(close * 1000) AS BIGINT) AS close, volume * 1000 AS volume, CAST(trunc(amount * 1000) AS BIGINT) AS amount FROM bars")
+def fixed_point_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.scale(view(spark, sf_dir, "bars").select("sid", "datetime", "close", "volume", "amount"), 1000)
+
+
+@query("SELECT sid, event_id, CAST(trunc(close * 100000) AS BIGINT) AS close, volume * 1000 AS volume, amount FROM bars")
+def fixed_point_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.scale(view(spark, sf_dir, "bars").select("sid", "event_id", "close", "volume", "amount"), {"close": 100000, "volume": 1000})
+
+
+@query("SELECT sid, event_id, CAST(trunc(open) AS BIGINT) AS open, CAST(trunc(high) AS BIGINT) AS high, CAST(trunc(low) AS BIGINT) AS low, CAST(trunc(close) AS BIGINT) AS close, volume, CAST(trunc(amount) AS BIGINT) AS amount FROM bars")
+def cast_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.cast_columns(view(spark, sf_dir, "bars").drop("datetime"))
+
+
+@query("SELECT sid, event_id, datetime - INTERVAL 8 HOUR AS datetime, close FROM bars")
+def normalize_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.normalize_types(_lake_bars(spark, sf_dir).select("sid", "event_id", "datetime", "close"))
+
+
+@query("""SELECT sid, event_id, datetime - INTERVAL 8 HOUR AS datetime, CAST(year(datetime) AS VARCHAR) AS year, 'Q' || CAST(quarter(datetime) AS VARCHAR) AS quarter,
+  strftime(datetime, '%Y%m') AS date FROM bars""")
+def partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = view(spark, sf_dir, "bars").withColumn("sid", F.concat(F.lit("SH."), "sid"))
+    return _naive(clean.partition_keys(marked)).select("sid", "event_id", "datetime", "year", "quarter", "date")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '000001' WHEN 1 THEN '000688' WHEN 2 THEN '399001' ELSE sid END AS sid FROM bars")
+def code_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    coded = F.when(k == 0, "1A0001").when(k == 1, "1B0688").when(k == 2, "2A01").otherwise(F.col("sid"))
+    return clean.remap(view(spark, sf_dir, "bars").select("event_id", coded.alias("sid")), "sid", clean.CODES)
+
+
+@query("SELECT sid, event_id, CASE WHEN close IS NULL OR isnan(close) THEN 0 ELSE close END AS close FROM dirty_bars")
+def fill_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.fill_na(view(spark, sf_dir, "dirty_bars"), 0, ("event_id",))
+
+
+def _fill_query(how: str, sql: str) -> None:
+    known = "CASE WHEN close IS NOT NULL AND NOT isnan(close) AND NOT isinf(close) THEN close END"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(clean.fill_inf(view(spark, sf_dir, "dirty_bars"), how, ["close"]), ["close"])
+
+    run.__name__ = f"fill_inf_{how}"
+    query(f"SELECT sid, event_id, round(coalesce(c, {sql}(c) OVER (PARTITION BY sid)), 6) AS close FROM (SELECT sid, event_id, {known} AS c FROM dirty_bars)")(run)
+
+
+for _how, _sql in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"), ("std", "stddev_pop")):
+    _fill_query(_how, _sql)
+
+
+@query("SELECT sid, event_id, close FROM dirty_bars WHERE close IS NOT NULL AND NOT isnan(close)")
+def drop_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.drop_na(view(spark, sf_dir, "dirty_bars"))
+
+
+@query("""SELECT sid, event_id, CASE WHEN regexp_matches(sid, '^(6|0|3)[0-9]{5}') THEN 'stock' WHEN regexp_matches(sid, '^(51|15|16)[0-9]{4}') THEN 'fund' ELSE 'benchmark' END AS type
+  FROM bars WHERE regexp_matches(sid, '^(6|0|3)[0-9]{5}|^(51|15|16)[0-9]{4}|^(1A0001|1B0688|2A01|399006)')""")
+def classify_sid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.classify(view(spark, sf_dir, "bars").select("sid", "event_id"))
+
+
+@query("SELECT event_id, sid FROM bars")
+def sid_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("file:/vendor/day/sh"), "sid", F.lit(".01"))
+    return view(spark, sf_dir, "bars").select("event_id", readers.file_sid(path).alias("sid"))
+
+
+@query("SELECT DISTINCT sid, volume FROM bars")
+def dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "bars").select("sid", "volume").dropDuplicates()
+
+
+@query("SELECT sid, volume, event_id, close FROM bars QUALIFY row_number() OVER (PARTITION BY sid, volume ORDER BY event_id) = 1")
+def dedup_subset_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.dedup_first(view(spark, sf_dir, "bars").select("sid", "volume", "event_id", "close"), ["sid", "volume"], ["event_id"])
+
+
+# Dates and instants
+
+_S = "CAST(epoch(ts) AS BIGINT)"
+
+
+@query(f"SELECT event_id, year(ts + INTERVAL 8 HOUR) AS y, month(ts + INTERVAL 8 HOUR) AS m, day(ts + INTERVAL 8 HOUR) AS d FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+def flex_date_to_ymd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.element_at(F.array(*(F.lit(x) for x in (1, 1000, 1000000, 1000000000))), (F.col("event_id") % 4 + 1).cast("int"))
+    value = F.unix_timestamp(F.col("ts").cast("timestamp")) * unit
+    day = tu.flex_date(value)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.year(day).cast("long").alias("y"), F.month(day).cast("long").alias("m"), F.dayofmonth(day).cast("long").alias("d"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+08:00' AS lower_bound, strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59+08:00' AS upper_bound FROM orders")
+def flex_date_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.date_format("o_orderdate", "yyyyMMdd").cast("long")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", tu.flex_bound_text(value).alias("lower_bound"), tu.flex_bound_text(value, True).alias("upper_bound"))
+
+
+@query("""SELECT strftime(m, '%Y') AS year, 'Q' || CAST(quarter(m) AS VARCHAR) AS quarter, strftime(m, '%Y%m') AS date, count(o_orderkey) AS n_orders
+  FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)
+  LEFT JOIN orders ON date_trunc('month', o_orderdate) = m GROUP BY 1, 2, 3""")
+def month_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.trunc("o_orderdate", "MM").alias("m"))
+    span = orders.agg(F.min("m").alias("a"), F.max("m").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    counts = orders.groupBy("m").agg(F.count("*").alias("n"))
+    return span.join(counts, "m", "left").select(F.date_format("m", "yyyy").alias("year"), F.concat(F.lit("Q"), F.quarter("m").cast("string")).alias("quarter"), F.date_format("m", "yyyyMM").alias("date"), F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate + INTERVAL 12 HOUR ELSE TIMESTAMP '2001-09-10 00:00:00' + to_days(CAST(o_orderkey % 5000 AS INT)) END AS at FROM orders""")
+def num_to_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, base = F.col("o_orderkey"), F.unix_timestamp(F.lit("2001-09-10 00:00:00"))
+    n = F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd").cast("double")).when(k % 3 == 1, F.datediff("o_orderdate", F.to_date(F.lit("0001-01-01"))) + 1.5).otherwise((base + k % 5000 * 86400).cast("double"))
+    return orders.select("o_orderkey", tu.num_to_datetime(n).alias("at"))
+
+
+@query("SELECT event_id, round(date_diff('day', DATE '0001-01-01', CAST(ts AS DATE)) + 1 + (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 86400.0, 9) AS num FROM events")
+def datetime_to_num(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(tu.datetime_to_num(F.col("ts")), 9).alias("num"))
+
+
+@query("SELECT event_id, CAST(strftime(ts + INTERVAL 8 HOUR, '%Y%m%d') AS INT) AS day FROM events")
+def epoch_to_intdate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tu.epoch_to_intdate(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("day"))
+
+
+@query("SELECT o_orderkey, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) - 28800 AS epoch FROM orders")
+def intdate_to_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", tu.intdate_to_epoch(F.date_format("o_orderdate", "yyyyMMdd").cast("int")).alias("epoch"))
+
+
+@query("""SELECT event_id, CAST(floor((floor(epoch(ts)) + 28800) / 86400) AS BIGINT) * 86400 - 28800 + 34200 AS opens,
+  CAST(floor((floor(epoch(ts)) + 28800) / 86400) AS BIGINT) * 86400 - 28800 + 54000 AS closes FROM events""")
+def market_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epoch = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tu.session_bound(epoch, tu.OPEN).alias("opens"), tu.session_bound(epoch, tu.CLOSE).alias("closes"))
+
+
+@query("SELECT event_id, ts - INTERVAL 8 HOUR AS utc FROM events")
+def ensure_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _naive(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tu.ensure_utc(F.col("ts"), tu.ZONE).alias("utc")), "utc")
+
+
+@query("""SELECT CAST(year(o_orderdate) AS VARCHAR) || 'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS label, CAST(epoch(date_trunc('quarter', o_orderdate)) AS BIGINT) - 28800 AS from_epoch, count(*) AS n_orders FROM orders GROUP BY 1, 2""")
+def quarter_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin = F.unix_timestamp(F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp"))) - tu.SHIFT
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(tu.quarter_label(F.col("o_orderdate")).alias("label"), begin.alias("from_epoch")).agg(F.count("*").alias("n_orders"))
+
+
+# Filters
+
+@query("SELECT sid, event_id, close FROM bars WHERE sid IN (SELECT sid FROM asset_update)")
+def sid_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.with_sids(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), view(spark, sf_dir, "asset_update"))
+
+
+@query("SELECT sid, event_id, close FROM bars WHERE sid IN ('600000', '000001', '510002', '150003', '600004', '000005')")
+def sid_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.with_sids(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), ["600000", "000001", "510002", "150003", "600004", "000005"])
+
+
+@query("SELECT sid, ex_date, bonus FROM adjustment WHERE ex_date BETWEEN 19950101 AND 19961231")
+def date_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "adjustment").where(F.col("ex_date").between(19950101, 19961231)).select("sid", "ex_date", "bonus")
+
+
+@query("SELECT sid, event_id FROM bars WHERE datetime BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'")
+def instant_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lake_bars(spark, sf_dir).where(lake.in_range(F.col("datetime"), START, END)).select("sid", "event_id")
+
+
+# Lake
+
+LAKE_SCHEMA = "close double, datetime timestamp, event_id long, tick long, volume long, type string, year string, quarter string, sid string, date string"
+
+
+def _write(spark: SparkSession, sf_dir: str, name: str, **how: object) -> str:
+    """A lake of the order fixture's kind: few partitions for each month of bars."""
+    root = scratch(spark, name)
+    lake.write_lake(_marked(spark, sf_dir), root, **how)
+    return root
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with partition keys. Ids are put together by their last digit to keep the number of files down."""
+    bars = view(spark, sf_dir, "bars").withColumn("sid", F.concat(F.lit("60000"), F.substring("sid", 6, 1)))
+    bars = bars.withColumn("tick", F.unix_timestamp(tu.local_to_utc(F.col("datetime")).cast("timestamp")))
+    return clean.classify(clean.partition_keys(bars)).select("close", "datetime", "event_id", "tick", "volume", *lake.KEYS)
+
+
+_LAKE_SQL = """SELECT close, datetime - INTERVAL 8 HOUR AS datetime, event_id, CAST(floor(epoch(datetime)) AS BIGINT) - 28800 AS tick, volume, 'stock' AS type, strftime(datetime, '%Y') AS year,
+  'Q' || CAST(quarter(datetime) AS VARCHAR) AS quarter, '60000' || substr(sid, 6, 1) AS sid, strftime(datetime, '%Y%m') AS date FROM bars"""
+
+
+@query(_LAKE_SQL.replace("datetime - INTERVAL 8 HOUR AS datetime", "date_trunc('millisecond', datetime - INTERVAL 8 HOUR) AS datetime"))
+def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _write(spark, sf_dir, "roundtrip")
+    lake.write_lake(_marked(spark, sf_dir), root)  # a second full write replaces what it touches
+    return _naive(lake.scan_lake(spark, root, LAKE_SCHEMA))
+
+
+@query(f"SELECT sid, date, 2 * count(*) AS n_rows FROM ({_LAKE_SQL}) GROUP BY 1, 2".replace("FROM bars)", "FROM bars )"))
+def lake_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _write(spark, sf_dir, "append")
+    lake.write_lake(_marked(spark, sf_dir), root, append=True)
+    return lake.scan_lake(spark, root, LAKE_SCHEMA).groupBy("sid", "date").agg(F.count("*").alias("n_rows"))
+
+
+@query(f"SELECT event_id, sid, date, close FROM ({_LAKE_SQL}) WHERE sid IN ('600001', '600003', '600007') AND datetime BETWEEN TIMESTAMP '2024-01-04 16:00:00' AND TIMESTAMP '2024-01-20 15:59:59'")
+def lake_scan_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.scan_lake(spark, _write(spark, sf_dir, "pruned"), LAKE_SCHEMA, ["600001", "600003", "600007"], START, END).select("event_id", "sid", "date", "close")
+
+
+@query(f"SELECT event_id, sid, tick - 28800 AS tick, date_trunc('millisecond', datetime) - INTERVAL 8 HOUR AS datetime FROM ({_LAKE_SQL})")
+def lake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = scratch(spark, "repaired")
+    lake.repair_lake(spark, _write(spark, sf_dir, "repair"), to, LAKE_SCHEMA)
+    return _naive(lake.scan_lake(spark, to, LAKE_SCHEMA)).select("event_id", "sid", "tick", "datetime")
+
+
+@query(f"SELECT type, year, quarter, sid, date, count(*) AS n_rows FROM ({_LAKE_SQL}) GROUP BY ALL")
+def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.partitions(spark, _write(spark, sf_dir, "counts"), LAKE_SCHEMA)
+
+
+@query("""SELECT sid, tick, arg_max(close, priority) AS close FROM (SELECT *, 0 AS priority FROM target_bars UNION ALL SELECT *, 1 FROM staging_bars) GROUP BY 1, 2""")
+def compact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target, staging = scratch(spark, "target"), scratch(spark, "staging")
+    part = lambda df: df.withColumn("part", F.substring("sid", 6, 1))
+    schema = "close double, sid string, tick long, part string"
+    lake.write_lake(part(view(spark, sf_dir, "target_bars")), target, keys=["part"])
+    lake.write_lake(part(view(spark, sf_dir, "staging_bars")), staging, keys=["part"])
+    new = spark.read.schema(schema).parquet(staging)
+    old = spark.read.schema(schema).parquet(target).join(new.select("part").distinct(), "part", "left_semi").select(new.columns)
+    beside = scratch(spark, "beside")
+    lake.write_lake(lake.merge_bars(old, new, ["part", "sid"]), beside, keys=["part"])
+    lake.write_lake(spark.read.schema(schema).parquet(beside), target, keys=["part"])
+    return spark.read.schema(schema).parquet(target).select("sid", "tick", "close")
+
+
+# Security master
+
+@query("SELECT sid, name, first_trading, delist, merger, CASE WHEN CAST(sid AS BIGINT) % 13 <> 0 THEN ratio END AS ratio FROM asset")
+def asset_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = view(spark, sf_dir, "asset").withColumn("ratio", F.when(F.col("sid").cast("long") % 13 == 0, F.lit(float("nan")).cast("float")).otherwise(F.col("ratio")))
+    return master.cleaned(gaps.union(gaps))
+
+
+@query("SELECT sid, name, first_trading, delist, merger, ratio FROM asset UNION ALL SELECT sid, NULL, NULL, delist, NULL, NULL FROM asset_update")
+def asset_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.append(view(spark, sf_dir, "asset"), view(spark, sf_dir, "asset_update").withColumn("unknown", F.lit(1)))
+
+
+@query("SELECT * FROM asset WHERE sid NOT IN (SELECT sid FROM asset_update) UNION ALL SELECT sid, NULL, NULL, delist, NULL, NULL FROM asset_update")
+def asset_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.upsert(view(spark, sf_dir, "asset"), view(spark, sf_dir, "asset_update"))
+
+
+@query("SELECT a.sid, name, first_trading, coalesce(u.delist, a.delist) AS delist, merger, ratio FROM asset a LEFT JOIN asset_update u ON a.sid = u.sid")
+def asset_bulk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.bulk_update(view(spark, sf_dir, "asset"), view(spark, sf_dir, "asset_update"), "delist")
+
+
+@query("SELECT * FROM asset WHERE sid NOT IN (SELECT sid FROM asset_update)")
+def asset_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.delete(view(spark, sf_dir, "asset"), view(spark, sf_dir, "asset_update"))
+
+
+@query("SELECT a.sid, a.name, u.delist FROM asset a LEFT JOIN asset_update u ON a.sid = u.sid")
+def asset_left_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.fill_from(view(spark, sf_dir, "asset").select("sid", "name"), view(spark, sf_dir, "asset_update"), "delist")
+
+
+@query("SELECT sid, delist FROM asset_update WHERE sid NOT IN (SELECT sid FROM asset WHERE delist IS NOT NULL)")
+def asset_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.delete(view(spark, sf_dir, "asset_update"), view(spark, sf_dir, "asset").where("delist is not null"))
+
+
+@query("SELECT sid, count(*) AS n FROM adjustment GROUP BY 1 HAVING count(*) > 1")
+def duplicate_sids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.duplicates(view(spark, sf_dir, "adjustment"))
+
+
+# Files
+
+def _text_files(df: DataFrame, column: str, root: str) -> str:
+    df.select(column).write.text(root)
+    return root
+
+
+@query("""SELECT DISTINCT lpad(CAST(event_id // 1000 AS VARCHAR), 6, '0') AS sid, CAST(dates AS INT) AS dates, CAST(sub_dates AS SMALLINT) AS sub_dates, event_id % 1000 AS open, CAST(event_id % 500 AS INT) AS volume FROM packed""")
+def decode_binary_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.decode_bars(_packed_files(view(spark, sf_dir, "packed"))).select("sid", "dates", "sub_dates", "open", "volume")
+
+
+def _packed_files(packed: DataFrame) -> DataFrame:
+    """Vendor files (path, content) of at most 1000 records of 32 bytes."""
+
+    def little(value: Column, size: int) -> Column:
+        digits = F.lpad(F.hex(value.cast("long").bitwiseAND(F.lit(256**size - 1))), 2 * size, "0")
+        return F.concat(*(F.unhex(F.substring(digits, 2 * i + 1, 2)) for i in reversed(range(size))))
+
+    price, zero = F.col("event_id") % 1000, F.lit(0)
+    record = F.concat(little(F.col("dates"), 2), little(F.col("sub_dates"), 2), *[little(price, 4)] * 4, little(zero, 4), little(F.col("event_id") % 500, 4), little(zero, 4))
+    path = F.concat(F.lit("file:/vendor/sz"), F.lpad(F.floor(F.col("event_id") / 1000).cast("string"), 6, "0"), F.lit(".01"))
+    rows = packed.select(path.alias("path"), F.hex(record).alias("record"))
+    return rows.groupBy("path").agg(F.unhex(F.array_join(F.collect_list("record"), "")).alias("content"))
+
+
+@query("SELECT DISTINCT sid, event_id, close FROM bars")
+def csv_rename_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "csv")
+    bars = view(spark, sf_dir, "bars").select(F.col("sid").alias("代码"), "event_id", F.col("close").alias("收盘价"))
+    bars.union(bars).write.option("header", "true").csv(root)
+    return readers.read_csv_bars(spark, root, {"代码": "sid", "收盘价": "close"}, "`代码` string, event_id long, `收盘价` double")
+
+
+@query("SELECT sid || '|' || CAST(event_id AS VARCHAR) AS line FROM bars")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = view(spark, sf_dir, "bars").select(F.concat_ws("|", "sid", F.col("event_id").cast("string")).alias("value"))
+    return readers.read_lines(spark, _text_files(bars, "value", scratch(spark, "text")))
+
+
+def _partition_files(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch(spark, "files")
+    bars = view(spark, sf_dir, "bars").select(F.substring("sid", 6, 1).alias("digit"), F.col("sid").alias("value"))
+    bars.repartition("digit").write.partitionBy("digit").text(root)
+    return root
+
+
+_DIGITS = "SELECT DISTINCT substr(sid, 6, 1) AS digit FROM bars"
+
+
+@query(_DIGITS)
+def file_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.discover(spark, _partition_files(spark, sf_dir), ".txt", "^part-")
+    return found.select(F.regexp_extract("path", "digit=([0-9])", 1).alias("digit")).distinct()
+
+
+@query("SELECT DISTINCT sid FROM bars WHERE regexp_matches(sid, '^6[0-9]{5}|^0[0-9]{5}')")
+def file_kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = view(spark, sf_dir, "bars").select(F.concat(F.when(F.col("sid").startswith("0"), "sz").otherwise("sh"), "sid", F.lit(".01")).alias("name")).distinct()
+    return readers.of_kind(names, "bin_stock").select(F.substring("name", 3, 6).alias("sid"))
+
+
+@query(_DIGITS)
+def modified_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.discover(spark, _partition_files(spark, sf_dir), ".txt", since=datetime(2000, 1, 1))
+    return found.select(F.regexp_extract("path", "digit=([0-9])", 1).alias("digit")).distinct()
+
+
+# Export
+
+@query("""SELECT day, event_type, run, min(event_id) AS run_start, max(event_id) AS run_end, count(*) AS n_rows FROM (
+  SELECT *, CAST(sum(new) OVER (PARTITION BY day ORDER BY event_id) AS BIGINT) AS run FROM (SELECT CAST(ts AS DATE) AS day, event_type, event_id,
+  CASE WHEN lag(event_type) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL""")
+def sid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("date").alias("day"), "event_type", "event_id")
+    return frames.runs(events, "event_type", "event_id", "day")
+
+
+@query("SELECT sid, event_id, close, CAST(floor((row_number() OVER (PARTITION BY sid ORDER BY event_id) - 1) / 16) AS BIGINT) AS frame FROM bars")
+def frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.chunks(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), "sid", "event_id", 16)
+
+
+@query("SELECT sid, frame, count(*) AS n_rows FROM (SELECT sid, CAST(floor((row_number() OVER (PARTITION BY sid ORDER BY event_id) - 1) / 1024) AS BIGINT) AS frame FROM bars) GROUP BY 1, 2")
+def frame_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.export(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), "tick", "sid", "event_id").select("sid", "frame", "n_rows")
+
+
+@query("SELECT event_id // 1000 AS file, event_id AS idx, CAST(event_id % 1000 AS FLOAT) AS val FROM bars WHERE event_id BETWEEN 1503 AND 8010")
+def feature_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    volumes = view(spark, sf_dir, "bars").select("event_id", "volume")
+    found = readers.decode_features(_feature_files(volumes), 1503, 8010)
+    return found.select(F.regexp_extract("path", "([0-9]+)\\.bin", 1).cast("long").alias("file"), F.col("index").alias("idx"), F.col("value").alias("val"))
+
+
+def _feature_files(volumes: DataFrame) -> DataFrame:
+    """Feature files (path, content) of at most 1000 volumes by event id."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [np.array([file * 1000, *(x["volume"] for x in rows)], "<f4").tobytes() for file, rows in zip(batch["file"].to_pylist(), batch["v"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"file:/features/{x}.bin" for x in batch["file"].to_pylist()]), pa.array(content, pa.binary())], ["path", "content"])
+
+    held = volumes.groupBy(F.floor(F.col("event_id") / 1000).alias("file")).agg(F.sort_array(F.collect_list(F.struct("event_id", "volume"))).alias("v"))
+    return held.mapInArrow(encode, "path string, content binary")
