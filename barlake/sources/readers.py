@@ -115,6 +115,6 @@ def decode_features(files: DataFrame, start: int | None = None, end: int | None
                     continue
                 index = int(data[0]) + np.arange(len(data) - 1)
                 keep = (index >= (index[0] if start is None else start)) & (index <= (index[-1] if end is None else end))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * int(keep.sum())), pa.array(index[keep], pa.int64()), pa.array(data[1:][keep], pa.float32())], ["path", "index", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * int(keep.sum()), pa.string()), pa.array(index[keep], pa.int64()), pa.array(data[1:][keep], pa.float32())], ["path", "index", "value"])
 
     return files.select("path", "content").mapInArrow(decode, "path string, index long, value float")
