@@ -29,7 +29,7 @@ def file_sid(path: Column) -> Column:
 def discover(spark: SparkSession, root: str, suffix: str = "", pattern: str = "", since: datetime | None = None) -> DataFrame:
     """path, name, size and modification time of the files under a folder (or one file); contents aren't read.
 
-    since: only files modified later. A missing folder raises.
+    since: only files modified later. A missing folder raises; Spark leaves empty files out.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if suffix:
