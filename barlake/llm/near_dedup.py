@@ -4,7 +4,8 @@ Every distinct shingle set has a signature of `COORDS` minima. Each (coordinate,
 of sets as similar as the threshold agrees in at least `MATCHES` coordinates (but for about one in a million), so it meets
 in one of the `PREFIX` rarest entries of both signatures; the frequent ones are never joined. Links are confirmed on full
 sets. In a list each member first meets one leader only; lists that then hold one class are done, and only members of
-different classes are compared further, in blocks, less those whose own shingles rule every partner out.
+different classes are compared further, in blocks. The members of large lists are posted once more under their rarest
+shingles, where those whose own shingles rule a partner out are passed over.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,61 +126,84 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(total) if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def posting_lists(nodes: DataFrame) -> DataFrame:
-    """key, node, n, shared: each signature's entries among its PREFIX rarest that another signature has, too."""
-    posted = nodes.select("node", "n", F.explode("signature").alias("key"))
+def posting_lists(posted: DataFrame, total: Column, prefix: Column) -> DataFrame:
+    """key, node, n, before and shared: each node's entries among its `prefix` rarest (of `total`) that another node has,
+    too; before: how many of its entries are rarer. posted: node, n, key, distinct."""
     common = posted.groupBy("key").count().where("count > 1")
     entries = posted.join(common, "key")
     held = entries.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("entries"))
-    room = F.lit(PREFIX - COORDS) + F.size("entries")  # entries that no other signature has come first
-    held = held.where(room > 0).select("node", "n", F.size("entries").alias("shared"), F.slice("entries", F.lit(1), room).alias("entries"))
-    return held.select("node", "n", "shared", F.explode(F.col("entries.key")).alias("key"))
+    held = held.withColumn("own", total - F.size("entries")).withColumn("room", prefix - F.col("own"))  # its own come first
+    held = held.where("room > 0").select("node", "n", "own", F.size("entries").alias("shared"), F.slice("entries", F.lit(1), F.col("room").cast("int")).alias("entries"))
+    held = held.select("node", "n", "own", "shared", F.posexplode(F.col("entries.key")).alias("at", "key"))
+    return held.select("key", "node", "n", (F.col("own") + F.col("at")).cast("long").alias("before"), "shared")
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
     """For each node the leader that it meets in most lists. A list's leader is its most central member."""
-    leaders = lists.groupBy("key").agg(F.max(F.struct(F.col("shared"), F.xxhash64("node").alias("h"), F.col("node").alias("leader")))["leader"].alias("leader"))
-    met = lists.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("met"), F.max("shared").alias("shared"))
+    central = F.struct((F.col("shared") - F.col("before")).alias("c"), F.xxhash64("node").alias("h"), F.col("node").alias("leader"))
+    leaders = lists.groupBy("key").agg(F.max(central)["leader"].alias("leader"))
+    met = lists.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("met"))
     return met.groupBy("node").agg(F.max(F.struct("met", F.xxhash64("leader"), "leader"))["leader"].alias("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
-def _own_shingles(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """node and own: how many shingles of a document no other of the ids has."""
+def shingle_rows(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """node, n and key: the distinct shingles of the documents in ids, and how many each has."""
     kind = ids.schema["node"].dataType
-    schema = T.StructType([T.StructField("node", kind), T.StructField("shingle", T.LongType())])
+    schema = T.StructType([T.StructField("node", kind), T.StructField("n", T.LongType()), T.StructField("key", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 values, at = sets_of(part["text"], k)
-                rows = pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at)))
-                yield pa.RecordBatch.from_arrays([part["node"].take(rows), pa.array(values.view(np.int64))], schema.names)
+                n = np.diff(at)
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([part["node"].take(rows), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], schema.names)
+
+    return _some(docs, ids, key, text).mapInArrow(run, schema).distinct()
+
 
-    found = _some(docs, ids, key, text).mapInArrow(run, schema)
-    single = found.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.count("*").alias("n")).where("n = 1")
-    return single.groupBy("node").agg(F.count("*").alias("own"))
+def several_classes(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of lists that hold several classes, with comp (class) and size (of the list)."""
+    members = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
+    return members.join(mixed.select("key", "size"), "key")
+
+
+def could_meet(members: DataFrame, percent: int) -> DataFrame:
+    """Members of lists, less those that no member of another class in the list could be linked with; size is counted
+    anew. In a list most members are of one class, which has to look at the few others only: these are judged first, by
+    the extremes of the whole list, and the large class by the extremes of the others that are left."""
+    slack = ((100 + percent) * (F.col("n") - F.col("before")) - percent * F.col("n")) / percent  # largest partner
+    rows = members.drop("size").withColumn("slack", slack)
+    classes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("slack").alias("high"))
+    lists = classes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = cut(rows.join(lists, "key"))
+    fits = (F.col("low") <= F.col("slack")) & (F.col("high") >= F.col("n"))
+    others = rows.where((F.col("comp") != F.col("main")) & fits).drop("low", "high", "main")
+    bounds = others.groupBy("key").agg(F.min("n").alias("low"), F.max("slack").alias("high"))
+    mains = rows.where(F.col("comp") == F.col("main")).drop("low", "high", "main").join(bounds, "key").where(fits).drop("low", "high")
+    left = cut(others.unionByName(mains))
+    return left.join(left.groupBy("key").agg(F.count("*").alias("size")), "key").drop("slack")
 
 
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a list (key, node, comp, n, own) that have different classes and that sizes and own
-    shingles don't rule out. Large lists are cut into blocks, and each pair of blocks is a group of its own."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    """Pairs (a, b) of members of a list (key, node, comp, n, before, size) that have different classes and that could
+    be linked if what stands before this list in either isn't shared: a linked pair passes in its first list. Large lists are cut into blocks, and each pair of blocks is a group of its own."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    at = members.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    at = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = at.select("key", "node", "comp", "n", "own", "block", other.alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "own")
+    rows = at.select("key", "node", "comp", "n", "before", "block", other.alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "before")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     kind = members.schema["node"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def pairs(group: pa.RecordBatch) -> tuple[list, list]:
-        names, comp, n, own, block = (group[x].to_pylist() if x == "node" else group[x].to_numpy() for x in ("node", "comp", "n", "own", "block"))
+        names, comp, n, before, block = (group[x].to_pylist() if x == "node" else group[x].to_numpy() for x in ("node", "comp", "n", "before", "block"))
         a, b = np.triu_indices(len(n), 1)
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         ok = (comp[a] != comp[b]) & ((block[a] != block[b]) if i != j else True)
-        # at most what both could share: not their own shingles, and no more than the other has
-        most = np.minimum(np.minimum(n - own, n)[a], np.minimum(n - own, n)[b])
+        most = np.minimum((n - before)[a], (n - before)[b])
         ok &= 100 * most >= percent * (n[a] + n[b] - most)
         found = np.flatnonzero(ok)
         return [names[x] for x in a[found]], [names[x] for x in b[found]]
@@ -227,20 +251,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes = cut(rows.where("doc is not null and set_id is not null").groupBy("set_id").agg(F.min("doc").alias("node")))
     nodes = rows.join(classes.select("set_id", F.col("node").alias("doc")), ["set_id", "doc"], "left_semi")
     nodes = cut(nodes.select(F.col("doc").alias("node"), F.col("n_shingles").alias("n"), "signature"))
-    lists = cut(posting_lists(nodes))
+    posted = nodes.select("node", "n", F.explode("signature").alias("key"))
+    lists = cut(posting_lists(posted, F.lit(COORDS), F.lit(PREFIX)))
     edges = cut(confirmed(leader_pairs(lists), docs, key, text, k, percent))
-    comps = components(edges)
-    # What is left: lists that hold several classes.
-    members = lists.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
-    members = cut(members.join(mixed.select("key", "size"), "key"))
+    # Lists that hold several classes: small ones are compared as they are. For the members of large ones the shingles
+    # themselves are posted, with a prefix that is exact for the threshold, and leaders are met once more.
+    members = cut(several_classes(lists, components(edges)))
+    columns = ["key", "node", "comp", "n", "before", "size"]
+    few = members.where(F.col("size") <= BLOCK).withColumn("before", F.lit(0).cast("long")).select(columns)
     large = cut(members.where(F.col("size") > BLOCK).select("node").distinct())
-    own = _own_shingles(docs, large, key, text, k)
-    small = members.where(F.col("size") <= BLOCK).withColumn("own", F.lit(0).cast("long"))
-    rest = members.where(F.col("size") > BLOCK).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
-    rest = rest.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    columns = ["key", "node", "comp", "n", "own"]
-    met = block_pairs(small.select(columns), percent).union(block_pairs(cut(rest.select(columns)), percent)).distinct()
+    met = block_pairs(few, percent)
+    if large.limit(1).count():
+        prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        lists = cut(posting_lists(shingle_rows(docs, large, key, text, k), F.col("n"), prefix))
+        pairs = leader_pairs(lists)
+        edges = cut(edges.union(confirmed(pairs, docs, key, text, k, percent)).distinct())
+        met = met.union(block_pairs(could_meet(several_classes(lists, components(edges)), percent).select(columns), percent)).distinct()
     sides = [nodes.select(F.col("node").alias(x), F.col("signature").alias(f"signature_{x}")) for x in ("a", "b")]
     alike = cut(met).join(sides[0], "a").join(sides[1], "b").where(F.size(F.array_intersect("signature_a", "signature_b")) >= MATCHES)
     edges = edges.union(confirmed(alike, docs, key, text, k, percent))
