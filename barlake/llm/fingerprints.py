@@ -153,9 +153,9 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for part in slices(batch, "whole_text", 1 << 20):
                 both = pa.Table.from_batches([held, part] if held is not None else [part]).combine_chunks()
-                texts, buckets = both["whole_text"].to_pylist(), both[bucket].to_pylist()
+                texts, buckets, guests = (both[x].to_pylist() for x in ("whole_text", bucket, guest))
                 held = part.slice(part.num_rows - 1)
-                keep = [i for i in range(len(texts) - 1) if buckets[i] == buckets[i + 1]]
+                keep = [i for i in range(len(texts) - 1) if buckets[i] == buckets[i + 1] and not guests[i]]
                 if not keep:
                     continue
                 third = [len(x) // 3 for x in texts]
