@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,13 +17,31 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: What a Python worker keeps between tasks: one entry, the last operator's.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object] | None = None) -> object:
+    """The worker's entry of that name, made if it isn't there; entries of other names are let go first."""
+    if name not in _kept:
+        _kept.clear()
+        if make:
+            _kept[name] = make()
+    return _kept.get(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once for each context (a real cluster has no copy of it)."""
+    """Send this package's source to the executors, once for each context (a real cluster has no copy of it).
+
+    Where the session has Spark's default for rows of an Arrow batch, batches get fewer: whole texts are long.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if getattr(sc, "_barlake_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -74,7 +92,7 @@ def numbered(df: DataFrame, group: str, ties: list[Column], buckets: int, out: s
     return df.withColumn(out, F.col(out) + F.col(first)).drop(part, first, f"{group}_g", f"{part}_g")
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice has few bytes of text (or one row), for arrays that stay in cache."""
     col = batch.column(batch.schema.get_field_index(column))
     size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)

@@ -14,6 +14,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from ._util import kept
+
 VOCAB = "word_bpe_49k.json"
 #: Fixed values of the vocabulary file: its pattern of words, special strings and word-end mark.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -298,12 +300,14 @@ class IdCache:
             own = [] if "<|" in x else runs_of(lowered(x))
             counts.append(len(own))
             runs += own
+        if len(self.index) >= 3 * RUNS:
+            self.reset()
         found = list(map(self.index.get, runs))
-        if None in found:
-            if len(self.index) >= 2 * RUNS:
-                self.reset()
-            self.learn([x for x in dict.fromkeys(runs) if x not in self.index])
-            found = list(map(self.index.__getitem__, runs))
+        new = [i for i, n in enumerate(found) if n is None]
+        if new:
+            self.learn(list({runs[i]: None for i in new}))
+            for i in new:
+                found[i] = self.index[runs[i]]
         out = [np.zeros(0, np.uint16)] * len(texts)
         if runs:
             ids, ends = self._gather(np.array(found))
@@ -317,11 +321,6 @@ class IdCache:
         return self.many([text])[0]
 
 
-_made: dict[tuple[type, str], object] = {}
-
-
 def shared(kind: type, path: str):  # noqa: ANN201
-    """One per Python worker."""
-    if (kind, path) not in _made:
-        _made[kind, path] = kind(path)
-    return _made[kind, path]
+    """One per Python worker, until another operator runs there."""
+    return kept(f"{kind.__name__} {path}", lambda: kind(path))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import distinct, flat, shingles, word_hashes
-from ._util import BROADCAST_BYTES, cut, free_name, ship, slices, table
+from ._util import BROADCAST_BYTES, cut, free_name, kept, ship, slices, table
 
 COORDS, MATCHES = 48, 24
 PREFIX = COORDS - MATCHES + 1
@@ -44,6 +44,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc", kind), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("signature", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near_dedup")
         for batch in batches:
             for part in slices(batch, "text"):
                 values, at = sets_of(part["text"], k)

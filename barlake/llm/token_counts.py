@@ -29,7 +29,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared(TokenCounter, vocabulary_path(vocabulary))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 n_bytes = [len(x.encode()) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(list(map(counter.tokens, texts)), pa.int64())], [key, "n_bytes", "n_tokens"])
