@@ -30,6 +30,7 @@ SYLLABLES = {"latin": ["ba", "den", "gor", "hal", "ken", "lin", "mar", "nel", "p
 
 _honor = "|".join(x for group in HONORIFICS.values() for x in group)
 _given = "|".join(x for group in GIVEN.values() for x in group)
+_lead = r"(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
 _name = r"\p{Lu}[\p{L}'’-]++"
 #: Patterns by type, in order of precedence. Each begins where no entity of its kind can have begun before.
 PATTERNS = {
@@ -39,10 +40,12 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+.=-]{8,}",
+    "secret": rf"\bAKIA[0-9A-Z]{{16}}\b|\b{_lead}[A-Za-z0-9_/+.=-]{{8,}}",
     "name": rf"\b(?:{_honor})\.? {_name}(?: {_name})?|\b(?:{_given}) {_name}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What an entity may begin with, looked at first: most places of a text fail there.
+FIRST = {"iban": "[A-Z]", "card": "[0-9]", "ip": "[0-9]", "phone": "[0-9+(]", "ssn": "[0-9]", "secret": "[AaPpSsTt]", "name": r"\p{Lu}"}
+ANY = "|".join(f"(?:(?={FIRST[k]})(?:{p}))" if k in FIRST else f"(?:{p})" for k, p in PATTERNS.items())
 #: Whole matches are told apart by these, in this order (what stands around a match is gone then).
 KINDS = {"email": "@", "ip": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$", "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "phone": r"^(?:\+|\(|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$)", "card": r"^[0-9](?:[ -]?[0-9]){12,18}$", "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$", "name": rf"^(?:(?:{_honor})\.? |(?:{_given}) )"}
 #: Draws after which a collision is an error; each leaves a tiny share of the one before.
@@ -60,7 +63,7 @@ def normal(entity: Column, kind: Column) -> Column:
     """What two writings of one entity have in common: its type, and case or layout left out."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
     person = F.lower(F.regexp_replace(entity, rf"^(?:{_honor})\.? ", ""))
-    body = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.concat(gender_of(entity), F.lit(" "), person)).otherwise(entity)
+    body = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.concat(gender_of(entity), F.lit(" "), person)).when(kind == "secret", F.regexp_replace(entity, f"^{_lead}", "")).otherwise(entity)
     return F.concat(kind, F.lit(":"), body)
 
 
@@ -111,43 +114,61 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity, in its own layout; a function of the key, its normal form and the attempt."""
-    norm = normal(entity, kind)
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), norm, attempt.cast("string")), 256)
-    digits = F.regexp_replace(entity, "[^0-9]", "")
-    drawn = F.array_join(F.transform(F.split(digits, ""), lambda c, i: F.when(i == 0, (_draw(seed, i) % 8 + 2).cast("string")).otherwise((_draw(seed, i) % 10).cast("string"))), "")
-    head = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
-    check = ((F.lit(10) - _luhn(F.concat(head, F.lit("0"))) % 10) % 10).cast("string")
-    card = F.when(_luhn(digits) % 10 == 0, F.concat(head, check)).otherwise(drawn)
-    # A phone number keeps its country code, a mail address its shape; the domain depends on the domain alone.
-    code = F.regexp_replace(F.regexp_extract(entity, r"^\+([0-9]{1,3})(?=[ .(-])", 1), "[^0-9]", "")
-    phone = F.concat(code, F.substring(drawn, F.length(code) + 1, F.length(drawn)))
-    host_seed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lower(F.substring_index(entity, "@", -1))), 256)
-    mail = F.concat(_letters(F.substring_index(entity, "@", 1), seed), F.lit("@"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(F.lit(ALPHABETS["a-z"]), (_draw(host_seed, i) % 26 + 1).cast("int"), F.lit(1))), ""), F.lit(".example"))
-    ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i) % 254 + 1).cast("string")), ".")
-    iban = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), seed))
-    secret = F.when(entity.startswith("AKIA"), F.concat(F.lit("AKIA"), _letters(F.substring(entity, F.lit(5), F.length(entity)), seed))).when(entity.rlike("^[0-9a-f]+$"), F.substring(F.concat(seed, F.sha2(seed, 256)), F.lit(1), F.least(F.length(entity), F.lit(128)))).otherwise(_letters(entity, seed))
-    out = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", _layout(entity, card)).when(kind == "phone", _layout(entity, phone)).when(kind == "ssn", _layout(entity, drawn)).when(kind == "iban", iban)
-    return out.when(kind == "name", _person(entity, norm, attempt, seed, key)).otherwise(secret)
-
-
-def _person(entity: Column, norm: Column, attempt: Column, seed: Column, key: str) -> Column:
-    """Honorific as it is, given name of the same gender and script if there is one, and a surname made of syllables that
-    depends on the surname (and on the attempt) alone, so that Ms Doe and Jane Doe keep a name in common."""
-    title = F.regexp_extract(entity, rf"^(?:{_honor})\.? ", 0)
-    words = F.split(F.regexp_replace(entity, rf"^(?:{_honor})\.? ", ""), " ")
-    surname = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lower(F.element_at(words, -1)), attempt.cast("string")), 256)
+def surrogates(items: Column, key: str) -> Column:
+    """The replacements of entities (array of entity, kind, norm, attempt), each in its own layout: a function of the key,
+    its normal form and the attempt. Steps hand on what they found, so that nothing is evaluated twice."""
+    title = rf"^(?:{_honor})\.? "
+    keep = lambda s, *names: [s[x].alias(x) for x in names]
+    base = ("entity", "kind", "attempt")
+
+    def seeded(s: Column) -> Column:
+        entity = s["entity"]
+        words = F.split(F.regexp_replace(entity, title, ""), " ")
+        part = F.when(s["kind"] == "name", F.concat_ws("\x1f", F.lower(F.element_at(words, -1)), s["attempt"].cast("string"))).otherwise(F.lower(F.substring_index(entity, "@", -1)))
+        return F.struct(*keep(s, *base), F.sha2(F.concat_ws("\x1f", F.lit(key), s["norm"], s["attempt"].cast("string")), 256).alias("seed"), F.sha2(F.concat_ws("\x1f", F.lit(key), part), 256).alias("part_seed"), F.regexp_replace(entity, "[^0-9]", "").alias("digits"), words.alias("words"))
+
+    def drawn(s: Column) -> Column:
+        seed = s["seed"]
+        each = F.transform(F.split(s["digits"], ""), lambda c, i: F.when(i == 0, (_draw(seed, i) % 8 + 2).cast("string")).otherwise((_draw(seed, i) % 10).cast("string")))
+        # A phone number keeps its country code.
+        code = F.regexp_extract(s["entity"], r"^\+([0-9]{1,3})(?=[ .(-])", 1)
+        return F.struct(*keep(s, *base, "seed", "part_seed", "digits", "words"), F.array_join(each, "").alias("drawn"), code.alias("code"))
+
+    def made(s: Column) -> Column:
+        entity, kind, seed, part_seed, digits = (s[x] for x in ("entity", "kind", "seed", "part_seed", "drawn"))
+        head = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        check = ((F.lit(10) - _luhn(F.concat(head, F.lit("0"))) % 10) % 10).cast("string")
+        card = F.when(_luhn(s["digits"]) % 10 == 0, F.concat(head, check)).otherwise(digits)
+        phone = F.concat(s["code"], F.substring(digits, F.length(s["code"]) + 1, F.length(digits)))
+        # A mail address keeps its shape; the domain depends on the domain alone.
+        host = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(F.lit(ALPHABETS["a-z"]), (_draw(part_seed, i) % 26 + 1).cast("int"), F.lit(1))), "")
+        mail = F.concat(_letters(F.substring_index(entity, "@", 1), seed), F.lit("@"), host, F.lit(".example"))
+        ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i) % 254 + 1).cast("string")), ".")
+        iban = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), seed))
+        lead, bare = F.regexp_extract(entity, f"^{_lead}", 0), F.regexp_replace(entity, f"^{_lead}", "")
+        hexes = F.substring(F.concat(seed, F.sha2(seed, 256)), F.lit(1), F.least(F.length(bare), F.lit(128)))
+        secret = F.when(bare.startswith("AKIA"), F.concat(F.lit("AKIA"), _letters(F.substring(bare, F.lit(5), F.length(bare)), seed))).when(bare.rlike("^[0-9a-f]{1,128}$"), hexes).otherwise(_letters(bare, seed))
+        out = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", _layout(entity, card)).when(kind == "phone", _layout(entity, phone)).when(kind == "ssn", _layout(entity, digits)).when(kind == "iban", iban)
+        person = F.concat(F.regexp_extract(entity, title, 0), _person(entity, s["words"], seed, part_seed))
+        return out.when(kind == "name", person).otherwise(F.concat(lead, secret))
+
+    return F.transform(F.transform(F.transform(items, seeded), drawn), made)
+
+
+def _person(entity: Column, words: Column, seed: Column, surname: Column) -> Column:
+    """A given name of the same gender and script if there is one, and a surname made of syllables whose seed depends on
+    the surname (and on the attempt) alone, so that Ms Doe and Jane Doe keep a name in common."""
     gender, script = gender_of(entity), script_of(entity)
     given = F.lit(None).cast("string")
     family = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
-        both = [x for (s2, _), group in GIVEN.items() if s2 == s for x in group]
-        given = F.when((script == s) & (gender == g), _pick(names, _draw(seed, 0))).when((script == s) & (gender == "n"), _pick(both, _draw(seed, 0))).otherwise(given)
+        given = F.when((script == s) & (gender == g), _pick(names, _draw(seed, 0))).otherwise(given)
     for s, parts in SYLLABLES.items():
+        both = [x for (s2, _), group in GIVEN.items() if s2 == s for x in group]
+        given = F.when((script == s) & (gender == "n"), _pick(both, _draw(seed, 0))).otherwise(given)
         made = F.initcap(F.concat(*(_pick(parts, _draw(surname, i)) for i in range(1, 5))))
         family = F.when(script == s, made).otherwise(family)
-    return F.concat(title, F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
+    return F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
 
 
 def redraws(entities: DataFrame, key: str) -> DataFrame:
@@ -156,8 +177,8 @@ def redraws(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select(F.col("norm").alias("taken")).distinct()
     settled, out = None, None
     for _ in range(DRAWS):
-        made = surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key)
-        drawn = waiting.withColumn("made", normal(made, F.col("kind")))
+        item = F.array(F.struct("entity", "kind", "norm", "attempt"))
+        drawn = cut(waiting.withColumn("made", surrogates(item, key)[0])).withColumn("made", normal(F.col("made"), F.col("kind")))
         first = drawn.groupBy("made").agg(F.min("norm").alias("winner"), F.count("*").alias("n"))
         bad = first.where("n > 1").select("made", "winner").join(drawn, "made").where("norm <> winner").select("norm")
         bad = bad.union(drawn.join(real, drawn["made"] == real["taken"], "left_semi").select("norm"))
@@ -202,10 +223,13 @@ def replace_entities(df: DataFrame, text: str = "text", key: str = "barlake", fo
         few = cut(few.groupBy(hold).agg(F.map_from_entries(F.collect_list(F.struct("norm", "attempt"))).alias(again)))
         few = F.broadcast(few) if few.count() * 300 <= BROADCAST_BYTES else few
         out = out.withColumn(hold, F.sha2(body, 256)).join(few, hold, "left").drop(hold)
-        attempt = lambda x: F.coalesce(F.element_at(F.col(again), norm_of(x)), F.lit(0))
+        attempt = lambda norm: F.coalesce(F.element_at(F.col(again), norm), F.lit(0))
     else:
-        out, attempt = out.withColumn(again, F.lit(0)), lambda x: F.lit(0)
-    made = F.transform(F.col(spot), lambda x: surrogate(x, kind_of(x), attempt(x), key))
+        out, attempt = out.withColumn(again, F.lit(0)), lambda norm: F.lit(0)
+    items = F.transform(F.col(spot), lambda x: F.struct(x.alias("entity"), kind_of(x).alias("kind")))
+    items = F.transform(items, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), normal(s["entity"], s["kind"]).alias("norm")))
+    items = F.transform(items, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["norm"].alias("norm"), attempt(s["norm"]).alias("attempt")))
+    made = surrogates(items, key)
     gaps = F.split(F.col(text), ANY, -1)
     woven = F.array_join(F.flatten(F.zip_with(gaps, made, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
     out = out.withColumn(found, F.size(spot))
