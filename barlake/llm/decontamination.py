@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, local alignment scores the passages."""
+"""Benchmark decontamination: n-gram seeds join documents to test items, local alignment scores the passages."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,11 +76,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", score: float = SCORE) -> DataFrame:
     """Passages of documents that copy or edit a test item: key, item, score (0 to 1), begin and end (code points).
 
-    One row, the best, for each document and item at `score` or above. Seeds are the rarer half of an item's n-grams,
-    by how many documents hold them; two of an item within one stretch of a document (one, if it has no more) make a
-    passage, which is aligned word by word, without case and punctuation. Items and documents of few words have one
-    n-gram, the whole. Null keys, and null or empty texts, match nothing; repeated rows count once; empty tables give
-    an empty one; other columns don't matter.
+    One row, the best, for each document and item at `score` or above. Seeds are all n-grams of an item, however many
+    documents hold them; two of an item within one stretch of a document (one, if replaced or left out words may leave
+    no more at that score) make a passage, which is aligned word by word, without case and punctuation. Items and
+    documents of few words have one n-gram, the whole. Null keys, and null or empty texts, match nothing; repeated rows
+    count once; empty tables give an empty one; other columns don't matter.
     """
     ship(docs.sparkSession)
     tests = items.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
@@ -90,18 +90,16 @@ def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     slots[[r[0] for r in grams.select(F.expr(f"gram & {SLOTS - 1}").alias("slot")).distinct().collect()]] = True
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     small = lambda df, width: F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
-    hits = gram_rows(rows, "doc", slots)
-    hits = cut(hits.join(small(cut(grams.select("gram").distinct()), 16), "gram", "left_semi"))
-    spread = hits.select("gram", "doc").distinct().groupBy("gram").agg(F.count("*").alias("docs"))
-    ranked = grams.join(spread, "gram").select("*", F.percent_rank().over(Window.partitionBy("item").orderBy("docs")).alias("rank"))
-    seeds = cut(ranked.where("rank <= 0.5").select("gram", "item", "item_pos"))
     counts = grams.groupBy("item").agg((F.max("item_pos") + SEED).alias("words"), F.count("*").alias("grams"))
-    met = hits.join(small(seeds, 48), "gram").join(small(cut(counts), 40), "item")
+    # A replaced word costs a match and a mismatch and breaks SEED n-grams: so many are whole at that score.
+    edits = F.floor(F.col("words") * F.lit(MATCH * (1 - score) / (MATCH - MISMATCH)) + F.lit(1e-9))
+    counts = counts.select("item", "words", F.least(F.lit(2), F.greatest(F.lit(1), F.col("grams") - SEED * edits)).alias("need"))
+    met = gram_rows(rows, "doc", slots).join(small(grams, 48), "gram").join(small(cut(counts), 40), "item")
     # A stretch is as long as the item; a passage may lie across the border of two, so each hit counts in both.
     stretch = F.floor((F.col("pos") - F.col("item_pos")) / F.col("words"))
-    met = met.select("doc", "item", "words", "grams", "item_pos", "pos", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
-    met = met.groupBy("doc", "item", "stretch").agg(F.count_distinct("item_pos").alias("seeds"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.first("words").alias("words"), F.first("grams").alias("grams"))
-    met = met.where("seeds >= least(2, greatest(1, grams div 4))")
+    met = met.select("doc", "item", "words", "need", "item_pos", "pos", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    met = met.groupBy("doc", "item", "stretch").agg(F.count_distinct("item_pos").alias("seeds"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.first("words").alias("words"), F.first("need").alias("need"))
+    met = met.where("seeds >= need")
     spans = met.groupBy("doc", "item").agg(F.sort_array(F.collect_list(F.struct((F.col("low") - F.col("words")).alias("low"), (F.col("high") + F.col("words") + SEED).alias("high")))).alias("spans"))
     found = cut(spans.join(tests.withColumnRenamed("text", "item_text"), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_text", "spans")).alias("tests")))
     size = found.select(F.sum(F.expr("aggregate(tests, 0L, (n, t) -> n + 40 + length(t.item_text) * 4 + size(t.spans) * 16)"))).first()[0] or 0

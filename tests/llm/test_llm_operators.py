@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -262,6 +263,20 @@ def test_decontamination_edited(spark):
     assert decontamination.find_copies(docs, tests.limit(0)).count() == decontamination.find_copies(docs.limit(0), tests).count() == 0
 
 
+def test_decontamination_of_edits_beside_copies(spark):
+    words = {9: [f"w{i}" for i in range(40)], 8: [f"v{i}" for i in range(15)]}
+    items = {k: " ".join(w) for k, w in words.items()}
+    edited = {k: " ".join(x if i % 4 else "other" for i, x in enumerate(w)) for k, w in words.items()}
+    texts = [items[9], items[8], edited[9], f"x y {edited[8]} z", f"{items[9]} and {edited[8]}", " ".join(words[9][:20])] + [edited[9]] * 5
+    texts.append(" ".join("other" if i in (2, 5, 8, 11) else x for i, x in enumerate(words[8])))  # one n-gram is left
+    rows = list(enumerate(texts))
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_copies(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()}
+    code = lambda text: np.array([zlib.crc32(x.encode()) for x in text.split()])
+    want = {(i, k): decontamination.align(code(x), code(t))[0] for i, t in rows for k, x in items.items()}
+    assert got == {k: v for k, v in want.items() if v >= decontamination.SCORE} and (2, 9) in got and (11, 8) in got
+
+
 # op8
 
 
