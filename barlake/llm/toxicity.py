@@ -26,8 +26,8 @@ ORDER, DISCOUNT = 7, 0.75
 PRIOR = 20.0
 #: Ratios of probabilities up to exp(MARGIN) are ties, and a text's length counts to this power.
 MARGIN, LENGTH_POWER = 2.0, 0.75
-#: Bounds of the fit: labelled rows (of those, the first in an order of hashes), and n-grams kept (the most frequent).
-FIT_ROWS, FIT_GRAMS = 100_000, 1 << 18
+#: Bound of the fit: labelled rows (of those, the first in an order of hashes). All their n-grams count.
+FIT_ROWS = 100_000
 FOLDS, CALIBRATE = 5, 4
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -85,15 +85,56 @@ def _shorter(gram: np.ndarray) -> np.ndarray:
     return gram & ((np.uint64(1) << np.uint64(8) * width) - np.uint64(1))
 
 
-def shared_backoff(gram: np.ndarray) -> np.ndarray:
-    """P(last byte | shorter context) of each n-gram under the pooled model with continuation counts."""
+def _levels(gram: np.ndarray) -> list[np.ndarray]:
     levels = [gram]
     for _ in range(ORDER - 1):
         levels.append(_shorter(levels[-1]))
+    return levels
+
+
+def short_counts(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct n-grams: level << 16 | its two last bytes, for each level at which two are left, and the distinct
+    left neighbours there (level 0 has none: 1). Sums over parts that share no context of two bytes are those of all."""
+    levels, out = _levels(gram), []
+    for level, own in enumerate(levels):
+        two = _width(own) == 2
+        longer = np.unique(levels[max(level - 1, 0)][two])
+        keys, cont = np.unique(_shorter(longer) if level else longer, return_counts=True)
+        out.append((keys | np.uint64(level << 16), cont))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def short_backoff(code: np.ndarray, cont: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(last byte | at most one byte before it) at each level: level << 16 | bytes, sorted, and the probabilities."""
+    level, own = code >> np.uint64(16), code & np.uint64(0xFFFF)
+    one, kinds = np.unique(((level + np.uint64(1)) << np.uint64(16)) | (own & np.uint64(0xFF)), return_counts=True)
+    levels, total, kind = _sums(one >> np.uint64(16), kinds, np.ones(len(one)))
+    all_, n = _seek(levels, one >> np.uint64(16), total, kind) if len(one) else (np.ones(0), np.ones(0))
+    p_one = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * n / 256) / all_
+    two = level > 0
+    code, cont = code[two], cont[two]
+    if not len(code):
+        return one, p_one
+    context = code >> np.uint64(8)
+    contexts, total, kind = _sums(context, cont, np.ones(len(code)))
+    all_, n = _seek(contexts, context, total, kind)
+    (lower,) = _seek(one, (((code >> np.uint64(16)) + np.uint64(1)) << np.uint64(16)) | (code & np.uint64(0xFF)), p_one)
+    keys, p = np.concatenate([one, code]), np.concatenate([p_one, (np.maximum(cont - DISCOUNT, 0) + DISCOUNT * n * lower) / all_])
+    order = np.argsort(keys)
+    return keys[order], p[order]
+
+
+def shared_backoff(gram: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """P(last byte | shorter context) of each n-gram under the pooled model with continuation counts. `gram` has all
+    distinct n-grams of its contexts' last two bytes; what has less context is in `short`."""
+    levels = _levels(gram)
     p = np.full(len(gram), 1 / 256)
     for level in range(ORDER - 1, 0, -1):
-        own = levels[level]
-        here = np.flatnonzero(own)
+        own, width = levels[level], _width(levels[level])
+        few = np.flatnonzero((width > 0) & (width < 3))
+        if len(few):
+            (p[few],) = _seek(short[0], own[few] | np.uint64(level << 16), short[1])
+        here = np.flatnonzero(width > 2)
         if not len(here):
             continue
         longer = np.unique(levels[level - 1][here])  # distinct left neighbours, each with what follows
@@ -105,6 +146,27 @@ def shared_backoff(gram: np.ndarray) -> np.ndarray:
     return p
 
 
+def log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, short: tuple[np.ndarray, np.ndarray], prior: float = PRIOR) -> np.ndarray:
+    """Log-likelihood ratio (toxic to ordinary) of each distinct n-gram; 0 for those without counts."""
+    out = np.zeros(len(gram))
+    known = np.flatnonzero(ordinary + toxic > 0)
+    gram, counts = gram[known], [x[known] for x in (ordinary, toxic)]
+    if not len(gram):
+        return out
+    context = gram >> np.uint64(8)
+    both = counts[0] + counts[1]
+    keys, total, kinds = _sums(context, both, both > 0)
+    all_, kind = _seek(keys, context, total, kinds)
+    base = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kind * shared_backoff(gram, short)) / np.maximum(all_, 1)
+    logs = []
+    for n in counts:
+        keys, total, kinds = _sums(context, n, n > 0)
+        all_, kind = _seek(keys, context, total, kinds)
+        logs.append(np.log((np.maximum(n - DISCOUNT, 0) + (DISCOUNT * kind + prior) * base) / (all_ + prior)))
+    out[known] = logs[1] - logs[0]
+    return out
+
+
 class Model:
     """Log-likelihood ratios (toxic to ordinary) of the n-grams that one class writes far more often, in a hash table.
 
@@ -112,23 +174,9 @@ class Model:
     few telling words. N-grams that neither class has cost both the same.
     """
 
-    def __init__(self, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, prior: float = PRIOR, margin: float = MARGIN) -> None:
-        gram, ordinary, toxic = (x[ordinary + toxic > 0] for x in (gram, ordinary, toxic))
-        order = np.argsort(gram)
-        gram, counts = gram[order].astype(np.uint64), [x[order].astype(float) for x in (ordinary, toxic)]
-        context = gram >> np.uint64(8)
-        both = counts[0] + counts[1]
-        keys, total, kinds = _sums(context, both, both > 0)
-        all_, kind = _seek(keys, context, total, kinds)
-        base = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kind * shared_backoff(gram)) / np.maximum(all_, 1)
-        logs = []
-        for n in counts:
-            keys, total, kinds = _sums(context, n, n > 0)
-            all_, kind = _seek(keys, context, total, kinds)
-            logs.append(np.log((np.maximum(n - DISCOUNT, 0) + (DISCOUNT * kind + prior) * base) / (all_ + prior)))
-        ratio = logs[1] - logs[0]
+    def __init__(self, gram: np.ndarray, ratio: np.ndarray, margin: float = MARGIN) -> None:
         tells = np.abs(ratio) > margin
-        self._fill(gram[tells], ratio[tells])
+        self._fill(gram[tells].astype(np.uint64), ratio[tells])
 
     def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(10, int(4 * len(keys)).bit_length())
@@ -186,7 +234,8 @@ def fold_of(key: Column) -> Column:
 
 
 def _gram_counts(marked: DataFrame) -> DataFrame:
-    """Counts of each n-gram by class (0, 1) and by use (fit, calibrate): four columns, summed over all tasks."""
+    """Counts of each n-gram by class (0, 1) and by use (fit, calibrate): four columns, summed over all tasks. The
+    n-grams whose contexts end in the same two bytes (`ends`) are in one partition."""
     schema = "gram long, fit_0 double, fit_1 double, more_0 double, more_1 double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +256,47 @@ def _gram_counts(marked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].astype(np.int64)), *(pa.array(x[i : i + 50_000]) for x in counts)], ["gram", "fit_0", "fit_1", "more_0", "more_1"])
 
     parts = marked.select("text", "toxic", "fold").mapInArrow(run, schema)
-    return parts.groupBy("gram").agg(*(F.sum(x).alias(x) for x in ("fit_0", "fit_1", "more_0", "more_1")))
+    parts = parts.withColumn("ends", F.expr("shiftright(gram, 8) & 65535")).repartition("ends")
+    return parts.groupBy("ends", "gram").agg(*(F.sum(x).alias(x) for x in ("fit_0", "fit_1", "more_0", "more_1")))
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """A partition's n-grams, sorted, and the counts of either class: those to fit with, and those of all rows."""
+    rows = pa.Table.from_batches(list(batches))
+    gram, *n = (rows[x].to_numpy() for x in ("gram", "fit_0", "fit_1", "more_0", "more_1"))
+    order = np.argsort(gram)
+    n = [x[order] for x in n]
+    return gram[order].astype(np.uint64), [(n[0], n[1]), (n[0] + n[2], n[1] + n[3])]
+
+
+def _telling(counts: DataFrame) -> pa.Table:
+    """gram, and its log ratio by the rows to fit with (ratio_0) and by all (ratio_1), where one exceeds the margin.
+
+    Contexts of two bytes or more are wholly in a partition; the driver gets the counts of the shorter ones (a bounded
+    number), makes their probabilities, and gets what tells the classes apart.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (first := next(batches, None)) is None:
+            return
+        gram, uses = _uses([first, *batches])
+        for use, (a, b) in enumerate(uses):
+            code, cont = short_counts(gram[a + b > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), use)), pa.array(code.astype(np.int64)), pa.array(cont.astype(np.int64))], ["use", "code", "cont"])
+
+    found = counts.mapInArrow(count, "use long, code long, cont long").groupBy("use", "code").agg(F.sum("cont").alias("cont")).orderBy("use", "code").toArrow()
+    use, code, cont = (found[x].to_numpy() for x in ("use", "code", "cont"))
+    short = counts.sparkSession.sparkContext.broadcast([short_backoff(code[use == i].astype(np.uint64), cont[use == i]) for i in (0, 1)])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (first := next(batches, None)) is None:
+            return
+        gram, uses = _uses([first, *batches])
+        ratios = [log_ratios(gram, *n, short.value[i]) for i, n in enumerate(uses)]
+        tells = (np.abs(ratios[0]) > MARGIN) | (np.abs(ratios[1]) > MARGIN)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[tells].astype(np.int64)), *(pa.array(x[tells].astype(np.float32)) for x in ratios)], ["gram", "ratio_0", "ratio_1"])
+
+    return counts.mapInArrow(tell, "gram long, ratio_0 float, ratio_1 float").toArrow()
 
 
 def _scored(rows: DataFrame, keep: list[str], model: Model, slope: float, intercept: float, out: str) -> DataFrame:
@@ -226,12 +315,12 @@ def _scored(rows: DataFrame, keep: list[str], model: Model, slope: float, interc
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, most: int = FIT_GRAMS) -> tuple[Model, float, float]:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> tuple[Model, float, float]:
     """Model, slope and intercept, from labelled rows of the folds that aren't held out.
 
     At most `rows` labelled keys are used (the first in an order of hashes; a key with both labels counts as toxic, null
     labels and keys don't count), so the labels are broadcast; n-gram counts are summed over tasks, and the driver gets
-    the `most` most frequent. A first model without the last fold sets slope and intercept on it. With one class only
+    the n-grams that tell the classes apart, all of them. A first model without the last fold sets slope and intercept on it. With one class only
     the model knows nothing and the score is the smoothed share of toxic labels.
     """
     spark = docs.sparkSession
@@ -240,18 +329,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = chosen.groupBy("label_key").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold_of(F.col("label_key"))).where("fold <> 0")
     chosen = cut(chosen.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
     marked = docs.select(F.col(key).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), F.expr("text_key = label_key"))
-    top = _gram_counts(marked).orderBy(F.desc(F.expr("fit_0 + fit_1 + more_0 + more_1")), "gram").limit(most).toArrow()
-    gram, *counts = (top[x].to_numpy() for x in ("gram", "fit_0", "fit_1", "more_0", "more_1"))
-    gram = gram.astype(np.uint64)
-    first = Model(gram, counts[0], counts[1])
+    counts = cut(_gram_counts(marked))
+    top = _telling(counts)
+    gram = top["gram"].to_numpy()
+    first = Model(gram, top["ratio_0"].to_numpy())
     seen = _scored(marked, ["toxic", "fold"], first, None, 0.0, "x").where(F.col("fold") == CALIBRATE).select("toxic", "x").toArrow()
     y, x = seen["toxic"].to_numpy(), seen["x"].to_numpy()
-    if not counts[1].any() or not counts[0].any() or len(set(y.tolist())) < 2:
+    if not all(counts.agg(F.sum("fit_0"), F.sum("fit_1")).first()) or len(set(y.tolist())) < 2:
         toxic, all_ = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
         share = (toxic + 0.5) / (all_ + 10)
-        return Model(gram[:0], counts[0][:0], counts[1][:0]), 0.0, float(np.log(share / (1 - share)))
+        return Model(np.zeros(0), np.zeros(0)), 0.0, float(np.log(share / (1 - share)))
     slope, intercept = logistic(x, y, np.ones(len(y)))
-    return Model(gram, counts[0] + counts[2], counts[1] + counts[3]), slope, intercept
+    return Model(gram, top["ratio_1"].to_numpy()), slope, intercept
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

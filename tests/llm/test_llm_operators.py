@@ -62,6 +62,57 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.drop_toxic(odd, labels.limit(0)).columns == odd.columns
 
 
+def brute_ratios(counts):
+    """Log ratios of n-grams (bytes) from their counts in both classes, context by context."""
+    levels, base = [collections.Counter({g: sum(n) for g, n in counts.items()})], {}
+    for _ in range(toxicity.ORDER - 1):
+        levels.append(collections.Counter(g[1:] for g in levels[-1] if len(g) > 1))
+    level_sums = []
+    for level in levels:
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        level_sums.append((total, kinds))
+
+    def p(g, k):
+        if not g or k == toxicity.ORDER:
+            return 1 / 256
+        total, kinds = (x[g[:-1]] for x in level_sums[k])
+        return (max(levels[k][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * kinds * p(g[1:], k + 1)) / total
+
+    logs = []
+    for c in (0, 1):
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n[c]
+            kinds[g[:-1]] += n[c] > 0
+        logs.append({g: np.log((max(n[c] - toxicity.DISCOUNT, 0) + (toxicity.DISCOUNT * kinds[g[:-1]] + toxicity.PRIOR) * p(g, 0)) / (total[g[:-1]] + toxicity.PRIOR)) for g, n in counts.items()})
+    return {g: logs[1][g] - logs[0][g] for g in counts}
+
+
+def test_toxicity_keeps_rare_grams(spark):
+    """Nearly 300,000 n-grams, and a toxic word that stands once."""
+    rnd = np.random.default_rng(1)
+    words = ["".join(x) for x in rnd.choice(list("abcdefghijklmnopqrst"), (60_000, 7))]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    rare = next(i for i in range(1, 120, 10) if fold(i))
+    rows = [(i, " ".join(words[i % 60 :: 60]) + (" tttttaz" if i == rare else " tttttaa" * 5), int(i % 10 == 1)) for i in range(120)]
+    assert {y for i, _, y in rows if fold(i) == toxicity.CALIBRATE} == {0, 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    used = [(t, y) for i, t, y in rows if fold(i)]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t, y in used:
+        for word in t.split():
+            for j in range(len(word) + 1):
+                counts[(b"\1" + word.encode() + b"\2")[max(0, j - 5) : j + 2]][y] += 1
+    assert len(counts) > 1 << 18
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))[0]
+    want = {g: x if abs(x) > toxicity.MARGIN else 0 for g, x in brute_ratios(counts).items()}
+    got = model.ratios(np.array([int.from_bytes(g, "big") for g in want], np.uint64))
+    assert np.allclose(got, list(want.values()), atol=1e-4) and want[b"tttttaz"] > toxicity.MARGIN
+
+
 # op2
 
 
