@@ -140,24 +140,27 @@ def surrogates(items: Column, key: str) -> Column:
         check = ((F.lit(10) - _luhn(F.concat(head, F.lit("0"))) % 10) % 10).cast("string")
         card = F.when(_luhn(s["digits"]) % 10 == 0, F.concat(head, check)).otherwise(digits)
         phone = F.concat(s["code"], F.substring(digits, F.length(s["code"]) + 1, F.length(digits)))
-        # A mail address keeps its shape; the domain depends on the domain alone.
+        # A mail address keeps its shape in the first draw; the domain depends on the domain alone.
         host = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(F.lit(ALPHABETS["a-z"]), (_draw(part_seed, i) % 26 + 1).cast("int"), F.lit(1))), "")
-        mail = F.concat(_letters(F.substring_index(entity, "@", 1), seed), F.lit("@"), host, F.lit(".example"))
+        # Each further attempt has one more letter to draw from, so short local parts don't run out.
+        more = F.when(s["attempt"] > 0, F.array_join(F.transform(F.sequence(F.lit(1), s["attempt"]), lambda i: F.substring(F.lit(ALPHABETS["a-z"]), (_draw(seed, -i) % 26 + 1).cast("int"), F.lit(1))), "")).otherwise("")
+        mail = F.concat(_letters(F.substring_index(entity, "@", 1), seed), more, F.lit("@"), host, F.lit(".example"))
         ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i) % 254 + 1).cast("string")), ".")
         iban = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), seed))
         lead, bare = F.regexp_extract(entity, f"^{_lead}", 0), F.regexp_replace(entity, f"^{_lead}", "")
         hexes = F.substring(F.concat(seed, F.sha2(seed, 256)), F.lit(1), F.least(F.length(bare), F.lit(128)))
         secret = F.when(bare.startswith("AKIA"), F.concat(F.lit("AKIA"), _letters(F.substring(bare, F.lit(5), F.length(bare)), seed))).when(bare.rlike("^[0-9a-f]{1,128}$"), hexes).otherwise(_letters(bare, seed))
         out = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", _layout(entity, card)).when(kind == "phone", _layout(entity, phone)).when(kind == "ssn", _layout(entity, digits)).when(kind == "iban", iban)
-        person = F.concat(F.regexp_extract(entity, title, 0), _person(entity, s["words"], seed, part_seed))
+        person = F.concat(F.regexp_extract(entity, title, 0), _person(entity, s["words"], seed, part_seed, s["attempt"]))
         return out.when(kind == "name", person).otherwise(F.concat(lead, secret))
 
     return F.transform(F.transform(F.transform(items, seeded), drawn), made)
 
 
-def _person(entity: Column, words: Column, seed: Column, surname: Column) -> Column:
+def _person(entity: Column, words: Column, seed: Column, surname: Column, attempt: Column) -> Column:
     """A given name of the same gender and script if there is one, and a surname made of syllables whose seed depends on
-    the surname (and on the attempt) alone, so that Ms Doe and Jane Doe keep a name in common."""
+    the surname (and on the attempt) alone, so that Ms Doe and Jane Doe keep a name in common. Each further attempt has
+    one more syllable, so the names don't run out."""
     gender, script = gender_of(entity), script_of(entity)
     given = F.lit(None).cast("string")
     family = F.lit(None).cast("string")
@@ -167,6 +170,8 @@ def _person(entity: Column, words: Column, seed: Column, surname: Column) -> Col
         both = [x for (s2, _), group in GIVEN.items() if s2 == s for x in group]
         given = F.when((script == s) & (gender == "n"), _pick(both, _draw(seed, 0))).otherwise(given)
         made = F.initcap(F.concat(*(_pick(parts, _draw(surname, i)) for i in range(1, 5))))
+        more = F.array_join(F.transform(F.sequence(F.lit(5), attempt + 4), lambda i: _pick(parts, _draw(surname, i))), "")  # noqa: B023
+        made = F.when(attempt > 0, F.concat(made, more)).otherwise(made)
         family = F.when(script == s, made).otherwise(family)
     return F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
 

@@ -139,6 +139,15 @@ def test_surrogates_stay_distinct(spark):
     assert len({x.lower() for x in got}) == len(hosts)
 
 
+def test_surrogates_do_not_run_out(spark):
+    """More entities than the first draw has surrogates for: single letters of a host, and 12,000 lone Greek surnames."""
+    letters = "αβγδεζηθικλμνξοπρστυφχψω"
+    names = [f"Mr Ζ{''.join(letters[n // 24**p % 24] for p in range(4))}" for n in range(12_000)]
+    rows = [f"{i}@x.com" for i in range(10)] + names
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame([(x,) for x in rows], "text string")).collect()]
+    assert len({x.lower() for x in got}) == len(rows) and not set(got) & set(rows)
+
+
 def test_surrogates_whole_table(spark, texts):
     patterns = [r"[\w.+-]+@[\w.-]+\w", r"\d+\.\d+\.\d+\.\d+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\b\d{16}\b", r"AKIA\w{16}", r"(?<=password=)\w+", r'(?<=token = ")\w+']
     for r in llm.QUERIES["op2_pii_surrogates"](spark, SF).collect():
