@@ -82,15 +82,15 @@ def _role(role: Column) -> Column:
 def to_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """One row for each conversation: key and turns (array of role, text), whatever the layout.
 
-    Layouts with a row for each turn are grouped by the key and ordered by turn (nulls first, then role, then text); a
-    conversation has to fit into a row anyway. In the other layouts a row is a conversation; empty optional fields make
+    Layouts with a row for each turn are grouped by the key and ordered by turn (nulls first, then role, then text), with
+    their roles as they are; a conversation has to fit into a row anyway. Lists get canonical roles by `ROLES`. In the other layouts a row is a conversation; empty optional fields make
     no turn. Null texts and roles are empty. Repeated rows are kept: repeated turns in the first case, repeated
     conversations in the second.
     """
     mapping = mapping_of(df.schema)
     if "rows" in mapping:
         conv, turn, role, text = mapping["rows"]
-        one = F.struct(F.col(turn).alias("turn"), _role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         held = df.groupBy(F.col(conv).alias(key)).agg(F.sort_array(F.collect_list(one)).alias("turns"))
         return held.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     if "list" in mapping:
@@ -105,21 +105,34 @@ def to_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return df.select(F.col(key), turns.alias("turns"))
 
 
+def _said(value: object) -> str:
+    """A field's text: none for null, JSON for what isn't text; halves of surrogate pairs become question marks."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode()
+
+
 def record_turns(record: str | None) -> tuple[str, list[tuple[str, str]]]:
-    """Fingerprint and canonical turns of a JSON record of any known layout; unknown or broken ones give no turns."""
+    """Fingerprint and canonical turns of a JSON record of any known layout; unknown or broken ones give no turns.
+
+    Names of fields have any case. Numbers and other values that aren't text are taken as they stand in the JSON.
+    """
+
+    def lowered(pairs: list[tuple[str, object]]) -> dict:
+        return {k.lower(): v for k, v in pairs}
+
     try:
-        value = json.loads(record or "null")
-    except ValueError:
+        value = json.loads(record or "null", object_pairs_hook=lowered)
+    except (ValueError, RecursionError):
         return "", []
     if not isinstance(value, dict):
         return "", []
-    value = {k.lower(): v for k, v in value.items() if k.lower() in _FIELDS - {"conv_id", "turn"} and v is not None}
+    value = {k: v for k, v in value.items() if k in _FIELDS - {"conv_id", "turn"} and v is not None}
     shape = fingerprint(value_paths(value))
     mapping = MAPPINGS.get(shape, {})
     if "list" in mapping:
         name, role, text = mapping["list"]
-        return shape, [(ROLES.get(t.get(role) or "", t.get(role) or ""), t.get(text) or "") for t in value[name]]
-    turns = [(role, "\n\n".join(x for f in fields if (x := value.get(f) or ""))) for role, fields in mapping.get("fields", [])]
+        return shape, [(ROLES.get(r := _said(t.get(role)), r), _said(t.get(text))) for t in value[name]]
+    turns = [(role, "\n\n".join(x for f in fields if (x := _said(value.get(f))))) for role, fields in mapping.get("fields", [])]
     return shape, [t for t in turns if t[0] != "system" or t[1]]
 
 
@@ -206,8 +219,28 @@ def digests(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return df.select(F.col(key).alias("key"), "formatted", "loss_spans").mapInArrow(run, schema)
 
 
+#: A turn that looks like the template's own marks.
+MARKED = r"\### Assistant: </turn> ok"
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of number -7, read back from their formatted strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    more = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], rows.schema)
     return digests(format_turns(to_turns(rows.unionByName(more))))
+
+
+ORACLE_SQL = rf"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{MARKED}'),
+sized AS (
+  SELECT *, length(text) + len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\*</?turn>'))) AS body,
+    length(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), chr(13), '\r')) AS head FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = '{ASSISTANT}'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{ASSISTANT}'), '')) AS loss_sha256,
+  CAST(sum({len(BEGIN)} + head + 1 + body + {len(END) + 2}) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

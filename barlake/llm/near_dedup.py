@@ -290,4 +290,23 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by shingles of four words, as the contract has them."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+#: The definition itself: all pairs of different sets with a shingle in common, then reachability.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+nodes AS (SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+rows_ AS (SELECT node, unnest(s) AS shingle FROM nodes),
+shared AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM rows_ a JOIN rows_ b ON a.shingle = b.shingle AND a.node <> b.node GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+heads AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM sets LEFT JOIN nodes USING (s) LEFT JOIN heads ON a = node
+"""

@@ -17,7 +17,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
-    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+    "op3_chat_formatting": chat.ORACLE_SQL,
+    "op8_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
