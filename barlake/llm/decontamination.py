@@ -1,4 +1,11 @@
-"""Benchmark decontamination: n-gram seeds join documents to test items, local alignment scores the passages."""
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, local alignment scores the passages.
+
+No copy above the score is lost. An alignment that scores `score` of the best possible may lose a bounded number of
+points, and each border between two neighbouring words of the item that it breaks costs one at least (an inserted word).
+So a number of an item's word pairs is whole in every such alignment; if it is zero, as for items of few words at low
+scores, the same holds for single words. Leaving out the most frequent ones but for that number, less the hits asked for,
+still leaves so many hits in every alignment: these, the rare ones, are the seeds.
+"""
 
 from __future__ import annotations
 
@@ -6,42 +13,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import ALNUM, flat, shingles, word_hashes
-from ._util import BROADCAST_BYTES, cut, free_name, ship, slices, table
+from ._util import BROADCAST_BYTES, cut, free_name, ship, slices, small, table
 
-#: Words of a seed; share of the best possible alignment from which on a passage is a copy.
-SEED, SCORE = 3, 0.6
+#: Share of the best possible alignment from which on a passage is a copy.
+SCORE = 0.6
 #: Alignment: a match, a mismatch and a gap of one word.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Points that a broken border between two words of an item costs at least, and seeds that a passage has to have, if all may.
+BORDER, HITS = min(-GAP, (MATCH - MISMATCH) / 2, (MATCH - GAP) / 2, MATCH), 3
 #: Slots of the map that keeps n-grams of no item out of the join: its size doesn't depend on the tables.
 SLOTS = 1 << 23
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    hashes, _, _, words = word_hashes(*flat(texts), ALNUM)
-    return shingles(hashes, words, SEED)
+def whole_grams(words: int, score: float) -> tuple[int, int, int]:
+    """Of an item of so many words: words of its n-grams (2 or 1), how many of these any alignment of that score leaves
+    whole, and the points that it may lose."""
+    slack = int(MATCH * words * (1 - score) + 1e-9)
+    pairs = words - 1 - int(slack / BORDER)
+    return (2, pairs, slack) if pairs > 0 else (1, max(1, words - slack // MATCH), slack)
+
 
+def item_grams(tests: DataFrame, score: float) -> DataFrame:
+    """item, gram, item_pos, width (words of the n-gram), words (of the item), slack, and keep: how many of the item's
+    rarest n-grams are seeds, and hits: how many of those a copy has at least."""
+    kind = tests.schema["item"].dataType
+    names = ["gram", "item_pos", "width", "words", "slack", "keep", "hits"]
+    schema = T.StructType([T.StructField("item", kind), *(T.StructField(x, T.LongType()) for x in names)])
 
-def gram_rows(rows: DataFrame, name: str, slots: np.ndarray | None = None) -> DataFrame:
-    """gram, name and pos (its place in the text) of the texts of rows (name, text), less those whose slot is empty."""
-    kind = rows.schema[name].dataType
-    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField(name, kind), T.StructField("pos", T.LongType())])
-    known = rows.sparkSession.sparkContext.broadcast(np.packbits(slots)) if slots is not None else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, _, _, at = word_hashes(*flat(part["text"]), ALNUM)
+                rows, out = [], []
+                for i, n in enumerate(np.diff(at).tolist()):
+                    if not n:
+                        continue
+                    width, need, slack = whole_grams(n, score)
+                    own = shingles(hashes[at[i] : at[i + 1]], np.array([0, n]), width)[0].view(np.int64)
+                    hits = min(need, HITS)
+                    one = [np.full(len(own), x) for x in (width, n, slack, len(own) - need + hits, hits)]
+                    rows.append(np.full(len(own), i))
+                    out.append(np.stack([own, np.arange(len(own)), *one]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([part["item"].take(pa.array(np.concatenate(rows))), *map(pa.array, np.concatenate(out, axis=1))], schema.names)
+
+    return tests.select("item", "text").mapInArrow(run, schema)
+
+
+def _slots(grams: DataFrame) -> np.ndarray:
+    """The map's slots that some gram falls in, packed: the driver gets words of 64 slots, SLOTS / 64 at most."""
+    slot = F.expr(f"gram & {SLOTS - 1}")
+    found = grams.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(SLOTS // 64, np.int64)
+    words[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return words.view(np.uint64)
+
+
+def _known(values: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the values whose slot isn't empty."""
+    slot = values & np.uint64(SLOTS - 1)
+    return np.flatnonzero((words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+
+
+def gram_rows(rows: DataFrame, widths: list[int], words: np.ndarray, counts: bool = False) -> DataFrame:
+    """gram, doc and pos (its place in the text) of the texts of rows (doc, text), less those whose slot is empty; or
+    gram and n, how often a slice of the texts has it."""
+    kind = rows.schema["doc"].dataType
+    columns = [("gram", T.LongType()), ("n", T.LongType())] if counts else [("gram", T.LongType()), ("doc", kind), ("pos", T.LongType())]
+    schema = T.StructType([T.StructField(*x) for x in columns])
+    known = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(known.value).astype(bool) if known else None
         for batch in batches:
             for part in slices(batch, "text"):
-                values, at = _grams(part["text"])
-                keep = np.flatnonzero(bits[(values & np.uint64(SLOTS - 1)).astype(np.int64)]) if known else np.arange(len(values))
-                text = np.searchsorted(at, keep, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), part[name].take(pa.array(text)), pa.array(keep - at[text])], schema.names)
+                hashes, _, _, at = word_hashes(*flat(part["text"]), ALNUM)
+                for width in widths:
+                    values, begin = shingles(hashes, at, width)
+                    keep = _known(values, known.value)
+                    found = values[keep].view(np.int64)
+                    if counts:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(found, return_counts=True)], schema.names)
+                    else:
+                        text = np.searchsorted(begin, keep, side="right") - 1
+                        yield pa.RecordBatch.from_arrays([pa.array(found), part["doc"].take(pa.array(text)), pa.array(keep - begin[text])], schema.names)
 
-    return rows.select(name, "text").mapInArrow(run, schema)
+    return rows.select("doc", "text").mapInArrow(run, schema)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -76,31 +137,33 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", score: float = SCORE) -> DataFrame:
     """Passages of documents that copy or edit a test item: key, item, score (0 to 1), begin and end (code points).
 
-    One row, the best, for each document and item at `score` or above. Seeds are all n-grams of an item, however many
-    documents hold them; two of an item within one stretch of a document (one, if replaced or left out words may leave
-    no more at that score) make a passage, which is aligned word by word, without case and punctuation. Items and
-    documents of few words have one n-gram, the whole. Null keys, and null or empty texts, match nothing; repeated rows
-    count once; empty tables give an empty one; other columns don't matter.
+    One row, the best, for each document and item at `score` or above: the same rows as alignment of all documents with
+    all items would give, word by word, without case and punctuation. Seeds are an item's word pairs (or words) without
+    the most frequent ones over all documents; how many are left out, and how many hits in one stretch of a document make
+    a passage to align, follows from the score (see the module). Null keys, and null or empty texts, match nothing;
+    repeated rows count once; empty tables give an empty one; other columns don't matter. Texts are hashed twice, for
+    counts and for seeds, and aren't shuffled but for those with a passage. Where the seeds are too large to broadcast, a
+    hot one's rows are split by Spark's skew join.
     """
     ship(docs.sparkSession)
     tests = items.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
     tests = cut(tests.groupBy("item").agg(F.min("text").alias("text")))
-    grams = cut(gram_rows(tests, "item").withColumnRenamed("pos", "item_pos"))
-    slots = np.zeros(SLOTS, bool)
-    slots[[r[0] for r in grams.select(F.expr(f"gram & {SLOTS - 1}").alias("slot")).distinct().collect()]] = True
+    grams = cut(item_grams(tests, score))
+    widths = sorted(r[0] for r in grams.select("width").distinct().collect()) or [2]
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    small = lambda df, width: F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
-    counts = grams.groupBy("item").agg((F.max("item_pos") + SEED).alias("words"), F.count("*").alias("grams"))
-    # A replaced word costs a match and a mismatch and breaks SEED n-grams: so many are whole at that score.
-    edits = F.floor(F.col("words") * F.lit(MATCH * (1 - score) / (MATCH - MISMATCH)) + F.lit(1e-9))
-    counts = counts.select("item", "words", F.least(F.lit(2), F.greatest(F.lit(1), F.col("grams") - SEED * edits)).alias("need"))
-    met = gram_rows(rows, "doc", slots).join(small(grams, 48), "gram").join(small(cut(counts), 40), "item")
-    # A stretch is as long as the item; a passage may lie across the border of two, so each hit counts in both.
-    stretch = F.floor((F.col("pos") - F.col("item_pos")) / F.col("words"))
-    met = met.select("doc", "item", "words", "need", "item_pos", "pos", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
-    met = met.groupBy("doc", "item", "stretch").agg(F.count_distinct("item_pos").alias("seeds"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.first("words").alias("words"), F.first("need").alias("need"))
-    met = met.where("seeds >= need")
-    spans = met.groupBy("doc", "item").agg(F.sort_array(F.collect_list(F.struct((F.col("low") - F.col("words")).alias("low"), (F.col("high") + F.col("words") + SEED).alias("high")))).alias("spans"))
+    counts = gram_rows(rows, widths, _slots(grams), counts=True).groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = counts.join(small(grams.select("gram").distinct(), 16), "gram", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "gram", "item_pos"))
+    seeds = cut(grams.join(counts, "gram", "left").withColumn("rank", rank).where("rank <= keep and n is not null").drop("rank", "keep", "n", "width"))
+    met = gram_rows(rows, widths, _slots(seeds)).join(small(seeds, 64), "gram")
+    # A copy is no longer than its item and what may be inserted; it may lie across the border of two stretches of that
+    # length, so each hit counts in both.
+    stretch = F.floor(F.col("pos") / (F.col("words") + F.col("slack")))
+    low, high = F.col("pos") - F.col("item_pos") - F.col("slack"), F.col("pos") - F.col("item_pos") + F.col("words") + F.col("slack")
+    met = met.select("doc", "item", "hits", "item_pos", low.alias("low"), high.alias("high"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    met = met.groupBy("doc", "item", "stretch").agg(F.count_distinct("item_pos").alias("seeds"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("hits").alias("hits"))
+    met = met.where("seeds >= hits")
+    spans = met.groupBy("doc", "item").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     found = cut(spans.join(tests.withColumnRenamed("text", "item_text"), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_text", "spans")).alias("tests")))
     size = found.select(F.sum(F.expr("aggregate(tests, 0L, (n, t) -> n + 40 + length(t.item_text) * 4 + size(t.spans) * 16)"))).first()[0] or 0
     both = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "doc")
@@ -128,6 +191,9 @@ def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                         else:
                             high = merged[-1][1] = max(high, s["high"])
                     for low, high in merged:
+                        # a copy has at least so many of the item's words
+                        if np.isin(own, words[low:high]).sum() < score * len(own) - 1e-9:
+                            continue
                         share, i, j = align(own, words[low:high])
                         if share > best[0]:
                             best = (share, low + i, low + j)
@@ -152,4 +218,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of all documents that copy a benchmark item."""
     return find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
