@@ -3,8 +3,11 @@
 A model predicts each byte of a lower-cased word from the bytes before it, back to the word's begin but at most
 `ORDER` - 1. Each class has its own counts of full contexts, discounted; the mass taken off goes to one Kneser-Ney model
 of shorter contexts with continuation counts pooled over both classes. So expressions that neither class knows cost both
-the same, and only what one class writes more often tells them apart. A text's score is a logistic function of the
-difference of its two log-likelihoods a byte.
+the same, and only what one class writes more often tells them apart.
+
+Toxic text is ordinary text for the most part. So its likelihood is, for each word, that of the ordinary model but for a
+share of `TOXIC_WORDS`, which is the toxic model's. A text's score is a logistic function of the difference of the two
+log-likelihoods a word. Every n-gram that either class has moves it.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from ._util import cut, kept, ship, slices, table
 ORDER, DISCOUNT = 7, 0.75
 #: How many pooled observations a class's context counts for besides its own: what is rare in both classes stays shared.
 PRIOR = 20.0
-#: Ratios of probabilities up to exp(MARGIN) are ties, and a text's length counts to this power.
-MARGIN, LENGTH_POWER = 2.0, 0.75
+#: Share of a toxic text's words that are toxic expressions.
+TOXIC_WORDS = 0.01
 #: Bound of the fit: labelled rows (of those, the first in an order of hashes). All their n-grams count.
 FIT_ROWS = 100_000
 FOLDS, CALIBRATE = 5, 4
@@ -168,18 +171,14 @@ def log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, short:
 
 
 class Model:
-    """Log-likelihood ratios (toxic to ordinary) of the n-grams that one class writes far more often, in a hash table.
-
-    Ratios of at most `MARGIN` count as ties: there are so many of them that their noise would drown a long text's
-    few telling words. N-grams that neither class has cost both the same.
-    """
+    """Log-likelihood ratios (toxic to ordinary) of all n-grams that either class has, in a hash table. N-grams that
+    neither class has cost both the same."""
 
-    def __init__(self, gram: np.ndarray, ratio: np.ndarray, margin: float = MARGIN) -> None:
-        tells = np.abs(ratio) > margin
-        self._fill(gram[tells].astype(np.uint64), ratio[tells])
+    def __init__(self, gram: np.ndarray, ratio: np.ndarray) -> None:
+        self._fill(gram.astype(np.uint64), ratio)
 
     def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(10, int(4 * len(keys)).bit_length())
+        self.bits = max(10, int(2 * len(keys)).bit_length())
         size = 1 << self.bits
         self.keys, self.values, self.probes = np.zeros(size, np.uint64), np.zeros(size, np.float32), 0
         slot = self._slot(keys)
@@ -208,12 +207,15 @@ class Model:
             open_ = open_[~hit & (at != 0)]
         return found
 
-    def evidence(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each text over a power of its length; 0 for texts without words."""
+    def evidence(self, data: np.ndarray, at: np.ndarray, share: float = TOXIC_WORDS) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each text, a word; 0 for texts without words."""
         gram, begin = grams(data, at)
-        total = np.zeros(len(gram) + 1)
-        np.cumsum(self.ratios(gram), dtype=float, out=total[1:])
-        return (total[begin[1:]] - total[begin[:-1]]) / np.maximum(np.diff(begin), 1) ** LENGTH_POWER
+        first = np.flatnonzero(gram < 1 << 16)  # a word's begin and its first byte
+        word = np.add.reduceat(self.ratios(gram), first) if len(first) else np.zeros(0)
+        total = np.zeros(len(first) + 1)
+        np.cumsum(np.log1p(share * np.expm1(np.clip(word, -30, 30).astype(float))), out=total[1:])
+        words = np.searchsorted(first, begin)
+        return (total[words[1:]] - total[words[:-1]]) / np.maximum(np.diff(words), 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -269,11 +271,11 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[tuple[np.
     return gram[order].astype(np.uint64), [(n[0], n[1]), (n[0] + n[2], n[1] + n[3])]
 
 
-def _telling(counts: DataFrame) -> pa.Table:
-    """gram, and its log ratio by the rows to fit with (ratio_0) and by all (ratio_1), where one exceeds the margin.
+def _ratios(counts: DataFrame) -> pa.Table:
+    """gram, and its log ratio by the rows to fit with (ratio_0) and by all (ratio_1).
 
     Contexts of two bytes or more are wholly in a partition; the driver gets the counts of the shorter ones (a bounded
-    number), makes their probabilities, and gets what tells the classes apart.
+    number), makes their probabilities, and gets the ratios: as many as the bounded labelled rows have n-grams.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,15 +290,14 @@ def _telling(counts: DataFrame) -> pa.Table:
     use, code, cont = (found[x].to_numpy() for x in ("use", "code", "cont"))
     short = counts.sparkSession.sparkContext.broadcast([short_backoff(code[use == i].astype(np.uint64), cont[use == i]) for i in (0, 1)])
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (first := next(batches, None)) is None:
             return
         gram, uses = _uses([first, *batches])
         ratios = [log_ratios(gram, *n, short.value[i]) for i, n in enumerate(uses)]
-        tells = (np.abs(ratios[0]) > MARGIN) | (np.abs(ratios[1]) > MARGIN)
-        yield pa.RecordBatch.from_arrays([pa.array(gram[tells].astype(np.int64)), *(pa.array(x[tells].astype(np.float32)) for x in ratios)], ["gram", "ratio_0", "ratio_1"])
+        yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in ratios)], ["gram", "ratio_0", "ratio_1"])
 
-    return counts.mapInArrow(tell, "gram long, ratio_0 float, ratio_1 float").toArrow()
+    return counts.mapInArrow(ratio, "gram long, ratio_0 float, ratio_1 float").toArrow()
 
 
 def _scored(rows: DataFrame, keep: list[str], model: Model, slope: float, intercept: float, out: str) -> DataFrame:
@@ -320,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     At most `rows` labelled keys are used (the first in an order of hashes; a key with both labels counts as toxic, null
     labels and keys don't count), so the labels are broadcast; n-gram counts are summed over tasks, and the driver gets
-    the n-grams that tell the classes apart, all of them. A first model without the last fold sets slope and intercept on it. With one class only
+    the ratios of all n-grams. A first model without the last fold sets slope and intercept on it. With one class only
     the model knows nothing and the score is the smoothed share of toxic labels.
     """
     spark = docs.sparkSession
@@ -330,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = cut(chosen.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
     marked = docs.select(F.col(key).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), F.expr("text_key = label_key"))
     counts = cut(_gram_counts(marked))
-    top = _telling(counts)
+    top = _ratios(counts)
     gram = top["gram"].to_numpy()
     first = Model(gram, top["ratio_0"].to_numpy())
     seen = _scored(marked, ["toxic", "fold"], first, None, 0.0, "x").where(F.col("fold") == CALIBRATE).select("toxic", "x").toArrow()
@@ -369,4 +370,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, by the labels of the folds that aren't held out."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
