@@ -10,6 +10,7 @@ still leaves so many hits in every alignment: these, the rare ones, are the seed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,31 +81,53 @@ def _known(values: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.flatnonzero((words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
 
 
-def gram_rows(rows: DataFrame, widths: list[int], words: np.ndarray, counts: bool = False) -> DataFrame:
-    """gram, doc and pos (its place in the text) of the texts of rows (doc, text), less those whose slot is empty; or
-    gram and n, how often a slice of the texts has it."""
+def gram_rows(rows: DataFrame, widths: list[int], words: np.ndarray) -> DataFrame:
+    """gram, doc and pos (its place in the text) of the texts of rows (doc, text), less those whose slot is empty."""
     kind = rows.schema["doc"].dataType
-    columns = [("gram", T.LongType()), ("n", T.LongType())] if counts else [("gram", T.LongType()), ("doc", kind), ("pos", T.LongType())]
-    schema = T.StructType([T.StructField(*x) for x in columns])
+    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("doc", kind), T.StructField("pos", T.LongType())])
     known = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, _, _, at = word_hashes(*flat(part["text"]), ALNUM)
-                for width in widths:
-                    values, begin = shingles(hashes, at, width)
-                    keep = _known(values, known.value)
-                    found = values[keep].view(np.int64)
-                    if counts:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(found, return_counts=True)], schema.names)
-                    else:
-                        text = np.searchsorted(begin, keep, side="right") - 1
-                        yield pa.RecordBatch.from_arrays([pa.array(found), part["doc"].take(pa.array(text)), pa.array(keep - begin[text])], schema.names)
+        for part, values, begin, keep in _held(batches, widths, known.value):
+            text = np.searchsorted(begin, keep, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), part["doc"].take(pa.array(text)), pa.array(keep - begin[text])], schema.names)
 
     return rows.select("doc", "text").mapInArrow(run, schema)
 
 
+def _held(batches: Iterator[pa.RecordBatch], widths: list[int], words: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of texts, their n-grams, where each text's begin, and the places of those whose slot isn't empty."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            hashes, _, _, at = word_hashes(*flat(part["text"]), ALNUM)
+            for width in widths:
+                values, begin = shingles(hashes, at, width)
+                yield part, values, begin, _known(values, words)
+
+
+def gram_counts(rows: DataFrame, widths: list[int], words: np.ndarray) -> DataFrame:
+    """gram and n, its occurrences in the texts, for the n-grams whose slot isn't empty. A task sums its own."""
+    known = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            values, where = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return values, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for _, values, _, keep in _held(batches, widths, known.value):
+            held.append(np.unique(values[keep].view(np.int64), return_counts=True))
+            if len(held) == 32:
+                held = [summed()]
+                if len(held[0][0]) > SLOTS // 8:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop())], ["gram", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, summed())], ["gram", "n"])
+
+    return rows.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman over words: best score over that of the whole item, and the words of the passage it covers."""
     m, n = len(item), len(passage)
@@ -151,18 +174,19 @@ def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     grams = cut(item_grams(tests, score))
     widths = sorted(r[0] for r in grams.select("width").distinct().collect()) or [2]
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    counts = gram_rows(rows, widths, _slots(grams), counts=True).groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = gram_counts(rows, widths, _slots(grams))
     counts = counts.join(small(grams.select("gram").distinct(), 16), "gram", "left_semi")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "gram", "item_pos"))
     seeds = cut(grams.join(counts, "gram", "left").withColumn("rank", rank).where("rank <= keep and n is not null").drop("rank", "keep", "n", "width"))
     met = gram_rows(rows, widths, _slots(seeds)).join(small(seeds, 64), "gram")
     # A copy is no longer than its item and what may be inserted; it may lie across the border of two stretches of that
-    # length, so each hit counts in both.
+    # length, so each hit counts in both. Places of the item are told apart by a bit each; where 64 bits don't do, hits
+    # of one place may count more than once, which can only add passages.
     stretch = F.floor(F.col("pos") / (F.col("words") + F.col("slack")))
     low, high = F.col("pos") - F.col("item_pos") - F.col("slack"), F.col("pos") - F.col("item_pos") + F.col("words") + F.col("slack")
-    met = met.select("doc", "item", "hits", "item_pos", low.alias("low"), high.alias("high"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
-    met = met.groupBy("doc", "item", "stretch").agg(F.count_distinct("item_pos").alias("seeds"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("hits").alias("hits"))
-    met = met.where("seeds >= hits")
+    met = met.select("doc", "item", "hits", F.expr("shiftleft(1L, cast(item_pos % 64 as int))").alias("bit"), (F.col("words") > 64).alias("long"), low.alias("low"), high.alias("high"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    met = met.groupBy("doc", "item", "stretch").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"), F.first("long").alias("long"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("hits").alias("hits"))
+    met = met.where("if(long, n, bit_count(bits)) >= hits")
     spans = met.groupBy("doc", "item").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     found = cut(spans.join(tests.withColumnRenamed("text", "item_text"), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_text", "spans")).alias("tests")))
     size = found.select(F.sum(F.expr("aggregate(tests, 0L, (n, t) -> n + 40 + length(t.item_text) * 4 + size(t.spans) * 16)"))).first()[0] or 0
@@ -174,13 +198,18 @@ def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         return batch["tests"].type.value_type.field("item").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(1 << 12)
+        def item_words(text: str) -> tuple[np.ndarray, frozenset]:
+            own = word_hashes(*flat(pa.array([text])), ALNUM)[0]
+            return own, frozenset(own.tolist())
+
         for batch in batches:
             out = []
             for doc, text_, wanted in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["tests"].to_pylist(), strict=True):
                 data, at = flat(pa.array([text_]))
                 words, first, last, _ = word_hashes(data, at, ALNUM)
                 for test in wanted:
-                    own = word_hashes(*flat(pa.array([test["item_text"]])), ALNUM)[0]
+                    own, kinds = item_words(test["item_text"])
                     best = (0.0, 0, 0)
                     low = high = -1
                     merged = []  # stretches that overlap are one passage
@@ -191,8 +220,8 @@ def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                         else:
                             high = merged[-1][1] = max(high, s["high"])
                     for low, high in merged:
-                        # a copy has at least so many of the item's words
-                        if np.isin(own, words[low:high]).sum() < score * len(own) - 1e-9:
+                        # a copy has at least so many words of the item's
+                        if sum(x in kinds for x in words[low:high].tolist()) < score * len(own) - 1e-9:
                             continue
                         share, i, j = align(own, words[low:high])
                         if share > best[0]:
