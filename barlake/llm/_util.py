@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it has at most so many bytes, after counting its rows.
 BROADCAST_BYTES = 32 << 20
@@ -53,15 +55,36 @@ def ship(spark: SparkSession) -> None:
     sc._barlake_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder, or the setting that names it.
+
+    Where neither is set, a temporary one in local mode; on a cluster that is an error, since executors don't share it.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A frame written as Parquet to the shared folder, and read again: compressed, and columns that aren't asked for
+    aren't read. Columns without a type come back as they were."""
+    void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+    to = f"{shared_folder(df.sparkSession)}/barlake-{uuid.uuid4().hex}"
+    df.drop(*void).write.parquet(to)
+    back = df.sparkSession.read.schema(T.StructType([f for f in df.schema if f.name not in void])).parquet(to)
+    return back.select(*(F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns)) if void else back
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a materialised frame for broadcast if its counted rows fit the bound; else leave it to a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_BYTES, cut, free_name, table
+from ._util import BROADCAST_BYTES, cut, free_name, stored, table
 
 #: Given names by script and gender, for finding names and for replacing them; honorifics by gender.
 GIVEN = {
@@ -48,14 +48,21 @@ FIRST = {"iban": "[A-Z]", "card": "[0-9]", "ip": "[0-9]", "phone": "[0-9+(]", "s
 ANY = "|".join(f"(?:(?={FIRST[k]})(?:{p}))" if k in FIRST else f"(?:{p})" for k, p in PATTERNS.items())
 #: Whole matches are told apart by these, in this order (what stands around a match is gone then).
 KINDS = {"email": "@", "ip": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$", "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "phone": r"^(?:\+|\(|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$)", "card": r"^[0-9](?:[ -]?[0-9]){12,18}$", "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$", "name": rf"^(?:(?:{_honor})\.? |(?:{_given}) )"}
-#: Draws after which a collision is an error; each leaves a tiny share of the one before.
-DRAWS = 12
+#: The digits that payment cards begin with.
+ISSUERS = "23456"
+#: Attempts from which on kinds of a fixed layout get one more character each, so that no kind runs out.
+FIXED = 6
+#: The session setting that holds the secret key of the registered query, and the key where it is unset.
+KEY_SETTING, OPEN_KEY = "spark.barlake.surrogates.key", "not a secret"
 
 
 def kind_of(entity: Column) -> Column:
+    """The type of a match; `number` for what has a card number's length but isn't one, and stays."""
     out = F.lit("secret")
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    card = F.when(digits.rlike(f"^[{ISSUERS}]") & (_luhn(digits) % 10 == 0), "card").otherwise("number")
     for kind, pattern in reversed(KINDS.items()):
-        out = F.when(entity.rlike(pattern), kind).otherwise(out)
+        out = F.when(entity.rlike(pattern), card if kind == "card" else kind).otherwise(out)
     return out
 
 
@@ -129,7 +136,8 @@ def surrogates(items: Column, key: str) -> Column:
 
     def drawn(s: Column) -> Column:
         seed = s["seed"]
-        each = F.transform(F.split(s["digits"], ""), lambda c, i: F.when(i == 0, (_draw(seed, i) % 8 + 2).cast("string")).otherwise((_draw(seed, i) % 10).cast("string")))
+        # A card number keeps its first digit.
+        each = F.transform(F.split(s["digits"], ""), lambda c, i: F.when((i == 0) & (s["kind"] == "card"), c).when(i == 0, (_draw(seed, i) % 8 + 2).cast("string")).otherwise((_draw(seed, i) % 10).cast("string")))
         # A phone number keeps its country code.
         code = F.regexp_extract(s["entity"], r"^\+([0-9]{1,3})(?=[ .(-])", 1)
         return F.struct(*keep(s, *base, "seed", "part_seed", "digits", "words"), F.array_join(each, "").alias("drawn"), code.alias("code"))
@@ -142,17 +150,20 @@ def surrogates(items: Column, key: str) -> Column:
         phone = F.concat(s["code"], F.substring(digits, F.length(s["code"]) + 1, F.length(digits)))
         # A mail address keeps its shape in the first draw; the domain depends on the domain alone.
         host = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(F.lit(ALPHABETS["a-z"]), (_draw(part_seed, i) % 26 + 1).cast("int"), F.lit(1))), "")
-        # Each further attempt has one more letter to draw from, so short local parts don't run out.
-        more = F.when(s["attempt"] > 0, F.array_join(F.transform(F.sequence(F.lit(1), s["attempt"]), lambda i: F.substring(F.lit(ALPHABETS["a-z"]), (_draw(seed, -i) % 26 + 1).cast("int"), F.lit(1))), "")).otherwise("")
+        # Each further attempt has one more letter to draw from, so short local parts don't run out; in the end the kinds
+        # of a fixed layout get longer, too.
+        drawn_from = lambda chars, n: F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.lit(chars), (_draw(seed, -i) % len(chars) + 1).cast("int"), F.lit(1))), "")).otherwise("")
+        more, last = drawn_from(ALPHABETS["a-z"], s["attempt"]), drawn_from(ALPHABETS["0-9"], s["attempt"] - FIXED)
         mail = F.concat(_letters(F.substring_index(entity, "@", 1), seed), more, F.lit("@"), host, F.lit(".example"))
         ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i) % 254 + 1).cast("string")), ".")
         iban = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), seed))
         lead, bare = F.regexp_extract(entity, f"^{_lead}", 0), F.regexp_replace(entity, f"^{_lead}", "")
         hexes = F.substring(F.concat(seed, F.sha2(seed, 256)), F.lit(1), F.least(F.length(bare), F.lit(128)))
         secret = F.when(bare.startswith("AKIA"), F.concat(F.lit("AKIA"), _letters(F.substring(bare, F.lit(5), F.length(bare)), seed))).when(bare.rlike("^[0-9a-f]{1,128}$"), hexes).otherwise(_letters(bare, seed))
-        out = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", _layout(entity, card)).when(kind == "phone", _layout(entity, phone)).when(kind == "ssn", _layout(entity, digits)).when(kind == "iban", iban)
+        out = F.when(kind == "ip", ip).when(kind == "card", _layout(entity, card)).when(kind == "phone", _layout(entity, phone)).when(kind == "ssn", _layout(entity, digits)).when(kind == "iban", iban)
         person = F.concat(F.regexp_extract(entity, title, 0), _person(entity, s["words"], seed, part_seed, s["attempt"]))
-        return out.when(kind == "name", person).otherwise(F.concat(lead, secret))
+        fixed = F.concat(out.otherwise(F.concat(lead, secret)), F.when((kind == "ip") & (last != ""), ":").otherwise(""), last)
+        return F.when(kind == "number", entity).when(kind == "name", person).when(kind == "email", mail).otherwise(fixed)
 
     return F.transform(F.transform(F.transform(items, seeded), drawn), made)
 
@@ -177,11 +188,14 @@ def _person(entity: Column, words: Column, seed: Column, surname: Column, attemp
 
 
 def redraws(entities: DataFrame, key: str) -> DataFrame:
-    """norm and attempt (above 0) of the entities (entity, norm, kind; one row for each norm) that have to draw again."""
+    """norm and attempt (above 0) of the entities (entity, norm, kind; one row for each norm) that have to draw again.
+
+    Every kind's space grows with the attempts, so the rounds end, however many entities there are.
+    """
     waiting = entities.select("entity", "norm", "kind", F.lit(0).alias("attempt"))
     real = entities.select(F.col("norm").alias("taken")).distinct()
     settled, out = None, None
-    for _ in range(DRAWS):
+    while True:
         item = F.array(F.struct("entity", "kind", "norm", "attempt"))
         drawn = cut(waiting.withColumn("made", surrogates(item, key)[0])).withColumn("made", normal(F.col("made"), F.col("kind")))
         first = drawn.groupBy("made").agg(F.min("norm").alias("winner"), F.count("*").alias("n"))
@@ -199,31 +213,32 @@ def redraws(entities: DataFrame, key: str) -> DataFrame:
         if not bad.limit(1).count():
             break
         waiting = cut(waiting.join(bad, "norm", "left_semi").withColumn("attempt", F.col("attempt") + 1))
-    else:
-        raise ValueError("surrogates still collide")
     return out if out is not None else waiting.select("norm", "attempt").limit(0)
 
 
-def replace_entities(df: DataFrame, text: str = "text", key: str = "barlake", found: str = "n_entities") -> DataFrame:
-    """Replace the entities of whole texts by surrogates and add their number; other columns are kept.
+def replace_entities(df: DataFrame, key: str, text: str = "text", found: str = "n_entities") -> DataFrame:
+    """Replace the entities of whole texts by surrogates under a secret key and add their number; other columns are kept.
 
     Null texts stay null with no entities, texts without entities stay as they are. Equal entities, also of repeated
-    rows, get equal surrogates; an empty table stays empty. Texts aren't shuffled: only the few entities that collide in
-    their first draw are brought to the texts that hold them (in a broadcast, if their counted size allows).
+    rows, get equal surrogates; an empty table stays empty; where a column has the name `found`, the number's gets
+    another. A surname that a name in a text ends in is replaced in the rest of the text, too; titles stay. Surrogates
+    get longer where a kind's space runs out.
+
+    The patterns run over each text once: rows are written with what was found in them to the shared folder, and read
+    again. Texts aren't shuffled: only the few entities that collide in their first draw are brought to the texts that
+    hold them (in a broadcast, if their counted size allows).
     """
     spot, again = free_name(df, "entity_list"), free_name(df, "redraw_map")
     body = F.coalesce(F.col(text), F.lit(""))
-    all_ = lambda t: F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    seen = df.select(F.explode(all_(body)).alias("entity")).distinct()
-    seen = seen.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal(F.col("entity"), F.col("kind")))
-    entities = cut(seen.groupBy("norm", "kind").agg(F.min("entity").alias("entity")))
-    odd = redraws(entities, key)
-    out = df.withColumn(spot, all_(body))
-    norm_of = lambda x: normal(x, kind_of(x))
+    items = F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), lambda x: F.struct(x.alias("entity"), kind_of(x).alias("kind")))
+    items = F.transform(items, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), normal(s["entity"], s["kind"]).alias("norm")))
+    out = stored(df.withColumn(spot, items))
+    each = out.select(F.explode(spot).alias("s")).where("s.kind <> 'number'").select("s.*")
+    odd = redraws(cut(each.groupBy("norm", "kind").agg(F.min("entity").alias("entity"))), key)
     n = odd.count()
     if n:
         hold = free_name(df, "text_hash")
-        few = df.select(F.sha2(body, 256).alias(hold), F.explode(all_(body)).alias("entity")).withColumn("norm", norm_of(F.col("entity")))
+        few = out.where(F.size(spot) > 0).select(F.sha2(body, 256).alias(hold), F.explode(F.col(spot)["norm"]).alias("norm"))
         few = few.join(F.broadcast(odd) if n * 100 <= BROADCAST_BYTES else odd, "norm").select(hold, "norm", "attempt").distinct()
         few = cut(few.groupBy(hold).agg(F.map_from_entries(F.collect_list(F.struct("norm", "attempt"))).alias(again)))
         few = F.broadcast(few) if few.count() * 300 <= BROADCAST_BYTES else few
@@ -231,15 +246,20 @@ def replace_entities(df: DataFrame, text: str = "text", key: str = "barlake", fo
         attempt = lambda norm: F.coalesce(F.element_at(F.col(again), norm), F.lit(0))
     else:
         out, attempt = out.withColumn(again, F.lit(0)), lambda norm: F.lit(0)
-    items = F.transform(F.col(spot), lambda x: F.struct(x.alias("entity"), kind_of(x).alias("kind")))
-    items = F.transform(items, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), normal(s["entity"], s["kind"]).alias("norm")))
-    items = F.transform(items, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["norm"].alias("norm"), attempt(s["norm"]).alias("attempt")))
-    made = surrogates(items, key)
+    tried = F.transform(F.col(spot), lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["norm"].alias("norm"), attempt(s["norm"]).alias("attempt")))
+    made = free_name(df, "surrogate_list")
+    out = out.withColumn(made, F.when(F.size(spot) > 0, surrogates(tried, key)))
     gaps = F.split(F.col(text), ANY, -1)
-    woven = F.array_join(F.flatten(F.zip_with(gaps, made, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    out = out.withColumn(found, F.size(spot))
-    return out.withColumn(text, F.when(F.size(spot) > 0, woven).otherwise(F.col(text))).drop(spot, again)
+    # Bare surnames: the last word of each name, as a whole word of the gaps.
+    last = lambda x: F.regexp_extract(x, r"(\p{L}[\p{L}'’-]+)$", 1)
+    names = F.filter(F.arrays_zip(F.col(spot)["entity"].alias("entity"), F.col(spot)["kind"].alias("kind"), F.col(made).alias("made")), lambda z: (z["kind"] == "name") & (last(z["entity"]) != ""))
+    bare = lambda g: F.aggregate(names, g, lambda t, z: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}'’-])"), last(z["entity"]), F.lit(r"(?![\p{L}\p{N}])")), last(z["made"])))
+    gaps = F.when(F.exists(spot, lambda s: s["kind"] == "name"), F.transform(gaps, bare)).otherwise(gaps)
+    woven = F.array_join(F.flatten(F.zip_with(gaps, F.col(made), lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+    out = out.withColumn(free_name(df, found), F.size(F.filter(spot, lambda s: s["kind"] != "number")))
+    return out.withColumn(text, F.when(F.size(spot) > 0, woven).otherwise(F.col(text))).drop(spot, again, made)
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents with surrogates under the session's key; set one before using the texts."""
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, OPEN_KEY))

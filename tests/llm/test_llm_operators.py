@@ -130,7 +130,7 @@ def test_toxicity_keeps_rare_grams(spark):
 
 def test_surrogates(spark):
     rows = [(1, "Mail anna.B12@mail4.example.com or ANNA.b12@MAIL4.example.com, call +1 (632) 555-4827 or +1 632-555-4827."), (2, "card 4012 8888 8888 1881, ip 10.1.2.3 and anna.b12@mail4.example.com"), (3, "Ms. Anna Smith met Mr Smith; Анна Иванова"), (4, None), (5, ""), (6, "nothing 1.2.3 here 12-34")]
-    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     assert [got[i].n_entities for i in range(1, 7)] == [4, 3, 3, 0, 0, 0]
     mails = re.findall(r"[\w.]+@\w+\.example", got[1].text + got[2].text)
     assert len(mails) == 3 and mails[0].lower() == mails[2].lower() and "anna" not in mails[0].lower()
@@ -147,7 +147,7 @@ def test_surrogates(spark):
 def test_surrogates_stay_distinct(spark):
     """Two-digit entities would collide at once; all get different surrogates, none a real value."""
     hosts = [f"{a}{b}@x.example.com" for a in "abcdefghijklmn" for b in "abcdefghijklmnopqrst"]
-    got = [r.text for r in pii.replace_entities(spark.createDataFrame([(x,) for x in hosts], "text string")).collect()]
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame([(x,) for x in hosts], "text string"), "k").collect()]
     assert len({x.lower() for x in got}) == len(hosts)
 
 
@@ -156,14 +156,43 @@ def test_surrogates_do_not_run_out(spark):
     letters = "αβγδεζηθικλμνξοπρστυφχψω"
     names = [f"Mr Ζ{''.join(letters[n // 24**p % 24] for p in range(4))}" for n in range(12_000)]
     rows = [f"{i}@x.com" for i in range(10)] + names
-    got = [r.text for r in pii.replace_entities(spark.createDataFrame([(x,) for x in rows], "text string")).collect()]
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame([(x,) for x in rows], "text string"), "k").collect()]
     assert len({x.lower() for x in got}) == len(rows) and not set(got) & set(rows)
 
 
+def luhn(number):
+    digits = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(number))]
+    return sum(d // 10 + d % 10 for d in digits) % 10 == 0
+
+
+def test_surrogates_of_many_kinds(spark):
+    """26 mailboxes of a host, numbers that aren't cards, a bare surname, repeats, other keys, and odd tables."""
+    rows = [f"{c}@corp.org" for c in "abcdefghijklmnopqrstuvwxyz"] + ["id 9807915762804490", "Ms Anna Smith came. Smith's, Smithers and smith", "Ms Anna Smith came. Smith's, Smithers and smith", "x" * 200_000 + " a@corp.org", None, ""]
+    df = spark.createDataFrame([(x, 7, i) for i, x in enumerate(rows)], "text string, n_entities int, entity_list int")
+    got = pii.replace_entities(df, "k").orderBy("entity_list").collect()
+    texts = [r.text for r in got]
+    assert got[0].__fields__ == ["text", "n_entities", "entity_list", "_n_entities"] and {r.n_entities for r in got} == {7}
+    by = dict(zip(rows, texts, strict=True))
+    assert len({by[x] for x in rows[:26]}) == 26 and by["id 9807915762804490"] == "id 9807915762804490"
+    assert by["x" * 200_000 + " a@corp.org"] == "x" * 200_000 + " " + by["a@corp.org"] and by[None] is None and by[""] == ""
+    name = re.match(r"Ms (\w+) (\w+) came\. (\w+)'s, Smithers and smith$", by[rows[27]])
+    assert name[2] == name[3] != "Smith" and texts.count(by[rows[27]]) == 2
+    other = {r.text for r in pii.replace_entities(df, "another key").collect()}
+    assert not other & {by[x] for x in rows[:26]}
+    assert pii.replace_entities(df.limit(0), "k").count() == 0
+
+
+def test_surrogates_of_full_spaces(spark):
+    """Draws of a kind of fixed layout that has run out get longer."""
+    item = lambda e, k, n: F.struct(F.lit(e).alias("entity"), F.lit(k).alias("kind"), F.lit(f"{k}:{e}").alias("norm"), F.lit(n).alias("attempt"))
+    made = spark.range(1).select(pii.surrogates(F.array(item("123-45-6789", "ssn", 0), item("123-45-6789", "ssn", pii.FIXED + 2), item("1.2.3.4", "ip", pii.FIXED + 1)), "k").alias("m")).first().m
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4}", made[0]) and re.fullmatch(r"\d{3}-\d\d-\d{6}", made[1]) and re.fullmatch(r"[\d.]+:\d", made[2])
+
+
 def test_surrogates_whole_table(spark, texts):
-    patterns = [r"[\w.+-]+@[\w.-]+\w", r"\d+\.\d+\.\d+\.\d+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\b\d{16}\b", r"AKIA\w{16}", r"(?<=password=)\w+", r'(?<=token = ")\w+']
+    patterns = [r"[\w.+-]+@[\w.-]+\w", r"\d+\.\d+\.\d+\.\d+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\b[2-6]\d{15}\b", r"AKIA\w{16}", r"(?<=password=)\w+", r'(?<=token = ")\w+']
     for r in llm.QUERIES["op2_pii_surrogates"](spark, SF).collect():
-        found = [e for p in patterns for e in re.findall(p, texts[r.doc_id])]
+        found = [e for p in patterns for e in re.findall(p, texts[r.doc_id]) if "d{15}" not in p or luhn(e)]
         assert not any(e in r.text for e in found)
         assert found or r.text == texts[r.doc_id]
 
