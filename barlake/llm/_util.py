@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of one key that go to one task of a join.
+HOT_ROWS = 1000
 #: What a Python worker keeps between tasks: one entry, the last operator's.
 _kept: dict[str, object] = {}
 
@@ -115,6 +117,17 @@ def numbered(df: DataFrame, group: str, ties: list[Column], buckets: int, out: s
     return df.withColumn(out, F.col(out) + F.col(first)).drop(part, first, f"{group}_g", f"{part}_g")
 
 
+def spread_join(many: DataFrame, few: DataFrame, key: str, count: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on a key that may be hot: rows of `many` with one key are dealt by the hash of `by` into parts of about
+    `HOT_ROWS`, and the key's rows of `few` are repeated for each part. `count` is a column of both frames: how many rows
+    of `many` have the key, at most. It comes back from `many`."""
+    part = free_name(many, "key_part")
+    parts = lambda df: F.greatest(F.lit(1), F.ceil(df[count] / HOT_ROWS)).cast("int")
+    left = many.withColumn(part, F.pmod(F.xxhash64(by), parts(many)).cast("int"))
+    right = few.withColumn(part, F.explode(F.sequence(F.lit(0), parts(few) - 1))).drop(count)
+    return left.join(right, [key, part], how).drop(part)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice has few bytes of text (or one row), for arrays that stay in cache."""
     col = batch.column(batch.schema.get_field_index(column))

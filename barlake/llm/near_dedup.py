@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import distinct, flat, shingles, word_hashes
-from ._util import BROADCAST_BYTES, cut, free_name, kept, ship, slices, table
+from ._util import BROADCAST_BYTES, HOT_ROWS, free_name, kept, ship, slices, small, spread_join, stored, table
 
 COORDS, MATCHES = 48, 24
 PREFIX = COORDS - MATCHES + 1
+#: Parts in which the nodes of a posting list are counted.
+PARTS = 64
 #: Members of a list up to which its pairs are made in one go; larger ones are cut into blocks of so many.
 BLOCK = 64
 
@@ -69,11 +71,17 @@ def _some(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * |intersection| >= percent * |union|."""
-    pairs = cut(pairs.select("a", "b").distinct())
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = _some(docs, ids, key, text)
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    schema = both.select("a", "b").schema
+    pairs = stored(pairs.select("a", "b").distinct())
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("met")))
+    hot = small(stored(ids.where(F.col("met") > HOT_ROWS)), 24)
+    texts = _some(docs, ids, key, text).join(hot, "node", "left").withColumn("met", F.coalesce("met", F.lit(1)))
+    both = pairs
+    for side, other in (("a", "b"), ("b", "a")):  # a leader with many followers is dealt over many tasks
+        met, own = f"met_{side}", texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"), F.col("met").alias(f"met_{side}"))
+        both = both.join(hot.select(F.col("node").alias(side), F.col("met").alias(met)), side, "left").withColumn(met, F.coalesce(met, F.lit(1)))
+        both = spread_join(both, own, side, met, other)
+    both = both.select("a", "b", "text_a", "text_b")
+    schema = pairs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +105,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, pe
                 if keep:
                     yield pa.RecordBatch.from_arrays([part["a"].take(pa.array(keep)), part["b"].take(pa.array(keep))], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -107,43 +115,46 @@ def components(edges: DataFrame) -> DataFrame:
     there are between the merged nodes; their number falls by a constant factor at least.
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    edges = cut(edges.where("a <> b").distinct())
+    edges = stored(edges.where("a <> b").distinct())
     total = None
     while edges.limit(1).count():
         sides = edges.union(edges.select("b", "a"))
         links = sides.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["v"].alias("comp"))
-        links = cut(links)
+        links = stored(links)
         for _ in range(3):
             up = links.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
             links = links.join(up, "comp").select("node", F.col("higher").alias("comp"))
-        links = cut(links)
+        links = stored(links)
         if total is None:
             total = links
         else:
             up = links.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
             total = total.join(up, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"))
         ends = [links.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp")) for x in ("a", "b")]
-        edges = cut(edges.join(ends[0], "a").join(ends[1], "b").where("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
-    return cut(total) if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        edges = stored(edges.join(ends[0], "a").join(ends[1], "b").where("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
+    return stored(total) if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
 def posting_lists(posted: DataFrame, total: Column, prefix: Column) -> DataFrame:
-    """key, node, n, before and shared: each node's entries among its `prefix` rarest (of `total`) that another node has,
-    too; before: how many of its entries are rarer. posted: node, n, key, distinct."""
-    common = posted.groupBy("key").count().where("count > 1")
-    entries = posted.join(common, "key")
+    """key, node, n, before, shared and count: each node's entries among its `prefix` rarest (of `total`) that another
+    node has, too; before: how many of its entries are rarer; count: how many nodes have the entry. posted: node, n, key,
+    distinct. A key's rows are counted and met in parts, so a frequent one isn't one task."""
+    posted = posted.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    parts = posted.groupBy("key", "part").agg(F.count("*").alias("c"))
+    common = parts.groupBy("key").agg(F.sum("c").alias("count"), F.collect_list("part").alias("parts")).where("count > 1")
+    entries = posted.join(common.select("key", "count", F.explode("parts").alias("part")), ["key", "part"])
     held = entries.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("entries"))
     held = held.withColumn("own", total - F.size("entries")).withColumn("room", prefix - F.col("own"))  # its own come first
     held = held.where("room > 0").select("node", "n", "own", F.size("entries").alias("shared"), F.slice("entries", F.lit(1), F.col("room").cast("int")).alias("entries"))
-    held = held.select("node", "n", "own", "shared", F.posexplode(F.col("entries.key")).alias("at", "key"))
-    return held.select("key", "node", "n", (F.col("own") + F.col("at")).cast("long").alias("before"), "shared")
+    held = held.select("node", "n", "own", "shared", F.posexplode("entries").alias("at", "e"))
+    return held.select("e.key", "node", "n", (F.col("own") + F.col("at")).cast("long").alias("before"), "shared", "e.count")
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
     """For each node the leader that it meets in most lists. A list's leader is its most central member."""
     central = F.struct((F.col("shared") - F.col("before")).alias("c"), F.xxhash64("node").alias("h"), F.col("node").alias("leader"))
-    leaders = lists.groupBy("key").agg(F.max(central)["leader"].alias("leader"))
-    met = lists.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("met"))
+    leaders = lists.groupBy("key").agg(F.max(central)["leader"].alias("leader"), F.max("count").alias("count"))
+    met = spread_join(lists, leaders, "key", "count", "node").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("met"))
     return met.groupBy("node").agg(F.max(F.struct("met", F.xxhash64("leader"), "leader"))["leader"].alias("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
@@ -166,8 +177,8 @@ def shingle_rows(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -
 def several_classes(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The members of lists that hold several classes, with comp (class) and size (of the list)."""
     members = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
-    return members.join(mixed.select("key", "size"), "key")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"), F.max("count").alias("count")).where("least <> most")
+    return spread_join(members, mixed.select("key", "size", "count"), "key", "count", "node")
 
 
 def could_meet(members: DataFrame, percent: int) -> DataFrame:
@@ -175,16 +186,17 @@ def could_meet(members: DataFrame, percent: int) -> DataFrame:
     anew. In a list most members are of one class, which has to look at the few others only: these are judged first, by
     the extremes of the whole list, and the large class by the extremes of the others that are left."""
     slack = ((100 + percent) * (F.col("n") - F.col("before")) - percent * F.col("n")) / percent  # largest partner
-    rows = members.drop("size").withColumn("slack", slack)
-    classes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("slack").alias("high"))
-    lists = classes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("low").alias("low"), F.max("high").alias("high"))
-    rows = cut(rows.join(lists, "key"))
+    rows = members.withColumn("slack", slack)
+    classes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("slack").alias("high"), F.max("size").alias("size"))
+    lists = classes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("size").alias("size"))
+    rows = stored(spread_join(rows, lists, "key", "size", "node"))
     fits = (F.col("low") <= F.col("slack")) & (F.col("high") >= F.col("n"))
     others = rows.where((F.col("comp") != F.col("main")) & fits).drop("low", "high", "main")
-    bounds = others.groupBy("key").agg(F.min("n").alias("low"), F.max("slack").alias("high"))
-    mains = rows.where(F.col("comp") == F.col("main")).drop("low", "high", "main").join(bounds, "key").where(fits).drop("low", "high")
-    left = cut(others.unionByName(mains))
-    return left.join(left.groupBy("key").agg(F.count("*").alias("size")), "key").drop("slack")
+    bounds = others.groupBy("key").agg(F.min("n").alias("low"), F.max("slack").alias("high"), F.max("size").alias("size"))
+    mains = spread_join(rows.where(F.col("comp") == F.col("main")).drop("low", "high", "main"), bounds, "key", "size", "node").where(fits).drop("low", "high")
+    left = stored(others.unionByName(mains))
+    sizes = left.groupBy("key").agg(F.count("*").alias("left_size"), F.max("size").alias("size"))
+    return spread_join(left, sizes, "key", "size", "node").withColumn("size", F.col("left_size")).drop("slack", "left_size")
 
 
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +207,9 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = at.select("key", "node", "comp", "n", "before", "block", other.alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "before")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # As many tasks as asked for: a few bytes make much work here, so they aren't put together by size.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     kind = members.schema["node"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
@@ -248,28 +262,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     keys count as one document. An empty table gives an empty one; other columns don't matter.
     """
     ship(docs.sparkSession)
-    rows = cut(signatures(docs, key, text, k))
-    classes = cut(rows.where("doc is not null and set_id is not null").groupBy("set_id").agg(F.min("doc").alias("node")))
+    rows = stored(signatures(docs, key, text, k))
+    classes = stored(rows.where("doc is not null and set_id is not null").groupBy("set_id").agg(F.min("doc").alias("node")))
     nodes = rows.join(classes.select("set_id", F.col("node").alias("doc")), ["set_id", "doc"], "left_semi")
-    nodes = cut(nodes.select(F.col("doc").alias("node"), F.col("n_shingles").alias("n"), "signature"))
+    nodes = stored(nodes.select(F.col("doc").alias("node"), F.col("n_shingles").alias("n"), "signature"))
     posted = nodes.select("node", "n", F.explode("signature").alias("key"))
-    lists = cut(posting_lists(posted, F.lit(COORDS), F.lit(PREFIX)))
-    edges = cut(confirmed(leader_pairs(lists), docs, key, text, k, percent))
+    lists = stored(posting_lists(posted, F.lit(COORDS), F.lit(PREFIX)))
+    edges = stored(confirmed(leader_pairs(lists), docs, key, text, k, percent))
     # Lists that hold several classes: small ones are compared as they are. For the members of large ones the shingles
     # themselves are posted, with a prefix that is exact for the threshold, and leaders are met once more.
-    members = cut(several_classes(lists, components(edges)))
+    members = stored(several_classes(lists, components(edges)))
     columns = ["key", "node", "comp", "n", "before", "size"]
     few = members.where(F.col("size") <= BLOCK).withColumn("before", F.lit(0).cast("long")).select(columns)
-    large = cut(members.where(F.col("size") > BLOCK).select("node").distinct())
+    large = stored(members.where(F.col("size") > BLOCK).select("node").distinct())
     met = block_pairs(few, percent)
     if large.limit(1).count():
         prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-        lists = cut(posting_lists(shingle_rows(docs, large, key, text, k), F.col("n"), prefix))
+        lists = stored(posting_lists(shingle_rows(docs, large, key, text, k), F.col("n"), prefix))
         pairs = leader_pairs(lists)
-        edges = cut(edges.union(confirmed(pairs, docs, key, text, k, percent)).distinct())
+        edges = stored(edges.union(confirmed(pairs, docs, key, text, k, percent)).distinct())
         met = met.union(block_pairs(could_meet(several_classes(lists, components(edges)), percent).select(columns), percent)).distinct()
     sides = [nodes.select(F.col("node").alias(x), F.col("signature").alias(f"signature_{x}")) for x in ("a", "b")]
-    alike = cut(met).join(sides[0], "a").join(sides[1], "b").where(F.size(F.array_intersect("signature_a", "signature_b")) >= MATCHES)
+    alike = stored(met).join(sides[0], "a").join(sides[1], "b").where(F.size(F.array_intersect("signature_a", "signature_b")) >= MATCHES)
     edges = edges.union(confirmed(alike, docs, key, text, k, percent))
     comps = components(edges)
     heads = comps.groupBy("comp").agg(F.min("node").alias("component_id"))
@@ -283,7 +297,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, less those in whose group another has a smaller key."""
-    gone = cut(near_duplicates(docs, key, text, k, percent).where("not kept").select(F.col(key).alias(free_name(docs, "gone_key"))).distinct())
+    gone = stored(near_duplicates(docs, key, text, k, percent).where("not kept").select(F.col(key).alias(free_name(docs, "gone_key"))).distinct())
     name = gone.columns[0]
     gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
     return docs.join(gone, docs[key] == gone[name], "left_anti")
