@@ -83,8 +83,8 @@ def num_to_datetime(n: Column) -> Column:
 
 
 def datetime_to_num(ts: Column) -> Column:
-    """Day number (1 for 0001-01-01) with the time as a fraction."""
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    """Day number (1 for 0001-01-01) with the time, to the microsecond, as a fraction."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECONDS"), ts).cast("double")
     return F.datediff(ts, F.to_date(F.lit("0001-01-01"))) + F.lit(1) + seconds / F.lit(86400.0)
 
 

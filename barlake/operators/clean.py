@@ -11,9 +11,9 @@ from ..functions import timeutil
 PRICES = ["open", "high", "low", "close"]
 OHLCV = [*PRICES, "volume", "amount"]
 KEEP = ("sid", "datetime", "tick")
-#: Security kinds by their ids, in the order in which they are tried.
+#: Security kinds by their ids, in the order in which they are tried.
 KINDS = (("stock", "^(6|0|3)[0-9]{5}"), ("fund", "^(51|15|16)[0-9]{4}"), ("benchmark", "^(1A0001|1B0688|2A01|399006)"))
-#: Index codes of one vendor and those of the lake.
+#: Index codes of one vendor and those of the lake.
 CODES = {"1A0001": "000001", "1B0688": "000688", "2A01": "399001"}
 
 
@@ -97,6 +97,16 @@ def fill_inf(df: DataFrame, how: str = "mean", columns: list[str] | None = None,
     return out.withColumns({c: F.coalesce(known(c), F.col(f"{c}_fill")) for c in columns}).select(df.columns)
 
 
+def encode_text(df: DataFrame, columns: list[str], charset: str = "UTF-8") -> DataFrame:
+    """Text columns to bytes; null stays."""
+    return df.withColumns({c: F.encode(F.col(c), charset) for c in columns})
+
+
+def decode_text(df: DataFrame, columns: list[str], charset: str = "UTF-8") -> DataFrame:
+    """Byte columns to text; null stays."""
+    return df.withColumns({c: F.decode(F.col(c), charset) for c in columns})
+
+
 def drop_na(df: DataFrame) -> DataFrame:
     return df.na.drop()
 

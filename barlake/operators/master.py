@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import clean
 
+#: The columns of the security master.
 COLUMNS = ["sid", "name", "first_trading", "delist", "merger", "ratio"]
 
 
 def cleaned(assets: DataFrame) -> DataFrame:
-    """NaN to null, one row for each id."""
-    return clean.nan_to_null(assets).select([c for c in COLUMNS if c in assets.columns]).dropDuplicates(["sid"])
+    """NaN to null, one row for each id: of different ones the least, column by column from the left."""
+    rows = clean.nan_to_null(assets).select([c for c in COLUMNS if c in assets.columns])
+    return _one(rows, "sid", [F.col(c) for c in rows.columns])
+
+
+def _one(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The first row of each key in an order of the whole row, so that a repeat of the run gives the same."""
+    whole = F.min(F.struct(*(c.alias(f"order_{i}") for i, c in enumerate(order)), F.struct(*rows.columns).alias("whole_row")))
+    return rows.groupBy(F.col(key).alias("group_key")).agg(whole.alias("least")).select("least.whole_row.*")
 
 
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -22,16 +33,51 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "sid") -> DataFrame:
-    """The table with rows replaced or added by key."""
-    return append(table.join(rows.select(key), key, "left_anti").select(table.columns), rows)
+    """The table with rows replaced or added by key. Of new rows with one key the least (by its columns) is taken."""
+    return append(table.join(rows.select(key), key, "left_anti").select(table.columns), _one(rows, key, [F.col(c) for c in rows.columns]))
 
 
 def bulk_update(table: DataFrame, values: DataFrame, column: str, key: str = "sid") -> DataFrame:
-    """One column set from another table where that has the key."""
-    new = values.select(key, F.col(column).alias("new_value"))
+    """One column set from another table where that has the key and a value: the greatest, if it has several. The table
+    keeps its rows."""
+    new = values.groupBy(key).agg(F.max(column).alias("new_value"))
     return table.join(new, key, "left").withColumn(column, F.coalesce("new_value", column)).select(table.columns)
 
 
+def write_table(rows: DataFrame, url: str, name: str, batch: int = 10_000, parts: int = 8, **options: str) -> None:
+    """Append rows to a database table over JDBC, by at most `parts` connections; needs a driver on the classpath."""
+    rows.coalesce(parts).write.format("jdbc").options(url=url, dbtable=name, batchsize=str(batch), **options).mode("append").save()
+
+
+def upsert_statement(name: str, columns: list[str], key: str, update: bool = True) -> str:
+    """The statement that adds a row, or replaces (or keeps) the one with its key."""
+    marks = ", ".join("?" for _ in columns)
+    told = ", ".join(f"{c} = EXCLUDED.{c}" for c in columns if c != key)
+    then = f"DO UPDATE SET {told}" if update and told else "DO NOTHING"
+    return f"INSERT INTO {name} ({', '.join(columns)}) VALUES ({marks}) ON CONFLICT ({key}) {then}"
+
+
+def upsert_table(rows: DataFrame, connect: Callable[[], object], name: str, key: str, update: bool = True, batch: int = 1000) -> None:
+    """Write rows to a database table by key, over a Python database driver: `connect` opens a connection in a task.
+
+    A partition is a transaction, and a repeated task writes the same rows again, so lost executors do no harm. Of rows
+    with one key the least is taken first.
+    """
+    statement = upsert_statement(name, rows.columns, key, update)
+
+    def put(part: Iterator[Row]) -> None:
+        connection = connect()
+        try:
+            cursor = connection.cursor()
+            while held := [tuple(r) for r in islice(part, batch)]:
+                cursor.executemany(statement, held)
+            connection.commit()
+        finally:
+            connection.close()
+
+    _one(rows, key, [F.col(c) for c in rows.columns]).foreachPartition(put)
+
+
 def delete(table: DataFrame, rows: DataFrame, key: str = "sid") -> DataFrame:
     return table.join(rows.select(key), key, "left_anti").select(table.columns)
 

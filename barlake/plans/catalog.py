@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
-from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,22 @@ def topic_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.closes(view(spark, sf_dir, "bars"), F.col("datetime"), ["datetime", "event_id"])
 
 
+_RANGE = "datetime BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'"
+
+
+@query(f"""SELECT sid, CAST(datetime AS DATE) AS day, arg_min(open, (datetime, event_id)) AS open, max(high) AS high, min(low) AS low, arg_max(close, (datetime, event_id)) AS close,
+  CAST(sum(volume) AS BIGINT) AS volume, round(sum(amount), 2) AS amount FROM bars WHERE {_RANGE} GROUP BY 1, 2""")
+def topic_daily_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _lake_bars(spark, sf_dir)
+    return _round(topics.fetch("daily", bars, START, END, bars.select("sid").distinct()), ["amount"], 2)
+
+
+@query(f"SELECT sid, CAST(datetime AS DATE) AS day, arg_max(close, (datetime, event_id)) AS close FROM bars WHERE {_RANGE} GROUP BY 1, 2")
+def topic_close_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _lake_bars(spark, sf_dir)
+    return topics.fetch("close", bars, START, END, bars.select("sid").distinct())
+
+
 @query("""SELECT sid, event_id, datetime - INTERVAL 8 HOUR AS datetime, CAST(floor(epoch(datetime)) AS BIGINT) - 28800 AS tick, close
   FROM bars WHERE datetime >= TIMESTAMP '2024-01-05 00:00:00' AND datetime <= TIMESTAMP '2024-01-20 23:59:59'""")
 def topic_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +100,11 @@ def topic_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.fetch("adjust", view(spark, sf_dir, "adjustment"), 19950101, 19961231)
 
 
+@query("SELECT sid, ex_date, register_date, CAST(round_even(price * 1000, 0) AS INT) AS price, CAST(round_even(ratio * 1000, 0) AS INT) AS ratio FROM rightment WHERE ex_date BETWEEN 19950101 AND 19961231")
+def topic_right_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.right(view(spark, sf_dir, "rightment"), 19950101, 19961231, half_even=True)
+
+
 @query("SELECT sid, ex_date, register_date, CAST(round(price * 1000) AS INT) AS price, CAST(round(ratio * 1000) AS INT) AS ratio FROM rightment WHERE ex_date BETWEEN 19950101 AND 19961231")
 def topic_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.fetch("right", view(spark, sf_dir, "rightment"), 19950101, 19961231)
@@ -103,6 +124,12 @@ def text_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.parse_text_date(text, tick_mode="wallclock")
 
 
+@query("SELECT event_id, date_trunc('second', datetime) AS datetime, CAST(floor(epoch(datetime)) AS BIGINT) - 28800 AS tick FROM bars")
+def text_date_parse_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = view(spark, sf_dir, "bars").select("event_id", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
+    return clean.parse_text_date(text)
+
+
 @query("SELECT sid, datetime, CAST(trunc(close * 1000) AS BIGINT) AS close, volume * 1000 AS volume, CAST(trunc(amount * 1000) AS BIGINT) AS amount FROM bars")
 def fixed_point_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.scale(view(spark, sf_dir, "bars").select("sid", "datetime", "close", "volume", "amount"), 1000)
@@ -152,10 +179,15 @@ def _fill_query(how: str, sql: str) -> None:
     query(f"SELECT sid, event_id, round(coalesce(c, {sql}(c) OVER (PARTITION BY sid)), 6) AS close FROM (SELECT sid, event_id, {known} AS c FROM dirty_bars)")(run)
 
 
-for _how, _sql in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"), ("std", "stddev_pop")):
+for _how, _sql in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"), ("std", "stddev_pop"), ("sum", "sum"), ("var", "var_pop")):
     _fill_query(_how, _sql)
 
 
+@query("SELECT sid, event_id, CASE WHEN close IS NOT NULL AND NOT isnan(close) AND NOT isinf(close) THEN close ELSE 0 END AS close FROM dirty_bars")
+def fill_inf_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.fill_inf(view(spark, sf_dir, "dirty_bars"), "no such statistic", ["close"])
+
+
 @query("SELECT sid, event_id, close FROM dirty_bars WHERE close IS NOT NULL AND NOT isnan(close)")
 def drop_na(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.drop_na(view(spark, sf_dir, "dirty_bars"))
@@ -202,6 +234,12 @@ def flex_date_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", tu.flex_bound_text(value).alias("lower_bound"), tu.flex_bound_text(value, True).alias("upper_bound"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS lower_bound FROM events")
+def flex_epoch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.unix_timestamp(F.col("ts").cast("timestamp")) * F.element_at(F.array(*(F.lit(x) for x in (1, 1000, 1000000))), (F.col("event_id") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tu.flex_bound_text(value).alias("lower_bound"))
+
+
 @query("""SELECT strftime(m, '%Y') AS year, 'Q' || CAST(quarter(m) AS VARCHAR) AS quarter, strftime(m, '%Y%m') AS date, count(o_orderkey) AS n_orders
   FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)
   LEFT JOIN orders ON date_trunc('month', o_orderdate) = m GROUP BY 1, 2, 3""")
@@ -220,7 +258,7 @@ def num_to_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", tu.num_to_datetime(n).alias("at"))
 
 
-@query("SELECT event_id, round(date_diff('day', DATE '0001-01-01', CAST(ts AS DATE)) + 1 + (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 86400.0, 9) AS num FROM events")
+@query("SELECT event_id, round(date_diff('day', DATE '0001-01-01', CAST(ts AS DATE)) + 1 + (hour(ts) * 3600 + minute(ts) * 60 + microsecond(ts) / 1e6) / 86400.0, 9) AS num FROM events")
 def datetime_to_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(tu.datetime_to_num(F.col("ts")), 9).alias("num"))
 
@@ -336,11 +374,7 @@ def compact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "close double, sid string, tick long, part string"
     lake.write_lake(part(view(spark, sf_dir, "target_bars")), target, keys=["part"])
     lake.write_lake(part(view(spark, sf_dir, "staging_bars")), staging, keys=["part"])
-    new = spark.read.schema(schema).parquet(staging)
-    old = spark.read.schema(schema).parquet(target).join(new.select("part").distinct(), "part", "left_semi").select(new.columns)
-    beside = scratch(spark, "beside")
-    lake.write_lake(lake.merge_bars(old, new, ["part", "sid"]), beside, keys=["part"])
-    lake.write_lake(spark.read.schema(schema).parquet(beside), target, keys=["part"])
+    lake.compact(spark, target, staging, schema, ["part"], clear=True, row_keys=["part", "sid"])
     return spark.read.schema(schema).parquet(target).select("sid", "tick", "close")
 
 
@@ -352,6 +386,13 @@ def asset_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master.cleaned(gaps.union(gaps))
 
 
+@query("SELECT sid, hex(encode(name)) AS name_bytes, name FROM asset")
+def asset_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = view(spark, sf_dir, "asset").select("sid", "name", F.col("name").alias("coded"))
+    coded = clean.encode_text(named, ["coded"]).select("sid", F.hex("coded").alias("name_bytes"), F.col("coded").alias("name"))
+    return clean.decode_text(coded, ["name"])
+
+
 @query("SELECT sid, name, first_trading, delist, merger, ratio FROM asset UNION ALL SELECT sid, NULL, NULL, delist, NULL, NULL FROM asset_update")
 def asset_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master.append(view(spark, sf_dir, "asset"), view(spark, sf_dir, "asset_update").withColumn("unknown", F.lit(1)))
@@ -449,9 +490,15 @@ def file_kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.of_kind(names, "bin_stock").select(F.substring("name", 3, 6).alias("sid"))
 
 
-@query(_DIGITS)
+@query("SELECT DISTINCT substr(sid, 6, 1) AS digit FROM bars WHERE substr(sid, 6, 1) >= '5'")
 def modified_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = readers.discover(spark, _partition_files(spark, sf_dir), ".txt", since=datetime(2000, 1, 1))
+    """The files of a second write, by the time of the first one's newest."""
+    root = scratch(spark, "files")
+    bars = view(spark, sf_dir, "bars").select(F.substring("sid", 6, 1).alias("digit"), F.col("sid").alias("value"))
+    bars.where("digit < '5'").repartition("digit").write.partitionBy("digit").text(root)
+    last = readers.discover(spark, root, ".txt").agg(F.max("modified")).first()[0]
+    bars.where("digit >= '5'").repartition("digit").write.mode("append").partitionBy("digit").text(root)
+    found = readers.discover(spark, root, ".txt", since=last)
     return found.select(F.regexp_extract("path", "digit=([0-9])", 1).alias("digit")).distinct()
 
 
@@ -470,9 +517,23 @@ def frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.chunks(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), "sid", "event_id", 16)
 
 
-@query("SELECT sid, frame, count(*) AS n_rows FROM (SELECT sid, CAST(floor((row_number() OVER (PARTITION BY sid ORDER BY event_id) - 1) / 1024) AS BIGINT) AS frame FROM bars) GROUP BY 1, 2")
+@query("""SELECT sid, frame, count(*) AS n_rows, 'tick ' || sid AS said, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS ids, round(sum(close), 4) AS total
+  FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY sid ORDER BY event_id) - 1) / 1024) AS BIGINT) AS frame FROM bars) GROUP BY 1, 2""")
 def frame_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.export(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), "tick", "sid", "event_id").select("sid", "frame", "n_rows")
+    """The frames, and digests of what their payloads hold."""
+    made = frames.export(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), "tick", "sid", "event_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for payload in batch["payload"].to_pylist():
+                meta, held = frames.decode_frame(payload)
+                ids = ",".join(map(str, held["event_id"].to_pylist()))
+                rows.append((f"{meta['rpc_type']} {meta['sid']}", hashlib.md5(ids.encode()).hexdigest(), sum(held["close"].to_pylist())))
+            said, ids, total = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch["sid"], batch["frame"], batch["n_rows"], pa.array(said, pa.string()), pa.array(ids, pa.string()), pa.array(total, pa.float64())], ["sid", "frame", "n_rows", "said", "ids", "total"])
+
+    return _round(made.mapInArrow(read, "sid string, frame long, n_rows long, said string, ids string, total double"), ["total"], 4)
 
 
 @query("SELECT event_id // 1000 AS file, event_id AS idx, CAST(event_id % 1000 AS FLOAT) AS val FROM bars WHERE event_id BETWEEN 1503 AND 8010")

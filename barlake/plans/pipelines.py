@@ -13,7 +13,7 @@ from ..sources import lake, readers
 #: Headers of vendor CSV files and the columns they become.
 STOCK_HEADER = {"日期": "datetime", "代码": "sid", "开盘价": "open", "最高价": "high", "最低价": "low", "收盘价": "close", "成交量（手）": "volume", "成交额（元）": "amount"}
 BENCHMARK_HEADER = {k: v for k, v in STOCK_HEADER.items() if v not in ("volume", "amount")} | {"成交量": "volume", "成交金额": "amount"}
-#: Fixed-point factors by pipeline.
+#: Fixed-point factors by pipeline.
 STOCK_SCALE = dict.fromkeys(clean.PRICES, 100000) | {"volume": 100000, "amount": 1000}
 FUND_SCALE = STOCK_SCALE | {"volume": 1000}
 BENCHMARK_SCALE = STOCK_SCALE | {"volume": 1, "amount": 1}

@@ -12,10 +12,15 @@ from ..sources import lake
 Sids = list[str] | DataFrame | None
 
 
-def tick(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
-    """Bars (datetime is an instant) of the given ids in a range; none without ids. Ordered by sid and tick."""
+def chosen(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
+    """Bars (datetime is an instant) of the given ids in a range; none without ids."""
     found = bars.where(lake.in_range(F.col("datetime"), start, end)) if sids is not None else bars.limit(0)
-    return lake.with_sids(found, sids).orderBy("sid", "tick")
+    return lake.with_sids(found, sids)
+
+
+def tick(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
+    """Bars of the given ids in a range, ordered by sid and tick."""
+    return chosen(bars, start, end, sids).orderBy("sid", "tick")
 
 
 def roll_up(bars: DataFrame, at: Column, order: list[str]) -> DataFrame:
@@ -36,11 +41,11 @@ def local(instant: Column) -> Column:
 
 
 def daily(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
-    return roll_up(tick(bars, start, end, sids), local(F.col("datetime")), ["tick"])
+    return roll_up(chosen(bars, start, end, sids), local(F.col("datetime")), ["tick"])
 
 
 def close(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
-    return closes(tick(bars, start, end, sids), local(F.col("datetime")), ["tick"])
+    return closes(chosen(bars, start, end, sids), local(F.col("datetime")), ["tick"])
 
 
 def asset(assets: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:

@@ -22,6 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder path that all executors share: under spark.checkpoint.dir, or, in local mode, a temporary one where
+    that is unset. On a cluster it has to be set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"

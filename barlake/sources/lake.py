@@ -11,7 +11,8 @@ from ..operators import clean
 from ..session import scratch
 
 KEYS = ["type", "year", "quarter", "sid", "date"]
-MAX_PARTITIONS, FILE_ROWS = 100_000, 1_000_000
+#: Rows of a file and bytes of a row group at most; months of which the folders are listed for a scan or a merge.
+FILE_ROWS, ROW_GROUP, MONTHS = 1_000_000, 128 << 20, 1200
 
 
 def shaped(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -21,18 +22,20 @@ def shaped(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.select(*(stamp(c) for c in data), *(F.col(k).cast("string") for k in keys if k in df.columns))
 
 
-def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] = KEYS, order: str = "tick", file_rows: int = FILE_ROWS, most: int = MAX_PARTITIONS, codec: str = "zstd") -> None:
+def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] = KEYS, order: str = "tick", file_rows: int = FILE_ROWS, most: int = 0, codec: str = "zstd", row_group: int = ROW_GROUP) -> None:
     """Write bars into their partitions, sorted by tick: replace the partitions that they touch, or add files.
 
-    All rows of a partition go to one task, which starts a new file every `file_rows` rows; a partition is a security's
-    month, so it is small. More than `most` partitions raise.
+    The input is computed once. All rows of a partition go to one task, which starts a new file every `file_rows` rows; a
+    partition is a security's month, so it is small. Where `most` is given, more partitions than that raise, which costs a
+    count of the keys beforehand. `row_group` is a row group's size in bytes.
     """
     keys = [k for k in keys if k in df.columns]
-    if df.select(*keys).distinct().limit(most + 1).count() > most:
+    if most and df.select(*keys).distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} partitions")
     out = shaped(df, keys).repartition(*keys).sortWithinPartitions(*keys, order)
     writer = out.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.option("maxRecordsPerFile", file_rows).option("compression", codec).partitionBy(*keys).parquet(root)
+    writer = writer.option("maxRecordsPerFile", file_rows).option("compression", codec).option("parquet.block.size", row_group)
+    writer.partitionBy(*keys).parquet(root)
 
 
 def scan_lake(spark: SparkSession, root: str, schema: T.StructType | str, sids: list[str] | DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -42,7 +45,10 @@ def scan_lake(spark: SparkSession, root: str, schema: T.StructType | str, sids:
     """
     bars = spark.read.schema(schema).parquet(root)
     if start is not None and end is not None:
-        bars = bars.where(F.col("date").isin(timeutil.months(start, end)))
+        months = timeutil.months(start, end)
+        bars = bars.where(F.col("date").isin(months) & F.col("year").isin(sorted({m[:4] for m in months})))
+        if len(months) < 10:
+            bars = bars.where(F.col("quarter").isin(sorted({f"Q{(int(m[4:]) + 2) // 3}" for m in months})))
         bars = bars.where(in_range(F.col("datetime"), start, end))
     return with_sids(bars, sids)
 
@@ -67,22 +73,43 @@ def merge_bars(target: DataFrame, staging: DataFrame, keys: list[str]) -> DataFr
     return clean.keep_last(both, [*keys, "tick"], [F.desc("priority")]).drop("priority")
 
 
-def compact(spark: SparkSession, target: str, staging: str, schema: T.StructType | str, keys: list[str] = KEYS) -> DataFrame:
+def compact(spark: SparkSession, target: str, staging: str, schema: T.StructType | str, keys: list[str] = KEYS, clear: bool = False, row_keys: list[str] | None = None) -> DataFrame:
     """Merge a staging lake into a lake, touching only the partitions that staging holds; returns rows by partition.
 
-    The merged rows are written beside the lake first, so a failure leaves both as they were. Runs again without change.
+    The lake's folders are pruned by the months and ids that staging has (as literals, up to `MONTHS` of them; a semi join
+    on all keys does the rest). The merged rows are written beside the lake first, so a failure until then leaves both as
+    they were; a failure while the lake's partitions are replaced is made good by a second run, since staging is cleared
+    only after that. Running again changes nothing. A row is known by `row_keys` (the partition's keys if not given) and tick.
     """
     new = spark.read.schema(schema).parquet(staging)
     touched = new.select(*keys).distinct()
-    old = spark.read.schema(schema).parquet(target).join(touched, keys, "left_semi").select(new.columns)
-    merged = merge_bars(old, new, keys)
+    old = spark.read.schema(schema).parquet(target)
+    for key in keys:
+        values = [r[0] for r in touched.select(key).distinct().limit(MONTHS + 1).collect()]
+        old = old.where(F.col(key).isin(values)) if len(values) <= MONTHS else old
+    old = old.join(touched, keys, "left_semi").select(new.columns)
+    merged = merge_bars(old, new, row_keys or keys)
     beside = scratch(spark, "compact")
     write_lake(merged, beside, keys=keys)
     whole = spark.read.schema(schema).parquet(beside)
     write_lake(whole, target, keys=keys)
+    if clear:
+        empty(spark, staging)
     return whole.groupBy(*keys).agg(F.count("*").alias("n_rows"))
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    """Whether there is something at a path of any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def empty(spark: SparkSession, root: str) -> None:
+    """Remove a lake's folder with all in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def repaired(df: DataFrame) -> DataFrame:
     """Bars whose tick and datetime are eight hours late, corrected."""
     return df.withColumns({"tick": F.col("tick") - timeutil.SHIFT, "datetime": F.col("datetime") - F.expr("interval 8 hours")})

@@ -7,13 +7,13 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A vendor's bar of 32 bytes, little-endian, and what is read of it.
+#: A vendor's bar of 32 bytes, little-endian, and what is read of it.
 RECORD = np.dtype([("dates", "<u2"), ("sub_dates", "<i2"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("volume", "<i4"), ("appendix", "<i4")])
 BAR_SCHEMA = "path string, dates int, sub_dates short, open long, high long, low long, close long, amount float, volume int"
-#: Names of files that a dataset takes, by format and kind.
+#: Names of files that a dataset takes, by format and kind.
 FILE_NAMES = {
     "bin_stock": r"^(sh6|sz0|sz3)[0-9]{5}.*\.01$", "bin_fund": r"^(sh51|sz15|sz16)[0-9]{4}.*\.01$", "bin_any": r"\.01$",
     "csv_stock": r"^(SH\.6|SZ\.0|SZ\.3)[0-9]{5}.*\.csv$", "csv_fund": r"^(SH\.51|SZ\.15|SZ\.16)[0-9]{4}.*\.csv$", "csv_any": r"\.csv$",
@@ -74,10 +74,19 @@ def decode_bars(files: DataFrame, dedup: bool = True) -> DataFrame:
 
 
 def read_csv_bars(spark: SparkSession, root: str, rename: dict[str, str], schema: str | None = None, sep: str = ",", subset: list[str] | None = None) -> DataFrame:
-    """CSV with a header, renamed, without repeated rows (or all but one row of each key in `subset`)."""
+    """CSV with a header, renamed, without repeated rows, or with the first row of each key in `subset`: the first of
+    the first file, by path and by place in it."""
     reader = spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-    rows = (reader.schema(schema) if schema else reader).csv(root).withColumnsRenamed(rename)
-    return rows.dropDuplicates(subset) if subset else rows.dropDuplicates()
+    rows = (reader.schema(schema) if schema else reader).csv(root)
+    return _first(rows, subset, rename) if subset else rows.withColumnsRenamed(rename).dropDuplicates()
+
+
+def _first(rows: DataFrame, subset: list[str], rename: dict[str, str] | None = None) -> DataFrame:
+    """The first row of each key, by the rows' file and their place there."""
+    block = F.struct(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    marked = rows.select("*", block.alias("row_place")).withColumnsRenamed(rename or {})
+    rank = F.row_number().over(Window.partitionBy(*subset).orderBy("row_place"))
+    return marked.withColumn("row_rank", rank).where("row_rank = 1").drop("row_place", "row_rank")
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -87,7 +96,18 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
 def read_avro(spark: SparkSession, root: str, subset: list[str] | None = None) -> DataFrame:
     """Avro rows without repeats; needs the Avro module on Spark's classpath."""
     rows = spark.read.format("avro").load(root)
-    return rows.dropDuplicates(subset) if subset else rows.dropDuplicates()
+    return _first(rows, subset) if subset else rows.dropDuplicates()
+
+
+def write_avro(rows: DataFrame, root: str, append: bool = False, codec: str = "snappy") -> None:
+    """Avro files; needs the Avro module on Spark's classpath."""
+    rows.write.format("avro").option("compression", codec).mode("append" if append else "overwrite").save(root)
+
+
+def write_text(rows: DataFrame, root: str, sep: str = ",", header: bool = True, append: bool = False) -> None:
+    """Delimited text in UTF-8, with a header in each file; instants as ISO 8601, null as an empty field."""
+    writer = rows.write.option("sep", sep).option("header", str(header).lower()).option("encoding", "UTF-8").option("emptyValue", "")
+    writer.mode("append" if append else "overwrite").csv(root)
 
 
 def read_table(spark: SparkSession, url: str, name: str, key: str = "", low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:

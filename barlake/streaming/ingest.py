@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import clean
 from ..session import scratch
 from ..sources import lake
 
@@ -18,18 +20,20 @@ def ingest(spark: SparkSession, source: str, root: str, schema: T.StructType | s
 
 
 def ingest_merged(spark: SparkSession, source: str, root: str, schema: T.StructType | str, checkpoint: str, keys: list[str] = lake.KEYS) -> StreamingQuery:
-    """As ingest(), but each batch is merged into the lake: the last bar of a tick wins, however late it comes."""
+    """As ingest(), but each batch is merged into the lake: the last bar of a tick wins, however late it comes. Within a
+    batch that is the one from the newest file; of bars in one file the greatest, by its columns."""
 
     def merge(batch: DataFrame, _: int) -> None:
         staged = scratch(batch.sparkSession, "staged")
-        newest = batch.dropDuplicates([*keys, "tick"])
+        own = [F.desc(c) for c in batch.columns if c not in ("file_time", "file_path")]
+        newest = clean.keep_last(batch, [*keys, "tick"], [F.desc("file_time"), F.desc("file_path"), *own]).drop("file_time", "file_path")
         lake.write_lake(newest, staged, keys=keys)
-        try:
-            lake.compact(batch.sparkSession, root, staged, schema, keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            lake.write_lake(newest, root, keys=keys)
+        if lake.exists(batch.sparkSession, root):
+            lake.compact(batch.sparkSession, root, staged, schema, keys, clear=True)
+        else:
+            lake.write_lake(batch.sparkSession.read.schema(schema).parquet(staged), root, keys=keys)
+            lake.empty(batch.sparkSession, staged)
 
     bars = spark.readStream.schema(schema).parquet(source)
+    bars = bars.select("*", F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file_path"))
     return bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -99,6 +99,51 @@ def test_pipelines(spark, tmp_path):
         assert (r.sid, r.date, r.volume, r.amount, r.tick) == ("000001", "202401", volume, 1001, 1704418260)
 
 
+def test_other_pipelines(spark, tmp_path):
+    schema = "amount long, close long, datetime timestamp, high long, low long, open long, tick long, volume long, type string, year string, quarter string, sid string, date string"
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin" / "sh510001.01").write_bytes(record(date(2024, 1, 31), 571, 1000))
+    (tmp_path / "bin" / "sh600000.01").write_bytes(record(date(2024, 1, 31), 571, 1000))
+    pipelines.fund_bin(spark, str(tmp_path / "bin"), str(tmp_path / "fund"))
+    (r,) = lake.scan_lake(spark, str(tmp_path / "fund"), schema).collect()
+    assert (r.type, r.sid, r.date, r.open, r.volume) == ("fund", "510001", "202401", 1000000, 7000)
+    (tmp_path / "csv").mkdir()
+    head = "日期,代码,开盘价,最高价,最低价,收盘价,成交量,成交金额"
+    (tmp_path / "csv" / "SH.000300.csv").write_text(f"{head}\n2024-01-05 09:31:00,SH.000300,10.01,10.02,10.00,10.015,3,7.9\n", encoding="utf-8")
+    pipelines.benchmark_csv(spark, str(tmp_path / "csv"), str(tmp_path / "benchmark"))
+    (r,) = lake.scan_lake(spark, str(tmp_path / "benchmark"), schema).collect()
+    assert (r.type, r.sid, r.volume, r.amount, r.close) == ("benchmark", "000300", 3, 7, 1001500)
+
+
+def test_first_rows_and_text(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k,v\n1,x\n1,y\n2,z\n")
+    (tmp_path / "in" / "b.csv").write_text("k,v\n1,w\n3,\n")
+    rows = readers.read_csv_bars(spark, str(tmp_path / "in"), {"k": "key"}, subset=["key"])
+    assert sorted(map(tuple, rows.collect())) == [("1", "x"), ("2", "z"), ("3", None)]
+    readers.write_text(rows.coalesce(1), str(tmp_path / "out"), sep="|")
+    readers.write_text(rows.limit(1), str(tmp_path / "out"), sep="|", append=True)
+    (whole,) = [p for p in (tmp_path / "out").glob("*.csv") if len(p.read_text().splitlines()) == 4]
+    assert sorted(whole.read_text().splitlines()) == ["1|x", "2|z", "3|", "key|v"]
+
+
+def test_database_upsert(spark, tmp_path):
+    """Over Python's own database, so that no server is needed."""
+    import sqlite3
+
+    path = str(tmp_path / "db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE asset (sid TEXT PRIMARY KEY, delist INT)")
+        db.execute("INSERT INTO asset VALUES ('a', 1), ('b', 2)")
+    rows = spark.createDataFrame([("b", 9), ("c", 3), ("c", 4)], "sid string, delist int").coalesce(1)
+    for update, want in ((False, [("a", 1), ("b", 2), ("c", 3)]), (True, [("a", 1), ("b", 9), ("c", 3)])):
+        for _ in range(2):
+            master.upsert_table(rows.coalesce(1), lambda: sqlite3.connect(path, timeout=30), "asset", "sid", update)
+        with sqlite3.connect(path) as db:
+            assert sorted(db.execute("SELECT * FROM asset")) == want
+    assert "DO NOTHING" in master.upsert_statement("t", ["k"], "k")
+
+
 def test_asset_load(spark, tmp_path):
     (tmp_path / "a.csv").write_text("sid,name,first_trading,delist,merger,ratio\n000001,x,20000101,,,1.5\n000001,x,20000101,,,1.5\n")
     empty = spark.createDataFrame([], "sid string, name string, first_trading int, delist int, merger string, ratio float")
@@ -130,12 +175,12 @@ def test_streaming(spark, tmp_path):
         lake.shaped(bars(spark, [("000001", datetime(2024, 1, 5 + i), close)])).write.mode("append").parquet(src)
         ingest.ingest(spark, src, root, BARS, check).awaitTermination()
         assert spark.read.schema(BARS).parquet(root).count() == i + 1
+    lake.shaped(bars(spark, [("000001", datetime(2024, 1, 9), 5.0)] * 2 + [("000001", datetime(2024, 1, 9), 6.0)])).coalesce(1).write.mode("append").parquet(src)
     merged = str(tmp_path / "merged")
     for close in (3.0, 4.0):
         lake.shaped(bars(spark, [("000001", datetime(2024, 1, 5), close)])).write.mode("append").parquet(src)
         ingest.ingest_merged(spark, src, merged, BARS, check + "2").awaitTermination()
-    assert sorted(r.close for r in spark.read.schema(BARS).parquet(merged).collect())[-1] == 4.0
-    assert spark.read.schema(BARS).parquet(merged).count() == 2
+    assert sorted(r.close for r in spark.read.schema(BARS).parquet(merged).collect()) == [2.0, 4.0, 6.0]
 
 
 def test_cleaning(spark):
@@ -165,3 +210,21 @@ def test_frames_and_master(spark):
     u = spark.createDataFrame([("b", 9), ("c", 3)], "sid string, delist int")
     assert sorted(map(tuple, master.upsert(t, u).collect())) == [("a", 1), ("b", 9), ("c", 3)]
     assert sorted(map(tuple, master.bulk_update(t, u, "delist").collect())) == [("a", 1), ("b", 9)]
+    twice = u.union(spark.createDataFrame([("b", 7), ("b", None)], u.schema))
+    assert sorted(map(tuple, master.bulk_update(t, twice, "delist").collect())) == [("a", 1), ("b", 9)]
+    assert sorted(map(str, master.upsert(t, twice).collect())) == sorted(map(str, master.upsert(t, u.where("sid <> 'b'").union(twice.where("delist is null"))).collect()))
+    assert sorted(r.close for r in clean.fill_inf(spark.createDataFrame([("a", 2.0), ("a", 4.0), ("a", None)], "sid string, close double"), "prod").collect()) == [2.0, 4.0, 8.0]
+
+
+def test_runs_over_stretches(spark):
+    rows = [("g" if i % 50 else "h", "abc"[(i // 7) % 3] if i % 11 else "z", i * i) for i in range(900)]
+    got = sorted(map(tuple, frames.runs(spark.createDataFrame(rows, "w string, v string, k long"), "v", "k", "w").collect()))
+    want, last = {}, {}
+    for w, v, k in rows:
+        n, old = last.get(w, (0, None))
+        n += v != old
+        last[w] = (n, v)
+        low, _, count = want.get((w, v, n), (k, k, 0))
+        want[w, v, n] = (low, k, count + 1)
+    assert got == sorted((*key, *value) for key, value in want.items())
+    assert frames.runs(spark.createDataFrame([], "w string, v string, k long"), "v", "k", "w").count() == 0
