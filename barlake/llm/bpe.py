@@ -1,7 +1,7 @@
 """The public word-level BPE vocabulary, compiled for Spark tasks.
 
-Two things are made from one vocabulary file: a deterministic transducer whose transitions carry the change of the
-token count, and a cache of ids in front of the tokenizers library. Both work on runs of text without white space,
+Two things are made from one vocabulary file: a deterministic finite transducer whose transitions carry the change of the
+token count, with a cache of the counts of runs in front of it, and a cache of ids in front of the tokenizers library. Both work on runs of text without white space,
 since white space always ends a token of this vocabulary and is itself dropped.
 """
 
@@ -26,6 +26,8 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Characters in a chunk of a text, states of the transducer and runs in a cache; beyond the last two they are emptied.
 CHUNK = 1 << 16
+#: Bytes of a piece of a long word, and characters of the longest run that a cache keeps.
+PIECE, KEPT_RUN = 1 << 12, 256
 STATES = 300_000
 RUNS = 500_000
 #: Characters from which on lower-casing before normalisation might give other characters than after it.
@@ -90,12 +92,20 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(odd)) for b in range(256)]
 
 
+#: What a state of the transducer knows of each border at which its next tokens may begin: the bytes since, the token
+#: that ends there, and how many tokens there are up to there, less those up to here.
+Border = tuple[str, str, int]
+#: An entry state's exit state, and the net count of tokens between.
+StateMap = dict[int, tuple[int, int]]
+
+
 class Transducer:
-    """Counts the tokens of a word byte by byte.
+    """Counts the tokens of a word byte by byte, as a deterministic finite transducer whose transitions carry counts.
 
     BPE of a prefix is a prefix of BPE as long as the last token stands: the last token of each prefix is the longest
-    vocabulary entry that ends there and is compatible with the last token before it. So a state (a prefix) needs its
-    last token and its count only; a transition adds the difference. States are made when first reached.
+    vocabulary entry that ends there and is compatible with the last token before it. So a state is the list of borders
+    whose bytes since then begin a vocabulary entry; what lies further back can't matter. There are finitely many, whatever
+    the words; they and their transitions are made when first reached, and equal ones are one state.
     """
 
     def __init__(self, path: str) -> None:
@@ -109,14 +119,17 @@ class Transducer:
             self.merges[a, b] = i
             if a + b not in self.parts:
                 self.parts[a + b], self.rank[a + b] = (a, b), i
-        self.longest = max(len(x.removesuffix(WORD_END)) for x in self.rank)
+        bodies = {x.removesuffix(WORD_END) for x in self.rank}
+        self.longest = max(map(len, bodies))
+        self.begins = {x[:i] for x in bodies for i in range(1, len(x))}
         self.reset()
 
     def reset(self) -> None:
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.next: dict[tuple[int, int], int] = {}
+        self.next: dict[tuple[int, int], tuple[int, int]] = {}
         self.final: dict[tuple[int, int], int] = {}
-        self.spelled, self.last, self.count, self.up = [""], [""], [0], [0]
+        self.states: list[tuple[Border, ...]] = [(("", "", 0),)]
+        self.ids = {self.states[0]: 0}
 
     def fits(self, left: str, right: str) -> bool:
         """Whether BPE keeps both tokens as they are when they stand side by side: undo the latest merges next to the
@@ -141,42 +154,87 @@ class Transducer:
         self.compatible[key] = answer
         return answer
 
-    def step(self, state: int, end: str, mark: str) -> tuple[str, int]:
-        """Last token and count after one more symbol."""
-        spelled = self.spelled[state] + end
-        n, at = len(spelled), state
-        before = []  # states from this one to the root
-        for _ in range(min(n, self.longest)):
-            before.append(at)
-            at = self.up[at]
-        for size in range(min(n, self.longest), 0, -1):
-            token = spelled[n - size :] + mark
-            if token in self.rank:
-                root = before[size - 1]
-                if not root or self.fits(self.last[root], token):
-                    return token, self.count[root] + 1
-        raise ValueError(f"no token ends {spelled!r}")
+    def emitted(self, state: int, name: str, mark: str = "") -> tuple[str, int]:
+        """The last token after one more byte, and the change of the count."""
+        for since, last, count in self.states[state]:  # from the longest on
+            token = since + name + mark
+            if token in self.rank and (not last or self.fits(last, token)):
+                return token, count + 1
+        raise ValueError(f"no token ends in {name!r}")
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state, and the change of the count."""
+        found = self.next.get((state, byte))
+        if found is None:
+            name = self.names[byte]
+            token, more = self.emitted(state, name)
+            borders = tuple((u + name, last, n - more) for u, last, n in self.states[state] if u + name in self.begins)
+            borders += (("", token, 0),)
+            to = self.ids.setdefault(borders, len(self.states))
+            if to == len(self.states):
+                self.states.append(borders)
+            found = self.next[state, byte] = (to, more)
+        return found
+
+    def end(self, state: int, byte: int) -> int:
+        """The change of the count by a word's last byte."""
+        found = self.final.get((state, byte))
+        if found is None:
+            found = self.final[state, byte] = self.emitted(state, self.names[byte], WORD_END)[1]
+        return found
+
+    def run(self, data: bytes, state: int = 0) -> tuple[int, int]:
+        count, known = 0, self.next
+        for b in data:
+            found = known.get((state, b))
+            state, more = found if found is not None else self.step(state, b)
+            count += more
+        return state, count
+
+    def piece_map(self, data: bytes, before: bytes) -> StateMap:
+        """What a piece of a word does to the states in which it may be entered: those that the end of what stands before
+        it leads to, wherever tokens begin there. Runs that meet in one state at one byte go on as one."""
+        entries = {self.run(before[-d:])[0] for d in range(1, 2 * self.longest + 1)} if before else {0}
+        path: list[tuple[int, int]] = []  # of the first entry: state and count before each byte, and at the end
+        out: StateMap = {}
+        for entry in entries:
+            state, count, first = entry, 0, not path
+            for i, b in enumerate(data):
+                if first:
+                    path.append((state, count))
+                elif path[i][0] == state:
+                    state, count = path[-1][0], count + path[-1][1] - path[i][1]
+                    break
+                state, more = self.step(state, b)
+                count += more
+            if first:
+                path.append((state, count))
+            out[entry] = (state, count)
+        return out
+
+    def joined(self, data: bytes, a: tuple[int, int, StateMap], b: tuple[int, int, StateMap]) -> tuple[int, int, StateMap]:
+        """The map of two neighbouring parts of a word (begin, end, map); associative. A state that the second part's map
+        lacks is added to it by running it."""
+        out: StateMap = {}
+        for entry, (state, count) in a[2].items():
+            if state not in b[2]:
+                b[2][state] = self.run(data[b[0] : b[1]], state)
+            to, more = b[2][state]
+            out[entry] = (to, count + more)
+        return a[0], b[1], out
 
     def tokens(self, word: str) -> int:
         data = word.encode()
-        state = 0
-        for b in data[:-1]:
-            key = (state, b)
-            to = self.next.get(key)
-            if to is None:
-                token, count = self.step(state, self.names[b], "")
-                to = self.next[key] = len(self.count)
-                self.spelled.append(self.spelled[state] + self.names[b])
-                self.last.append(token)
-                self.count.append(count)
-                self.up.append(state)
-            state = to
-        key = (state, data[-1])
-        emitted = self.final.get(key)
-        if emitted is None:
-            emitted = self.final[key] = self.step(state, self.names[data[-1]], WORD_END)[1] - self.count[state]
-        count = self.count[state] + emitted
-        if len(self.count) > STATES:
+        inner = len(data) - 1
+        if inner <= PIECE:
+            state, count = self.run(data[:-1])
+        else:
+            parts = [(i, min(i + PIECE, inner), self.piece_map(data[i : min(i + PIECE, inner)], data[max(0, i - 2 * self.longest) : i])) for i in range(0, inner, PIECE)]
+            while len(parts) > 1:  # neighbours in pairs, as the up-sweep of a prefix scan
+                parts = [self.joined(data, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            state, count = parts[0][2][0]
+        count += self.end(state, data[-1])
+        if len(self.states) > STATES:
             self.reset()
         return count
 
@@ -193,13 +251,15 @@ class TokenCounter:
         if n is None:
             stem = stem_of(run)
             n = sum(map(self.transducer.tokens, words_of(run))) if stem == run else self.run_tokens(stem) + 1
-            self.known.put(run, n)
+            if len(run) <= KEPT_RUN:
+                self.known.put(run, n)
         return n
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """What a chunk does to any state it is entered in: white space resets the transducer, so only the run that
-        crosses the chunk's begin and the one that crosses its end stay open: (head, tokens between, tail). A chunk
-        without white space is all head, with None."""
+        """What a chunk does to any state it is entered in: white space leads every state to the first one, so only the
+        run that crosses the chunk's begin and the one that crosses its end stay open: (head, tokens between, tail). A
+        chunk without white space is all head, with None; a run that is longer than a piece is counted by the state maps
+        of its pieces."""
         runs = runs_of(chunk)
         if not runs:
             return ("", 0, "") if chunk else ("", None, "")

@@ -239,6 +239,12 @@ def test_chat_layouts(spark):
     records = [('{"prompt": "hi", "response": "yo"}', want), ('{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}', want), ("[", []), (None, []), ('{"what": 1}', [])]
     got = chat.records_to_turns(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "id long, record string"), "id", "record").orderBy("id").collect()
     assert [[tuple(t) for t in r.turns] for r in got] == [w for _, w in records]
+    odd = ['{"prompt": 5, "Response": "yo"}', '{"messages": [{"Role": "user", "content": 1.5}, {"role": "gpt", "content": true}]}', "[" * 100_000, '{"prompt": "\\ud800", "response": null}', '{"messages": [5]}']
+    got = [chat.record_turns(x)[1] for x in odd]
+    assert got == [[("user", "5"), ("assistant", "yo")], [("user", "1.5"), ("assistant", "true")], [], [], []]
+    assert chat.records_to_turns(spark.createDataFrame([(i, r) for i, r in enumerate(odd)], "id long, record string"), "id", "record").count() == len(odd)
+    rows = spark.createDataFrame([(1, 0, "gpt", "b"), (1, 0, "gpt", "a"), (1, 0, "gpt", "a"), (1, None, "human", None)], "conv_id long, turn long, role string, text string")
+    assert [tuple(t) for t in chat.to_turns(rows).first().turns] == [("human", ""), ("gpt", "a"), ("gpt", "a"), ("gpt", "b")]
     with pytest.raises(ValueError, match="no chat layout"):
         chat.to_turns(spark.createDataFrame([(1, 2)], "a long, b long"))
 
@@ -259,6 +265,33 @@ def test_tokens_and_ids_equal_the_library(spark, odd, texts):
     assert [r.over_limit for r in got if r.doc_id == 5] == [True]
 
 
+def test_transducer_maps_compose(monkeypatch):
+    """Long words are cut into pieces whose state maps compose to what one run gives, in any grouping."""
+    import random
+
+    rnd = random.Random(2)
+    path = bpe.vocabulary_path()
+    whole, counter, library = bpe.Transducer(path), bpe.TokenCounter(path), bpe.IdCache(path).library
+    words = ["".join(rnd.choice(["the", "ing", "xx", "aa", "é", "ß", "q"]) for _ in range(9000)), "x" * 20_001, "-" * 9000, "=-" * 6000, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))]
+    monkeypatch.setattr(bpe, "PIECE", 1 << 60)
+    want = [whole.tokens(w) for w in words]
+    for piece in (97, 4096):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        assert [counter.tokens(w) for w in words] == want
+    assert want[:4] == [len(library.encode(w, add_special_tokens=False).ids) for w in words[:4]]
+    data = words[0].encode()
+    parts = [(i, i + 500, counter.transducer.piece_map(data[i : i + 500], data[max(0, i - 60) : i])) for i in range(0, 1500, 500)]
+    join = lambda a, b: counter.transducer.joined(data, a, b)
+    left, right = join(join(parts[0], parts[1]), parts[2]), join(parts[0], join(parts[1], parts[2]))
+    assert left == right and left[2][0] == counter.transducer.run(data[:1500])
+
+
+def test_token_counts_odd_tables(spark, odd):
+    assert token_counts.count_tokens(odd.limit(0)).count() == 0
+    (r,) = token_counts.count_tokens(spark.createDataFrame([(1, "ab" * 100_000)], "doc_id long, text string")).collect()
+    assert (r.n_bytes, r.over_limit) == (200_000, True)
+
+
 def check_packing(rows, want):
     by = collections.defaultdict(list)
     for r in rows:
@@ -305,6 +338,21 @@ def test_plan_is_near_the_bound():
             held[a] += n * b
     assert held == lengths
     assert sum(n for _, n in chosen) <= sum(a * b for a, b in lengths.items()) / 4096 * 1.005 + 1
+    placed, left = packing.program({x: n for x, n in lengths.items() if x != 4096}, 4096)
+    tokens = sum(n * sum(a * b for a, b in c.items()) for c, n in placed)
+    assert tokens >= 0.95 * sum(a * b for a, b in lengths.items() if a != 4096) and sum(a * b for a, b in left.items()) > 0
+    few = {700: 4000, 900: 2500, 1300: 1700, 2100: 900}
+    assert sum(n for _, n in packing.plan(few)) <= sum(n for _, n in packing.best_fit(few, 4096))
+    assert packing.plan({}) == [] and packing.plan({4096: 3}) == [({4096: 1}, 3)]
+
+
+def test_price_is_the_best_sequence():
+    import itertools
+
+    sizes, worth, most = np.array([3, 4, 7]), np.array([2.0, 3.1, 5.0]), np.array([2, 5, 1])
+    best = max(sum(n * w for n, w in zip(k, worth, strict=True)) for k in itertools.product(range(3), range(6), range(2)) if np.dot(k, sizes) <= 17)
+    config = packing.price(sizes, worth, most, 17)
+    assert abs(sum(n * worth[list(sizes).index(x)] for x, n in config.items()) - best) < 1e-5
 
 
 # op5
@@ -378,6 +426,30 @@ def test_decontamination_of_edits_beside_copies(spark):
     assert got == {k: v for k, v in want.items() if v >= decontamination.SCORE} and (2, 9) in got and (11, 8) in got
 
 
+def test_decontamination_equals_full_alignment(spark):
+    """Every pair of a text and an item, aligned: edits of all kinds, short items, seeds broken everywhere, a repeated tie,
+    and a very long text."""
+    import random
+
+    rnd = random.Random(4)
+    known = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rnd.choice(known) for _ in range(rnd.choice([1, 2, 3, 5, 6, 8, 12, 20, 45])))) for k in range(30)]
+    items += [(100, "alpha bravo charlie delta echo"), (101, "one two three four five six seven eight")]
+    rows = [(0, "alpha bravo XX delta echo"), (1, "one two nope four five six never eight"), (2, ("pad " * 50_000) + items[5][1] + " gap " + items[5][1])]
+    for i in range(150):
+        body = [rnd.choice(known + [f"x{j}" for j in range(200)]) for _ in range(rnd.randrange(100))]
+        rate, edited = rnd.choice([0.1, 0.3, 0.45]), []
+        for w in rnd.choice(items)[1].split():
+            u = rnd.random()
+            edited += ["zz"] if u < rate / 3 else [] if u < 2 * rate / 3 else [w, f"y{i}"] if u < 1.6 * rate else [w]
+        at = rnd.randrange(len(body) + 1)
+        rows.append((i + 3, " ".join(body[:at] + edited + body[at:])))
+    code = lambda t: np.array([zlib.crc32(x.encode()) for x in t.lower().split()], np.int64)
+    want = {(i, k): x for i, t in rows for k, item in items if (x := decontamination.align(code(item), code(t))[0]) >= decontamination.SCORE}
+    found = decontamination.find_copies(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want and {(0, 100), (1, 101), (2, 5)} <= set(want)
+
+
 # op8
 
 
@@ -432,6 +504,27 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+# SQL
+
+
+def same(v):
+    return v if isinstance(v, bool | None) else str(v)
+
+
+@pytest.mark.parametrize("name", ["op3_chat_formatting", "op8_minhash_near_dedup"])
+def test_query_equals_sql(spark, duck, name):
+    df = llm.QUERIES[name](spark, SF)
+    want = duck.sql(llm.ORACLE_SQL[name])
+    rows = lambda names, found: sorted(tuple(same(r[names.index(c)]) for c in sorted(names)) for r in found)
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_sql_is_text():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values()) and set(llm.QUERIES) < set(entry.queries())
+
+
 # op9
 
 
