@@ -139,7 +139,7 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The edit replaces the last third of a text's code points by the first as many of the next document's, in descending
     order of the key (nulls last, ties by text; after the last comes the first). Texts are shuffled once, by ranges of
-    the key. A null text counts as empty; repeated rows follow each other; an empty table gives an empty one; other
+    the key, which has to be a number. A null text counts as empty; repeated rows follow each other; an empty table gives an empty one; other
     columns don't matter.
     """
     ship(df.sparkSession)
@@ -173,4 +173,5 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts and of the next documents."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ._util import cut, free_name, table
 
-#: Share of a host's pages from which on a line is boilerplate, and pages that must hold it.
-RATIO, LEAST_PAGES = 0.1, 3
+#: Share of a host's pages from which on a line is boilerplate, and pages that must hold it. On hosts with few pages any
+#: repeat is a large share, so two copies of a page would lose all their lines without the second bound.
+RATIO, LEAST_PAGES = 0.075, 3
 
 
 def host_of(url: Column) -> Column:
@@ -55,6 +56,7 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without boilerplate; a document's `source` is its host (see host_of for pages with URLs)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return drop_boilerplate(docs)
 

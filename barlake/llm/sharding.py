@@ -43,7 +43,7 @@ def text_size(text: Column) -> Column:
 def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
     """Add each row's shard, and its shard when one more is appended.
 
-    A map: no shuffle and no state. Null keys go where -1 goes; repeated rows go together; an empty table stays empty.
+    A map: no shuffle and no state. Keys are whole numbers (hash others first). Null keys go where -1 goes; repeated rows go together; an empty table stays empty.
     Columns of the frame that have the new names are replaced.
     """
     return df.withColumns({shard: jump_hash(F.col(key), shards), grown: jump_hash(F.col(key), shards + 1)})
@@ -70,4 +70,5 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 16
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by the law `key`."""
     return shard_layout(table(spark, sf_dir, "documents"))

@@ -39,4 +39,5 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
     return count_tokens(table(spark, sf_dir, "documents"))
