@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import flat
-from ._util import cut, kept, ship, slices, table
+from ._util import cut, kept, ship, slices, stored, table
 
 #: Bytes of an n-gram with the word's begin; seven fit a long.
 ORDER, DISCOUNT = 7, 0.75
@@ -65,109 +65,54 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram[keep], count[at + np.arange(texts + 1) + 1]
 
 
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    found, where = np.unique(keys, return_inverse=True)
-    return found, *(np.bincount(where, v, len(found)) for v in values)
-
-
-def _seek(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return [np.where(keys[i] == wanted, v[i], 0) for v in values]
-
+def shorter(gram: Column) -> Column:
+    """An n-gram without its first symbol; 0 where nothing is left."""
+    out = F.lit(0).cast("long")
+    for bits in range(8, 8 * ORDER, 8):
+        out = F.when(gram >= 1 << bits, gram.bitwiseAND((1 << bits) - 1)).otherwise(out)
+    return out
 
-def _width(gram: np.ndarray) -> np.ndarray:
-    width = np.zeros(len(gram), np.int64)
-    for b in range(8):
-        width += gram >> np.uint64(8 * b) > 0
-    return width
 
+def discounted(level: DataFrame, lower: DataFrame | None, counts: list[str]) -> DataFrame:
+    """Of a level's n-grams: total and kinds of each count in the n-gram's context, and p_0 and p_1: P(last symbol | context)
+    by n_0 and n_1, where the mass taken off goes to the lower level's (1/256 each without one).
 
-def _shorter(gram: np.ndarray) -> np.ndarray:
-    """N-grams without their first symbol; 0 where nothing is left."""
-    width = np.maximum(_width(gram) - 1, 0).astype(np.uint64)
-    return gram & ((np.uint64(1) << np.uint64(8) * width) - np.uint64(1))
+    At most 256 n-grams share a context, and as many are equal but for their first symbol, so no key is hot.
+    """
+    context = Window.partitionBy(F.shiftright("gram", 8))
+    rows = level.withColumns({f"total_{x}": F.sum(x).over(context) for x in counts} | {f"kinds_{x}": F.sum((F.col(x) > 0).cast("long")).over(context) for x in counts})
+    if lower is not None:
+        rows = rows.withColumn("rest", shorter(F.col("gram"))).join(lower.select(F.col("gram").alias("rest"), F.col("p_0").alias("low_0"), F.col("p_1").alias("low_1")), "rest", "left")
+    for i in (0, 1):
+        low = F.coalesce(f"low_{i}", F.lit(1 / 256)) if lower is not None else F.lit(1 / 256)
+        taken = F.greatest(F.col(f"n_{i}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_n_{i}") * low
+        rows = rows.withColumn(f"p_{i}", taken / F.greatest(F.col(f"total_n_{i}"), F.lit(1)))
+    return rows
+
+
+def log_ratios(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """gram, and its log-likelihood ratio (toxic to ordinary) by the rows to fit with (ratio_0) and by all rows (ratio_1);
+    0 where it has no counts. counts: gram (distinct), fit_0, fit_1, all_0, all_1, the counts of the classes.
+
+    A level of the shared backoff has the n-grams of the level before without their first symbols, and how many different
+    ones each had.
+    """
+    counts = counts.withColumn("n_0", F.col("fit_0") + F.col("fit_1")).withColumn("n_1", F.col("all_0") + F.col("all_1"))
+    levels = [counts]
+    for _ in range(ORDER - 1):
+        seen = [F.sum((F.col(x) > 0).cast("long")).alias(x) for x in ("n_0", "n_1")]
+        levels.append(stored(levels[-1].groupBy(shorter(F.col("gram")).alias("gram")).agg(*seen).where("gram > 0")))
+    lower = None
+    for level in reversed(levels[1:]):
+        lower = discounted(level, lower, ["n_0", "n_1"])
+    top = discounted(counts, lower, ["n_0", "n_1", "fit_0", "fit_1", "all_0", "all_1"])
 
+    def log(x: str, base: str) -> Column:
+        own = F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(f"kinds_{x}") + prior) * F.col(base)
+        return F.log(own / (F.col(f"total_{x}") + prior))
 
-def _levels(gram: np.ndarray) -> list[np.ndarray]:
-    levels = [gram]
-    for _ in range(ORDER - 1):
-        levels.append(_shorter(levels[-1]))
-    return levels
-
-
-def short_counts(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct n-grams: level << 16 | its two last bytes, for each level at which two are left, and the distinct
-    left neighbours there (level 0 has none: 1). Sums over parts that share no context of two bytes are those of all."""
-    levels, out = _levels(gram), []
-    for level, own in enumerate(levels):
-        two = _width(own) == 2
-        longer = np.unique(levels[max(level - 1, 0)][two])
-        keys, cont = np.unique(_shorter(longer) if level else longer, return_counts=True)
-        out.append((keys | np.uint64(level << 16), cont))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def short_backoff(code: np.ndarray, cont: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(last byte | at most one byte before it) at each level: level << 16 | bytes, sorted, and the probabilities."""
-    level, own = code >> np.uint64(16), code & np.uint64(0xFFFF)
-    one, kinds = np.unique(((level + np.uint64(1)) << np.uint64(16)) | (own & np.uint64(0xFF)), return_counts=True)
-    levels, total, kind = _sums(one >> np.uint64(16), kinds, np.ones(len(one)))
-    all_, n = _seek(levels, one >> np.uint64(16), total, kind) if len(one) else (np.ones(0), np.ones(0))
-    p_one = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * n / 256) / all_
-    two = level > 0
-    code, cont = code[two], cont[two]
-    if not len(code):
-        return one, p_one
-    context = code >> np.uint64(8)
-    contexts, total, kind = _sums(context, cont, np.ones(len(code)))
-    all_, n = _seek(contexts, context, total, kind)
-    (lower,) = _seek(one, (((code >> np.uint64(16)) + np.uint64(1)) << np.uint64(16)) | (code & np.uint64(0xFF)), p_one)
-    keys, p = np.concatenate([one, code]), np.concatenate([p_one, (np.maximum(cont - DISCOUNT, 0) + DISCOUNT * n * lower) / all_])
-    order = np.argsort(keys)
-    return keys[order], p[order]
-
-
-def shared_backoff(gram: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """P(last byte | shorter context) of each n-gram under the pooled model with continuation counts. `gram` has all
-    distinct n-grams of its contexts' last two bytes; what has less context is in `short`."""
-    levels = _levels(gram)
-    p = np.full(len(gram), 1 / 256)
-    for level in range(ORDER - 1, 0, -1):
-        own, width = levels[level], _width(levels[level])
-        few = np.flatnonzero((width > 0) & (width < 3))
-        if len(few):
-            (p[few],) = _seek(short[0], own[few] | np.uint64(level << 16), short[1])
-        here = np.flatnonzero(width > 2)
-        if not len(here):
-            continue
-        longer = np.unique(levels[level - 1][here])  # distinct left neighbours, each with what follows
-        keys, cont = np.unique(_shorter(longer), return_counts=True)
-        contexts, total, kinds = _sums(keys >> np.uint64(8), cont, np.ones(len(keys)))
-        (n,) = _seek(keys, own[here], cont)
-        all_, kind = _seek(contexts, own[here] >> np.uint64(8), total, kinds)
-        p[here] = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kind * p[here]) / all_
-    return p
-
-
-def log_ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, short: tuple[np.ndarray, np.ndarray], prior: float = PRIOR) -> np.ndarray:
-    """Log-likelihood ratio (toxic to ordinary) of each distinct n-gram; 0 for those without counts."""
-    out = np.zeros(len(gram))
-    known = np.flatnonzero(ordinary + toxic > 0)
-    gram, counts = gram[known], [x[known] for x in (ordinary, toxic)]
-    if not len(gram):
-        return out
-    context = gram >> np.uint64(8)
-    both = counts[0] + counts[1]
-    keys, total, kinds = _sums(context, both, both > 0)
-    all_, kind = _seek(keys, context, total, kinds)
-    base = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kind * shared_backoff(gram, short)) / np.maximum(all_, 1)
-    logs = []
-    for n in counts:
-        keys, total, kinds = _sums(context, n, n > 0)
-        all_, kind = _seek(keys, context, total, kinds)
-        logs.append(np.log((np.maximum(n - DISCOUNT, 0) + (DISCOUNT * kind + prior) * base) / (all_ + prior)))
-    out[known] = logs[1] - logs[0]
-    return out
+    ratios = [F.when(F.col(f"n_{i}") > 0, log(f"{x}_1", f"p_{i}") - log(f"{x}_0", f"p_{i}")).otherwise(0.0) for i, x in enumerate(("fit", "all"))]
+    return top.select("gram", *(r.cast("float").alias(f"ratio_{i}") for i, r in enumerate(ratios)))
 
 
 class Model:
@@ -236,8 +181,8 @@ def fold_of(key: Column) -> Column:
 
 
 def _gram_counts(marked: DataFrame) -> DataFrame:
-    """Counts of each n-gram by class (0, 1) and by use (fit, calibrate): four columns, summed over all tasks. The
-    n-grams whose contexts end in the same two bytes (`ends`) are in one partition."""
+    """Counts of each n-gram by class (0, 1): of the rows to fit with (fit_0, fit_1) and of all (all_0, all_1). A task sums
+    its own first."""
     schema = "gram long, fit_0 double, fit_1 double, more_0 double, more_1 double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,47 +202,8 @@ def _gram_counts(marked: DataFrame) -> DataFrame:
         for i in range(0, len(keys), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].astype(np.int64)), *(pa.array(x[i : i + 50_000]) for x in counts)], ["gram", "fit_0", "fit_1", "more_0", "more_1"])
 
-    parts = marked.select("text", "toxic", "fold").mapInArrow(run, schema)
-    parts = parts.withColumn("ends", F.expr("shiftright(gram, 8) & 65535")).repartition("ends")
-    return parts.groupBy("ends", "gram").agg(*(F.sum(x).alias(x) for x in ("fit_0", "fit_1", "more_0", "more_1")))
-
-
-def _uses(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """A partition's n-grams, sorted, and the counts of either class: those to fit with, and those of all rows."""
-    rows = pa.Table.from_batches(list(batches))
-    gram, *n = (rows[x].to_numpy() for x in ("gram", "fit_0", "fit_1", "more_0", "more_1"))
-    order = np.argsort(gram)
-    n = [x[order] for x in n]
-    return gram[order].astype(np.uint64), [(n[0], n[1]), (n[0] + n[2], n[1] + n[3])]
-
-
-def _ratios(counts: DataFrame) -> pa.Table:
-    """gram, and its log ratio by the rows to fit with (ratio_0) and by all (ratio_1).
-
-    Contexts of two bytes or more are wholly in a partition; the driver gets the counts of the shorter ones (a bounded
-    number), makes their probabilities, and gets the ratios: as many as the bounded labelled rows have n-grams.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (first := next(batches, None)) is None:
-            return
-        gram, uses = _uses([first, *batches])
-        for use, (a, b) in enumerate(uses):
-            code, cont = short_counts(gram[a + b > 0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), use)), pa.array(code.astype(np.int64)), pa.array(cont.astype(np.int64))], ["use", "code", "cont"])
-
-    found = counts.mapInArrow(count, "use long, code long, cont long").groupBy("use", "code").agg(F.sum("cont").alias("cont")).orderBy("use", "code").toArrow()
-    use, code, cont = (found[x].to_numpy() for x in ("use", "code", "cont"))
-    short = counts.sparkSession.sparkContext.broadcast([short_backoff(code[use == i].astype(np.uint64), cont[use == i]) for i in (0, 1)])
-
-    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (first := next(batches, None)) is None:
-            return
-        gram, uses = _uses([first, *batches])
-        ratios = [log_ratios(gram, *n, short.value[i]) for i, n in enumerate(uses)]
-        yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in ratios)], ["gram", "ratio_0", "ratio_1"])
-
-    return counts.mapInArrow(ratio, "gram long, ratio_0 float, ratio_1 float").toArrow()
+    parts = marked.select("text", "toxic", "fold").mapInArrow(run, schema).groupBy("gram")
+    return parts.agg(F.sum("fit_0").alias("fit_0"), F.sum("fit_1").alias("fit_1"), F.sum(F.expr("fit_0 + more_0")).alias("all_0"), F.sum(F.expr("fit_1 + more_1")).alias("all_1"))
 
 
 def _scored(rows: DataFrame, keep: list[str], model: Model, slope: float, intercept: float, out: str) -> DataFrame:
@@ -330,8 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = chosen.groupBy("label_key").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold_of(F.col("label_key"))).where("fold <> 0")
     chosen = cut(chosen.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
     marked = docs.select(F.col(key).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), F.expr("text_key = label_key"))
-    counts = cut(_gram_counts(marked))
-    top = _ratios(counts)
+    counts = stored(_gram_counts(marked))
+    top = log_ratios(counts).toArrow()
     gram = top["gram"].to_numpy()
     first = Model(gram, top["ratio_0"].to_numpy())
     seen = _scored(marked, ["toxic", "fold"], first, None, 0.0, "x").where(F.col("fold") == CALIBRATE).select("toxic", "x").toArrow()
