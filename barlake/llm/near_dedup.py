@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from ._text import distinct, flat, shingles, word_hashes
 from ._util import BROADCAST_BYTES, HOT_ROWS, free_name, kept, ship, slices, small, spread_join, stored, table
 
-COORDS, MATCHES = 48, 24
+#: Coordinates, the matches asked for, and the least percentage for which so many find all but one pair in a million.
+COORDS, MATCHES, LEAST_PERCENT = 48, 24, 80
 PREFIX = COORDS - MATCHES + 1
 #: Parts in which the nodes of a posting list are counted.
 PARTS = 64
@@ -259,8 +260,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles. A text of fewer
     words has its whole sequence as one shingle; null and empty texts and null keys are linked with nothing (a null key's
     component_id is null, and it is kept). Equal sets are one node from the start, whatever their number. Rows with equal
-    keys count as one document. An empty table gives an empty one; other columns don't matter.
+    keys count as one document. An empty table gives an empty one; other columns don't matter. A percentage under
+    `LEAST_PERCENT` is an error: the signatures would lose links of it.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent has to be {LEAST_PERCENT} to 100: {percent}")
     ship(docs.sparkSession)
     rows = stored(signatures(docs, key, text, k))
     classes = stored(rows.where("doc is not null and set_id is not null").groupBy("set_id").agg(F.min("doc").alias("node")))

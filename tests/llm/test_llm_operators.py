@@ -502,6 +502,9 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert near_dedup.drop_near_duplicates(odd, k=4).count() == len(ODD) - 2
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
+    for percent in (50, 101):
+        with pytest.raises(ValueError, match="percent"):
+            near_dedup.near_duplicates(odd, percent=percent)
 
 
 # SQL
