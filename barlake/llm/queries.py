@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, pii, sharding, token_counts, toxicity
+from . import alignment, chat, decontamination, fingerprints, hard_negatives, line_dedup, near_dedup, ngram_join, packing, pii, sharding, token_counts, toxicity
 
 QUERIES = {
     "op2_pii_surrogates": pii.op2_pii_surrogates,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_ngram_jaccard_join": ngram_join.op11_ngram_jaccard_join,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": chat.ORACLE_SQL,
     "op8_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
