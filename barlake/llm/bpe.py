@@ -13,12 +13,14 @@ import unicodedata
 
 import numpy as np
 import regex
+from tokenizers.normalizers import NFC
 
 from ._util import kept
 
 VOCAB = "word_bpe_49k.json"
 #: Fixed values of the vocabulary file: its pattern of words, special strings and word-end mark.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+MARKS, COMPOSER = regex.compile(r"\p{M}"), NFC()
 SPECIALS = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 WORD_END = "</w>"
 #: White space as the library has it: four control characters that Python's split() takes for white space are none.
@@ -46,9 +48,19 @@ def lowered(text: str) -> str:
     return text if _LATE.search(text) else text.lower()
 
 
+def normalised(run: str) -> str:
+    """Composed and in lower case, as the library does it: a capital sigma has one small form wherever it stands. Runs with
+    marks are left to its own composer, which knows fewer of them than Python does."""
+    if run.isascii():
+        return run.lower()
+    composed = COMPOSER.normalize_str(run) if MARKS.search(run) else unicodedata.normalize("NFC", run)
+    return composed.replace("Σ", "σ").lower()
+
+
 def stem_of(run: str) -> str:
-    """A run without its last character, if that is a lone stop after letters: a token of its own."""
-    return run[:-1] if run[-1] in _STOPS and run[:-1].isalpha() else run
+    """A run without its last character, if that is a lone stop after letters: a token of its own. What counts are the
+    normalised letters: the small form of a capital I with a dot has a mark, which isn't one, and goes with the stop."""
+    return run[:-1] if run[-1] in _STOPS and normalised(run[:-1]).isalpha() else run
 
 
 class Generations:
@@ -79,9 +91,7 @@ def runs_of(text: str) -> list[str]:
 
 def words_of(run: str) -> list[str]:
     """The pre-tokens of a run, normalised."""
-    if not run.isascii():
-        run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
-    run = run.lower()
+    run = normalised(run)
     return [run] if run.isalpha() else PATTERN.findall(run)
 
 

@@ -154,6 +154,35 @@ def test_scores_that_need_64_bits():
         hard_negatives.exact_kind(big * 8, big * 8)
 
 
+# op4 and op6
+
+def test_counts_and_ids_equal_the_library_on_odd_strings():
+    """All characters that lower-casing or composition changes in length, marks, and stops next to them."""
+    import sys
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from barlake.llm import bpe
+
+    rnd = np.random.default_rng(11)
+    every = [chr(i) for i in range(0x20, sys.maxunicode) if not 0xD800 <= i <= 0xDFFF and unicodedata.category(chr(i)) not in ("Cn", "Co")]
+    special = [c for c in every if len(c.lower()) > 1 or len(c.upper()) > 1 or c.lower() != c or len(unicodedata.normalize("NFC", c)) != 1 or len(unicodedata.normalize("NFD", c)) > 1]
+    marks = [c for c in every if unicodedata.category(c).startswith("M")]
+    plain = list("aAzİIıΣσςßéÉкЁ漢가0９²'’`-_,.;:!?()\"<|> \t\n") + ["<|endoftext|>", "'s", "'LL"]
+    texts = [f"{a}{c}{b}" for c in special for a in ("", "K") for b in (".", "!", "")]
+    pools = [plain, plain, special, marks, every]
+    for _ in range(100_000):
+        texts.append("".join(pools[int(p)][int(x * len(pools[int(p)]))] for p, x in zip(rnd.integers(0, 5, 6), rnd.random(6), strict=True)))
+    texts += ["TAKSİ.", "BİLGİ!", "ÜRÜNLERİ, EVET", "İ", "İ.", "ΣΑΣ.", "ΟΔΟΣ, ΣΣ"]
+    path = bpe.vocabulary_path()
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    cache, counter = bpe.IdCache(path), bpe.TokenCounter(path)
+    got = [x for i in range(0, len(texts), 5000) for x in cache.many(texts[i : i + 5000])]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a.tolist() != b] == []
+    assert [t for t, b in zip(texts, want, strict=True) if counter.tokens(t) != len(b)] == []
+
+
 # op13
 
 TEXTS = ["Hello world, this is a test.", None, "", " ", "two  spaces", "<|endoftext|> <s> </s> <0x41>", "tab\tand\nline", "naïve café İstanbul ÄÖ", "漢字かな 한국어 😀", "under ▁ line", "ﬁ ligature ½", "x" * 5000, "word " * 3000, "Hello world, this is a test.", "'s don't I'LL", " nbsp", "á combining", "trailing ", "<unk>"]
