@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import UTC, date, datetime, timedelta, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ZONE = "Asia/Shanghai"
@@ -58,10 +58,10 @@ def flex_date(value: Column) -> Column:
 
 
 def flex_bound_text(value: Column, is_end: bool = False) -> Column:
-    """ISO text of a bound: a local day's first or last second at +08:00, or the epoch's second at +00:00."""
-    clock = "T23:59:59+08:00" if is_end else "T00:00:00+08:00"
+    """Text of a bound: a local day's first or last second at +08:00, or the epoch's second at +00:00."""
+    clock = " 23:59:59+08:00" if is_end else " 00:00:00+08:00"
     day = F.concat(F.date_format(flex_date(value), "yyyy-MM-dd"), F.lit(clock))
-    second = F.concat(F.date_format(F.timestamp_seconds(seconds_of(value)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    second = F.concat(F.date_format(F.timestamp_seconds(seconds_of(value)), "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
     return F.when(value <= LAST_DATE, day).otherwise(second)
 
 
@@ -116,6 +116,26 @@ def quarter_label(day: Column) -> Column:
     return F.concat(F.year(day).cast("string"), F.lit("q"), F.quarter(day).cast("string"))
 
 
+def in_intervals(df: DataFrame, at: str, intervals: DataFrame, low: str, high: str, bins: float) -> DataFrame:
+    """Rows of df joined with the rows of intervals in which `at` lies: low <= at < high. Numbers only; cast instants.
+
+    Intervals may have any length, overlap or leave gaps: each is put into all bins of width `bins` that it touches, rows
+    into their own, and the join is one of equal bins. With bins about as wide as most intervals are, an interval is in two
+    bins or so. Nulls lie nowhere, and an interval that ends before it begins holds nothing.
+    """
+    bin_of = lambda c: F.floor(c / bins)
+    spans = intervals.where(F.col(low) < F.col(high)).withColumn("interval_bin", F.explode(F.sequence(bin_of(F.col(low)), bin_of(F.col(high)))))
+    rows = df.withColumn("interval_bin", bin_of(F.col(at)))
+    joined = rows.join(spans, "interval_bin").where((rows[at] >= spans[low]) & (rows[at] < spans[high]))
+    return joined.drop("interval_bin")
+
+
+def quarter_table(spark: SparkSession, start: date, end: date) -> DataFrame:
+    """label, from_epoch and to_epoch (seconds) of all quarters of the local calendar that a span touches."""
+    at = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=LOCAL).timestamp())
+    return spark.createDataFrame([(label, at(a), at(b)) for label, a, b in quarter_bounds(start, end)], "label string, from_epoch long, to_epoch long")
+
+
 def quarter_bounds(start: date, end: date) -> list[tuple[str, date, date]]:
     """Label, first day and next quarter's first day of all quarters that a span touches."""
     first, last = (d.year * 4 + (d.month - 1) // 3 for d in (start, end))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import timeutil
+from . import quantiles
 
 PRICES = ["open", "high", "low", "close"]
 OHLCV = [*PRICES, "volume", "amount"]
 KEEP = ("sid", "datetime", "tick")
 #: Security kinds by their ids, in the order in which they are tried.
 KINDS = (("stock", "^(6|0|3)[0-9]{5}"), ("fund", "^(51|15|16)[0-9]{4}"), ("benchmark", "^(1A0001|1B0688|2A01|399006)"))
-#: Index codes of one vendor and those of the lake.
-CODES = {"1A0001": "000001", "1B0688": "000688", "2A01": "399001"}
+#: Index codes as vendor files have them, and those of the lake.
+CODES = {"SH.000001": "SH.1A0001", "SH.000688": "SH.1B0688", "SZ.399001": "SZ.2A01", "SZ.399006": "SZ.399006"}
 
 
 def _numeric(df: DataFrame, but: tuple[str, ...] = KEEP) -> list[str]:
@@ -78,21 +80,32 @@ def fill_na(df: DataFrame, value: float = 0, exclude: tuple[str, ...] = ("tick",
     return df.na.fill(value, _numeric(df, exclude))
 
 
+#: Statistics by the names that numpy has for them; those that pass over NaN are the same here, as NaN is never counted.
 REDUCERS = {
     "mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum, "std": F.stddev_pop, "var": F.var_pop, "prod": F.product,
+    "average": F.avg, "amin": F.min, "amax": F.max, "ptp": lambda c: F.max(c) - F.min(c), "count_nonzero": lambda c: F.count_if(F.col(c) != 0).cast("double"), "size": lambda c: F.count(c).cast("double"),
 }
+REDUCERS |= {f"nan{x}": REDUCERS[x] for x in ("mean", "median", "min", "max", "sum", "std", "var", "prod")}
 
 
-def fill_inf(df: DataFrame, how: str = "mean", columns: list[str] | None = None, by: str = "sid") -> DataFrame:
-    """Infinite, NaN and null values to a statistic of the rest of the group; 0 for an unknown statistic.
+def fill_inf(df: DataFrame, how: str = "mean", columns: list[str] | None = None, by: str = "sid", hot_rows: int = quantiles.HOT_ROWS) -> DataFrame:
+    """Infinite, NaN and null values to a statistic of the rest of the group; 0 for a name that numpy lacks. A function of
+    numpy that is no statistic here is an error.
 
-    The statistic is aggregated (map-side first) and joined, so a hot group isn't brought into one task.
+    The statistic is aggregated (map-side first) and joined, so a hot group isn't brought into one task; medians of groups
+    of more than `hot_rows` rows are found by selection.
     """
     columns = columns or [c for c in OHLCV if c in df.columns]
     known = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c))
+    if how not in REDUCERS and hasattr(np, how):
+        raise NotImplementedError(f"numpy.{how} isn't a statistic of a column here")
     if how not in REDUCERS:
         return df.withColumns({c: F.coalesce(known(c), F.lit(0.0)) for c in columns})
-    held = df.select(F.col(by).alias(f"{by}_of"), *(known(c).alias(c) for c in columns)).groupBy(f"{by}_of").agg(*(REDUCERS[how](c).alias(f"{c}_fill") for c in columns))
+    values = df.select(F.col(by).alias(f"{by}_of"), *(known(c).alias(c) for c in columns))
+    if how in ("median", "nanmedian"):
+        held = quantiles.medians(values, f"{by}_of", columns, hot_rows)
+    else:
+        held = values.groupBy(f"{by}_of").agg(*(REDUCERS[how](c).alias(f"{c}_fill") for c in columns))
     out = df.join(held, F.col(by).eqNullSafe(F.col(f"{by}_of")), "left")
     return out.withColumns({c: F.coalesce(known(c), F.col(f"{c}_fill")) for c in columns}).select(df.columns)
 

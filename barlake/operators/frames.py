@@ -8,47 +8,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import HOT_ROWS, stretches
+
 CHUNK = 1024
-#: Stretches of the order in which a group is numbered.
-PARTS = 64
 
 
-def runs(df: DataFrame, by: str, order: str, within: str) -> DataFrame:
+def runs(df: DataFrame, by: str, order: str, within: str, rows: int = HOT_ROWS) -> DataFrame:
     """Runs of equal values in an order, inside each group of `within`: the value, the run's number, its first and last
-    place in the order, and its rows. Groups are cut into stretches of the order, so a hot one isn't one task: runs are
-    numbered in each stretch, and its first row is compared with the last one of the stretch before."""
-    rows = stretches(df.select(within, by, order), order)
+    place in the order, and its rows. Groups of more than `rows` rows are cut into stretches of the order that hold equally
+    many, so a hot one isn't one task: runs are numbered in each stretch, and its first row is compared with the last one of
+    the stretch before."""
+    marked, cut = stretches(df.select(within, by, order), [within], order, rows)
     rank = Window.partitionBy(within, "stretch").orderBy(order)
     first = F.row_number().over(rank) == 1
-    new = F.when(first, 0).otherwise(F.coalesce((F.lag(by).over(rank) != F.col(by)).cast("int"), F.lit(1)))
-    marked = rows.select("*", new.alias("new")).withColumn("run", F.sum("new").over(rank.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = marked.groupBy(within, "stretch").agg(F.min_by(by, order).alias("head"), F.max_by(by, order).alias("tail"), F.sum("new").alias("news"))
-    along = Window.partitionBy(within).orderBy("stretch")
-    ends = ends.withColumn("opens", F.coalesce((F.lag("tail").over(along) != F.col("head")).cast("int"), F.lit(1)))
-    ends = ends.withColumn("before", F.sum(F.col("news") + F.col("opens")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("news"))
-    numbered = marked.join(ends.select(within, "stretch", "before"), [within, "stretch"]).withColumn("run", F.col("run") + F.col("before"))
-    return numbered.groupBy(within, by, "run").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("n_rows"))
-
-
-def stretches(df: DataFrame, order: str, parts: int = PARTS) -> DataFrame:
-    """Add `stretch`: the part of the range of a numeric order (or an instant) that a row lies in; null orders come first.
-
-    One pass over the order alone finds its bounds; two numbers go to the driver.
-    """
-    at = F.col(order).cast("double")
-    low, high = df.agg(F.min(at), F.max(at)).first()
-    width = ((high - low) / parts if low is not None else 0) or 1.0
-    return df.withColumn("stretch", F.coalesce(F.floor((at - F.lit(low if low is not None else 0.0)) / F.lit(width)), F.lit(-1)).cast("int"))
-
-
-def chunks(df: DataFrame, by: str, order: str, size: int = CHUNK) -> DataFrame:
-    """Add the frame number of each row: at most `size` rows of one id. An id's rows are numbered in stretches of the
-    order, so a hot one isn't one task."""
-    rows = stretches(df, order)
-    counts = rows.groupBy(by, "stretch").agg(F.count("*").alias("n"))
+    new = F.when(first, 0 if cut else 1).otherwise(F.coalesce((F.lag(by).over(rank) != F.col(by)).cast("int"), F.lit(1)))
+    marked = marked.select("*", new.alias("new")).withColumn("run", F.sum("new").over(rank.rowsBetween(Window.unboundedPreceding, 0)))
+    if cut:
+        ends = marked.groupBy(within, "stretch").agg(F.min_by(by, order).alias("head"), F.max_by(by, order).alias("tail"), F.sum("new").alias("news"))
+        along = Window.partitionBy(within).orderBy("stretch")
+        ends = ends.withColumn("opens", F.coalesce((F.lag("tail").over(along) != F.col("head")).cast("int"), F.lit(1)))
+        ends = ends.withColumn("before", F.sum(F.col("news") + F.col("opens")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("news"))
+        ends = ends.select(F.col(within).alias("within_of"), F.col("stretch").alias("stretch_of"), "before")
+        marked = marked.join(ends, marked[within].eqNullSafe(ends["within_of"]) & (F.col("stretch") == F.col("stretch_of"))).withColumn("run", F.col("run") + F.col("before"))
+    return marked.groupBy(within, by, "run").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("n_rows"))
+
+
+def chunks(df: DataFrame, by: str, order: str, size: int = CHUNK, rows: int = HOT_ROWS) -> DataFrame:
+    """Add the frame number of each row: at most `size` rows of one id. An id of more than `rows` rows is numbered in
+    stretches of the order that hold equally many, so a hot one isn't one task."""
+    marked, cut = stretches(df, [by], order, rows)
+    place = F.row_number().over(Window.partitionBy(by, "stretch").orderBy(order))
+    ranked = marked.withColumn("place", place)
+    if not cut:
+        return ranked.select(*df.columns, F.floor((F.col("place") - 1) / size).alias("frame"))
+    counts = marked.groupBy(by, "stretch").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     counts = counts.select(F.col(by).alias("group_of"), F.col("stretch").alias("stretch_of"), before.alias("before"))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(by, "stretch").orderBy(order)))
     joined = ranked.join(counts, F.col(by).eqNullSafe(F.col("group_of")) & (F.col("stretch") == F.col("stretch_of")))
     return joined.select(*df.columns, F.floor((F.col("place") + F.col("before") - 1) / size).alias("frame"))
 

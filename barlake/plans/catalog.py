@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import timeutil as tu
 from ..operators import clean, frames, master
 from ..session import scratch
-from ..sources import lake, readers
+from ..sources import lake, readers, records
 from . import topics
 from .fixtures import view, with_views
 
@@ -61,27 +61,43 @@ def topic_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.closes(view(spark, sf_dir, "bars"), F.col("datetime"), ["datetime", "event_id"])
 
 
-_RANGE = "datetime BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'"
+_RANGE = "datetime BETWEEN TIMESTAMP '2024-01-25 00:00:00' AND TIMESTAMP '2024-02-20 23:59:59' AND sid IN ('600000', '600003', '000005', '510002', '150007', '000001', '600009')"
+_IDS = ["600000", "600003", "000005", "510002", "150007", "000001", "600009"]
+_BARS = "amount double, close double, datetime timestamp, event_id long, high double, low double, open double, tick long, volume long, type string, year string, quarter string, sid string, date string"
 
 
-@query(f"""SELECT sid, CAST(datetime AS DATE) AS day, arg_min(open, (datetime, event_id)) AS open, max(high) AS high, min(low) AS low, arg_max(close, (datetime, event_id)) AS close,
-  CAST(sum(volume) AS BIGINT) AS volume, round(sum(amount), 2) AS amount FROM bars WHERE {_RANGE} GROUP BY 1, 2""")
+def _topic_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lake of several months, written and then read from its root."""
+    bars = view(spark, sf_dir, "spread_bars")
+    bars = bars.withColumn("tick", F.unix_timestamp(tu.local_to_utc(F.col("datetime")).cast("timestamp")))
+    root = scratch(spark, "topics")
+    lake.write_lake(clean.classify(clean.partition_keys(bars)), root)
+    return lake.scan_lake(spark, root, _BARS)
+
+
+@query(f"""SELECT sid, CAST(datetime AS DATE) AS day, arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close,
+  CAST(sum(volume) AS BIGINT) AS volume, round(sum(amount), 2) AS amount FROM spread_bars WHERE {_RANGE} GROUP BY 1, 2""")
 def topic_daily_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = _lake_bars(spark, sf_dir)
-    return _round(topics.fetch("daily", bars, START, END, bars.select("sid").distinct()), ["amount"], 2)
+    return _round(topics.fetch("daily", _topic_lake(spark, sf_dir), 20240125, 20240220, _IDS), ["amount"], 2)
 
 
-@query(f"SELECT sid, CAST(datetime AS DATE) AS day, arg_max(close, (datetime, event_id)) AS close FROM bars WHERE {_RANGE} GROUP BY 1, 2")
+@query(f"SELECT sid, CAST(datetime AS DATE) AS day, arg_max(close, datetime) AS close FROM spread_bars WHERE {_RANGE} GROUP BY 1, 2")
 def topic_close_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = _lake_bars(spark, sf_dir)
-    return topics.fetch("close", bars, START, END, bars.select("sid").distinct())
+    return topics.fetch("close", _topic_lake(spark, sf_dir), 20240125, 20240220, _IDS)
 
 
-@query("""SELECT sid, event_id, datetime - INTERVAL 8 HOUR AS datetime, CAST(floor(epoch(datetime)) AS BIGINT) - 28800 AS tick, close
-  FROM bars WHERE datetime >= TIMESTAMP '2024-01-05 00:00:00' AND datetime <= TIMESTAMP '2024-01-20 23:59:59'""")
+@query(f"""SELECT sid, event_id, date_trunc('millisecond', datetime) - INTERVAL 8 HOUR AS datetime, CAST(floor(epoch(datetime)) AS BIGINT) - 28800 AS tick, close
+  FROM spread_bars WHERE {_RANGE}""")
 def topic_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = _lake_bars(spark, sf_dir)
-    return _naive(topics.fetch("tick", bars, START, END, bars.select("sid").distinct()).select("sid", "event_id", "datetime", "tick", "close"))
+    return _naive(topics.fetch("tick", _topic_lake(spark, sf_dir), 20240125, 20240220, _IDS).select("sid", "event_id", "datetime", "tick", "close"))
+
+
+@query("""SELECT sid, event_id, close FROM spread_bars WHERE sid IN (SELECT sid FROM spread_bars GROUP BY 1 HAVING max(event_id) % 3 = 0)
+  AND datetime BETWEEN TIMESTAMP '2024-01-25 00:00:00' AND TIMESTAMP '2024-02-20 23:59:59'""")
+def topic_tick_of_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids come as a frame that a query made; their folders alone are read."""
+    ids = view(spark, sf_dir, "spread_bars").groupBy("sid").agg(F.max("event_id").alias("last")).where("last % 3 = 0")
+    return topics.fetch("tick", _topic_lake(spark, sf_dir), 20240125, 20240220, ids).select("sid", "event_id", "close")
 
 
 @query("SELECT sid, name, first_trading, delist, merger, ratio FROM asset WHERE sid IN (SELECT sid FROM asset_update)")
@@ -157,10 +173,11 @@ def partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(clean.partition_keys(marked)).select("sid", "event_id", "datetime", "year", "quarter", "date")
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '000001' WHEN 1 THEN '000688' WHEN 2 THEN '399001' ELSE sid END AS sid FROM bars")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'SH.1A0001' WHEN 1 THEN 'SH.1B0688' WHEN 2 THEN 'SZ.2A01' WHEN 3 THEN 'SZ.399006' ELSE sid END AS sid FROM bars")
 def code_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index codes of vendor files to those of the lake; others stay."""
     k = F.col("event_id") % 5
-    coded = F.when(k == 0, "1A0001").when(k == 1, "1B0688").when(k == 2, "2A01").otherwise(F.col("sid"))
+    coded = F.when(k == 0, "SH.000001").when(k == 1, "SH.000688").when(k == 2, "SZ.399001").when(k == 3, "SZ.399006").otherwise(F.col("sid"))
     return clean.remap(view(spark, sf_dir, "bars").select("event_id", coded.alias("sid")), "sid", clean.CODES)
 
 
@@ -179,7 +196,14 @@ def _fill_query(how: str, sql: str) -> None:
     query(f"SELECT sid, event_id, round(coalesce(c, {sql}(c) OVER (PARTITION BY sid)), 6) AS close FROM (SELECT sid, event_id, {known} AS c FROM dirty_bars)")(run)
 
 
-for _how, _sql in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"), ("std", "stddev_pop"), ("sum", "sum"), ("var", "var_pop")):
+@query("""SELECT 'x' AS sid, event_id, round(coalesce(c, median(c) OVER ()), 6) AS close FROM (SELECT event_id, CASE WHEN close IS NOT NULL AND NOT isnan(close) AND NOT isinf(close) THEN close END AS c FROM dirty_bars)""")
+def fill_inf_median_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One id has all rows: its median comes by selection, as for any group over the bound."""
+    one = view(spark, sf_dir, "dirty_bars").withColumn("sid", F.lit("x"))
+    return _round(clean.fill_inf(one, "median", ["close"], hot_rows=500), ["close"])
+
+
+for _how, _sql in (("ptp", "max(c) OVER (PARTITION BY sid) - min"), ("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"), ("std", "stddev_pop"), ("sum", "sum"), ("var", "var_pop")):
     _fill_query(_how, _sql)
 
 
@@ -228,13 +252,13 @@ def flex_date_to_ymd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.year(day).cast("long").alias("y"), F.month(day).cast("long").alias("m"), F.dayofmonth(day).cast("long").alias("d"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+08:00' AS lower_bound, strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59+08:00' AS upper_bound FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00+08:00' AS lower_bound, strftime(o_orderdate, '%Y-%m-%d') || ' 23:59:59+08:00' AS upper_bound FROM orders")
 def flex_date_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.date_format("o_orderdate", "yyyyMMdd").cast("long")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", tu.flex_bound_text(value).alias("lower_bound"), tu.flex_bound_text(value, True).alias("upper_bound"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS lower_bound FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00:00' AS lower_bound FROM events")
 def flex_epoch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.unix_timestamp(F.col("ts").cast("timestamp")) * F.element_at(F.array(*(F.lit(x) for x in (1, 1000, 1000000))), (F.col("event_id") % 3 + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tu.flex_bound_text(value).alias("lower_bound"))
@@ -245,9 +269,11 @@ def flex_epoch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEFT JOIN orders ON date_trunc('month', o_orderdate) = m GROUP BY 1, 2, 3""")
 def month_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.trunc("o_orderdate", "MM").alias("m"))
-    span = orders.agg(F.min("m").alias("a"), F.max("m").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
-    counts = orders.groupBy("m").agg(F.count("*").alias("n"))
-    return span.join(counts, "m", "left").select(F.date_format("m", "yyyy").alias("year"), F.concat(F.lit("Q"), F.quarter("m").cast("string")).alias("quarter"), F.date_format("m", "yyyyMM").alias("date"), F.coalesce("n", F.lit(0)).alias("n_orders"))
+    first, last = orders.agg(F.min("m"), F.max("m")).first()
+    span = spark.createDataFrame([(x,) for x in tu.months(int(first.strftime("%Y%m%d")), int(last.strftime("%Y%m%d")))], "date string")
+    counts = orders.groupBy(F.date_format("m", "yyyyMM").alias("date")).agg(F.count("*").alias("n"))
+    month = F.substring("date", 5, 2).cast("int")
+    return span.join(counts, "date", "left").select(F.substring("date", 1, 4).alias("year"), F.concat(F.lit("Q"), F.ceil(month / 3).cast("string")).alias("quarter"), "date", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate + INTERVAL 12 HOUR ELSE TIMESTAMP '2001-09-10 00:00:00' + to_days(CAST(o_orderkey % 5000 AS INT)) END AS at FROM orders""")
@@ -287,8 +313,22 @@ def ensure_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(year(o_orderdate) AS VARCHAR) || 'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS label, CAST(epoch(date_trunc('quarter', o_orderdate)) AS BIGINT) - 28800 AS from_epoch, count(*) AS n_orders FROM orders GROUP BY 1, 2""")
 def quarter_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    begin = F.unix_timestamp(F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp"))) - tu.SHIFT
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(tu.quarter_label(F.col("o_orderdate")).alias("label"), begin.alias("from_epoch")).agg(F.count("*").alias("n_orders"))
+    """Orders by the rows of a table of quarters."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) - tu.SHIFT).alias("at"))
+    first, last = orders.agg(F.min("at"), F.max("at")).first()
+    quarters = tu.quarter_table(spark, *(tu.flex_bound(x).astimezone(tu.LOCAL).date() for x in (first, last)))
+    return tu.in_intervals(orders, "at", quarters, "from_epoch", "to_epoch", 90 * 86400).groupBy("label", "from_epoch").agg(F.count("*").alias("n_orders"))
+
+
+@query("""SELECT p_partkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM (SELECT p_partkey, 1995.0 + (p_partkey % 60) / 10.0 AS a, 1995.0 + (p_partkey % 60) / 10.0 + (p_partkey % 7) / 12.0 AS b FROM part) p
+  JOIN (SELECT o_totalprice, year(o_orderdate) + month(o_orderdate) / 12.0 AS at FROM orders) o ON o.at >= p.a AND o.at < p.b GROUP BY 1""")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in unequal, overlapping intervals, of which some are empty."""
+    k = F.col("p_partkey")
+    spans = spark.read.parquet(f"{sf_dir}/part.parquet").select(k, (1995.0 + (k % 60) / 10.0).alias("a"), (1995.0 + (k % 60) / 10.0 + (k % 7) / 12.0).alias("b"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_totalprice", (F.year("o_orderdate") + F.month("o_orderdate") / 12.0).alias("at"))
+    found = tu.in_intervals(orders, "at", spans, "a", "b", 0.5)
+    return _round(found.groupBy("p_partkey").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total")), ["total"], 2)
 
 
 # Filters
@@ -298,6 +338,13 @@ def sid_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.with_sids(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), view(spark, sf_dir, "asset_update"))
 
 
+@query("SELECT sid, event_id, close FROM bars WHERE sid IN (SELECT sid FROM bars WHERE event_id % 50 = 0)")
+def sid_semi_join_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As for more ids than are broadcast: a bitmap of them drops most other rows before the join."""
+    bars = view(spark, sf_dir, "bars").select("sid", "event_id", "close")
+    return lake.semi_join(bars, bars.where("event_id % 50 = 0"), most=3)
+
+
 @query("SELECT sid, event_id, close FROM bars WHERE sid IN ('600000', '000001', '510002', '150003', '600004', '000005')")
 def sid_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.with_sids(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), ["600000", "000001", "510002", "150003", "600004", "000005"])
@@ -343,6 +390,12 @@ def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(lake.scan_lake(spark, root, LAKE_SCHEMA))
 
 
+@query(_LAKE_SQL.replace("datetime - INTERVAL 8 HOUR AS datetime", "date_trunc('millisecond', datetime - INTERVAL 8 HOUR) AS datetime"))
+def lake_hot_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions of more rows than a bound are written by several tasks."""
+    return _naive(lake.scan_lake(spark, _write(spark, sf_dir, "hot", hot_rows=200), LAKE_SCHEMA))
+
+
 @query(f"SELECT sid, date, 2 * count(*) AS n_rows FROM ({_LAKE_SQL}) GROUP BY 1, 2".replace("FROM bars)", "FROM bars )"))
 def lake_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _write(spark, sf_dir, "append")
@@ -440,6 +493,39 @@ def decode_binary_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.decode_bars(_packed_files(view(spark, sf_dir, "packed"))).select("sid", "dates", "sub_dates", "open", "volume")
 
 
+@query("""SELECT DISTINCT lpad(CAST(event_id // 1000 AS VARCHAR), 6, '0') AS sid, CAST(dates AS INT) AS dates, CAST(sub_dates AS SMALLINT) AS sub_dates, event_id % 1000 AS open, CAST(event_id % 500 AS INT) AS volume FROM packed""")
+def read_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real files, written first and then read in byte ranges of a few records."""
+    root = scratch(spark, "vendor")
+    readers.write_files(_packed_files(view(spark, sf_dir, "packed")), root)
+    return readers.read_binary_bars(spark, root, split=100 * 32).select("sid", "dates", "sub_dates", "open", "volume")
+
+
+@query("SELECT sid, name, delist FROM asset WHERE first_trading >= 20000110 AND delist IS NOT NULL")
+def database_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of Python's own database, in ranges of its key that hold equally many rows."""
+    path = scratch(spark, "database").removeprefix("file://")
+    connect = _database(path)
+    db = connect()
+    db.execute("CREATE TABLE asset (sid TEXT PRIMARY KEY, name TEXT, first_trading INT, delist INT)")
+    db.close()
+    rows = view(spark, sf_dir, "asset").select("sid", "name", "first_trading", "delist")
+    master.upsert_table(rows.coalesce(1), connect, "asset", "sid")
+    table = records.read_database(spark, connect, "asset", "sid string, name string, first_trading int, delist int", "sid")
+    return table.where("first_trading >= 20000110 and delist is not null").select("sid", "name", "delist")
+
+
+def _database(path: str) -> Callable[[], object]:
+    def connect() -> object:
+        import os
+        import sqlite3
+
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return sqlite3.connect(path, timeout=60)
+
+    return connect
+
+
 def _packed_files(packed: DataFrame) -> DataFrame:
     """Vendor files (path, content) of at most 1000 records of 32 bytes."""
 
@@ -512,6 +598,20 @@ def sid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.runs(events, "event_type", "event_id", "day")
 
 
+@query(ORACLE_SQL["sid_runs"])
+def sid_runs_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As for groups over the bound, which are cut into stretches."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("date").alias("day"), "event_type", "event_id")
+    return frames.runs(events, "event_type", "event_id", "day", rows=20)
+
+
+@query("SELECT CAST(user_id % 2 AS BIGINT) AS half, event_id, CAST(floor((row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) - 1) / 16) AS BIGINT) AS frame FROM events")
+def frame_chunks_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ids that hold half of all rows each."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 2).alias("half"), "event_id")
+    return frames.chunks(rows, "half", "event_id", 16, rows=200)
+
+
 @query("SELECT sid, event_id, close, CAST(floor((row_number() OVER (PARTITION BY sid ORDER BY event_id) - 1) / 16) AS BIGINT) AS frame FROM bars")
 def frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.chunks(view(spark, sf_dir, "bars").select("sid", "event_id", "close"), "sid", "event_id", 16)

@@ -12,6 +12,8 @@ VIEWS = {
   WHEN 2 THEN '51' || lpad(CAST(user_id AS string),4,'0') ELSE '15' || lpad(CAST(user_id AS string),4,'0') END AS sid,
   event_id, ts AS datetime, value AS open, value * 1.02 AS high, value * 0.98 AS low, value AS close,
   event_id % 1000 AS volume, value * (event_id % 1000) AS amount FROM events""",
+    # Bars of forty ids over several months, as a lake has them.
+    "spread_bars": """SELECT substr(sid, 1, 2) || '000' || substr(sid, 6, 1) AS sid, event_id, datetime + (event_id % 3) * INTERVAL '31' DAY AS datetime, open, high, low, close, volume, amount FROM bars""",
     "packed": "SELECT event_id, (year(ts) - 2004) * 2048 + month(ts) * 100 + day(ts) AS dates, hour(ts) * 60 + minute(ts) AS sub_dates, ts FROM events",
     "dirty_bars": """SELECT sid, event_id, CASE WHEN event_id % 97 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 89 = 0 THEN CAST('NaN' AS DOUBLE)
   WHEN event_id % 83 = 0 THEN NULL ELSE close END AS close FROM bars""",

@@ -30,9 +30,11 @@ def load_binary(spark: SparkSession, source: str, root: str, kind: str, append:
 
 
 def load_csv(spark: SparkSession, source: str, root: str, kind: str, header: dict[str, str], factors: dict[str, float], append: bool = False, tick_mode: str = "utc") -> None:
-    """CSV bars: rename, parse, scale by column, cast, write."""
+    """CSV bars of the files of a kind: rename, parse, scale by column, cast, write. Index codes become the lake's."""
     types = {"datetime": "string", "sid": "string"}
-    bars = readers.read_csv_bars(spark, source, header)
+    bars = readers.read_csv_bars(spark, source, header, pattern=readers.FILE_NAMES["csv_any" if kind == "benchmark" else f"csv_{kind}"])
+    if kind == "benchmark":
+        bars = clean.remap(bars, "sid", clean.CODES)
     bars = bars.withColumns({c: F.col(c).cast(types.get(c, "double")) for c in bars.columns})
     _to_lake(clean.steps(bars, partial(clean.parse_text_date, tick_mode=tick_mode), partial(clean.scale, by=factors), clean.cast_columns), root, kind, append)
 

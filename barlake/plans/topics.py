@@ -13,9 +13,9 @@ Sids = list[str] | DataFrame | None
 
 
 def chosen(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
-    """Bars (datetime is an instant) of the given ids in a range; none without ids."""
-    found = bars.where(lake.in_range(F.col("datetime"), start, end)) if sids is not None else bars.limit(0)
-    return lake.with_sids(found, sids)
+    """Bars (datetime is an instant) of the given ids in a range; none without ids. Of a lake only the folders that the range
+    and the ids ask for are read."""
+    return lake.with_sids(lake.within(bars, start, end), sids) if sids is not None else bars.limit(0)
 
 
 def tick(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
@@ -41,11 +41,11 @@ def local(instant: Column) -> Column:
 
 
 def daily(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
-    return roll_up(chosen(bars, start, end, sids), local(F.col("datetime")), ["tick"])
+    return roll_up(chosen(bars, start, end, sids), local(F.col("datetime")), ["datetime", "tick"])
 
 
 def close(bars: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:
-    return closes(chosen(bars, start, end, sids), local(F.col("datetime")), ["tick"])
+    return closes(chosen(bars, start, end, sids), local(F.col("datetime")), ["datetime", "tick"])
 
 
 def asset(assets: DataFrame, start: int, end: int, sids: Sids = None) -> DataFrame:

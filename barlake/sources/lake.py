@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import timeutil
-from ..operators import clean
-from ..session import scratch
+from ..operators import clean, quantiles
 
 KEYS = ["type", "year", "quarter", "sid", "date"]
 #: Rows of a file and bytes of a row group at most; months of which the folders are listed for a scan or a merge.
 FILE_ROWS, ROW_GROUP, MONTHS = 1_000_000, 128 << 20, 1200
+#: Different ids that are broadcast at most; 64-bit words of the bitmap that stands for more of them.
+BROADCAST_IDS, BITMAP_WORDS = 500_000, 1 << 20
+#: A folder of a lake in which new partitions wait to be moved in; Spark's readers pass over names that begin so.
+SWAP = "_swap-"
 
 
 def shaped(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -22,17 +27,25 @@ def shaped(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.select(*(stamp(c) for c in data), *(F.col(k).cast("string") for k in keys if k in df.columns))
 
 
-def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] = KEYS, order: str = "tick", file_rows: int = FILE_ROWS, most: int = 0, codec: str = "zstd", row_group: int = ROW_GROUP) -> None:
+def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] = KEYS, order: str = "tick", file_rows: int = FILE_ROWS, most: int = 0, codec: str = "zstd", row_group: int = ROW_GROUP, hot_rows: int = 0) -> None:
     """Write bars into their partitions, sorted by tick: replace the partitions that they touch, or add files.
 
     The input is computed once. All rows of a partition go to one task, which starts a new file every `file_rows` rows; a
-    partition is a security's month, so it is small. Where `most` is given, more partitions than that raise, which costs a
-    count of the keys beforehand. `row_group` is a row group's size in bytes.
+    partition is a security's month, so it is small. Where partitions may be large, `hot_rows` lets those with more rows be
+    written by several tasks, each a stretch of the order of about so many rows; that costs a count by keys, and a sketch of
+    the large ones. Where `most` is given, more partitions than that raise, which costs a count of the keys beforehand.
+    `row_group` is a row group's size in bytes.
     """
     keys = [k for k in keys if k in df.columns]
     if most and df.select(*keys).distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} partitions")
-    out = shaped(df, keys).repartition(*keys).sortWithinPartitions(*keys, order)
+    out = shaped(df, keys)
+    if hot_rows:
+        file_rows = min(file_rows, hot_rows * 5 // 4)  # a task may get several stretches
+        cut, _ = quantiles.stretches(out, keys, order, hot_rows)
+        out = cut.repartition(*keys, "stretch").sortWithinPartitions(*keys, order).drop("stretch")
+    else:
+        out = out.repartition(*keys).sortWithinPartitions(*keys, order)
     writer = out.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic")
     writer = writer.option("maxRecordsPerFile", file_rows).option("compression", codec).option("parquet.block.size", row_group)
     writer.partitionBy(*keys).parquet(root)
@@ -44,13 +57,19 @@ def scan_lake(spark: SparkSession, root: str, schema: T.StructType | str, sids:
     The schema is given, since folder names such as sid=000001 aren't numbers. A frame of ids is a semi join.
     """
     bars = spark.read.schema(schema).parquet(root)
-    if start is not None and end is not None:
-        months = timeutil.months(start, end)
-        bars = bars.where(F.col("date").isin(months) & F.col("year").isin(sorted({m[:4] for m in months})))
+    bars = within(bars, start, end) if start is not None and end is not None else bars
+    return with_sids(bars, sids)
+
+
+def within(bars: DataFrame, start: int, end: int) -> DataFrame:
+    """The bars of a request's range. Of a lake's bars (known by their key columns) only the folders of its years,
+    quarters and months are read: bounds of the instant alone say nothing about folders to Spark."""
+    months = timeutil.months(start, end)
+    if {"year", "quarter", "date"} <= set(bars.columns):
+        bars = bars.where(F.col("date").between(months[0], months[-1]) & F.col("year").between(months[0][:4], months[-1][:4]))
         if len(months) < 10:
             bars = bars.where(F.col("quarter").isin(sorted({f"Q{(int(m[4:]) + 2) // 3}" for m in months})))
-        bars = bars.where(in_range(F.col("datetime"), start, end))
-    return with_sids(bars, sids)
+    return bars.where(in_range(F.col("datetime"), start, end))
 
 
 def in_range(at, start: int, end: int):  # noqa: ANN001, ANN201
@@ -60,11 +79,27 @@ def in_range(at, start: int, end: int):  # noqa: ANN001, ANN201
 
 
 def with_sids(df: DataFrame, sids: list[str] | DataFrame | None) -> DataFrame:
+    """The rows of some ids: a list, or a frame with a column sid (of any size, repeats allowed); all rows if None."""
     if sids is None:
         return df
-    if isinstance(sids, DataFrame):
-        return df.join(sids.select("sid"), "sid", "left_semi").select(df.columns)
-    return df.where(F.col("sid").isin(sids))
+    return semi_join(df, sids) if isinstance(sids, DataFrame) else df.where(F.col("sid").isin(list(dict.fromkeys(sids))))
+
+
+def semi_join(df: DataFrame, ids: DataFrame, key: str = "sid", most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of df whose text key is among those of ids.
+
+    Up to `most` different ids are broadcast, and where the key is a folder of a lake, Spark skips the other folders
+    (dynamic partition pruning, which wants to see a predicate on the ids' side; this one keeps all but nulls). More ids
+    are first made a bitmap of fixed size, which is broadcast and drops most rows of other ids before the join's shuffle.
+    """
+    wanted = ids.select(key).where(F.col(key) >= "").distinct()
+    if wanted.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(wanted), key, "left_semi").select(df.columns)
+    slot, word = F.pmod(F.xxhash64(F.col(key)), F.lit(64 * BITMAP_WORDS)), "bitmap_word"
+    words = wanted.select(slot.alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bitmap_bits"))
+    marked = df.withColumn("bitmap_slot", slot)
+    near = marked.join(F.broadcast(words), F.expr("shiftright(bitmap_slot, 6)") == words[word]).where("(shiftright(bitmap_bits, cast(bitmap_slot & 63 as int)) & 1) = 1")
+    return near.join(wanted, key, "left_semi").select(df.columns)
 
 
 def merge_bars(target: DataFrame, staging: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,10 +112,11 @@ def compact(spark: SparkSession, target: str, staging: str, schema: T.StructType
     """Merge a staging lake into a lake, touching only the partitions that staging holds; returns rows by partition.
 
     The lake's folders are pruned by the months and ids that staging has (as literals, up to `MONTHS` of them; a semi join
-    on all keys does the rest). The merged rows are written beside the lake first, so a failure until then leaves both as
-    they were; a failure while the lake's partitions are replaced is made good by a second run, since staging is cleared
-    only after that. Running again changes nothing. A row is known by `row_keys` (the partition's keys if not given) and tick.
+    on all keys does the rest). The merged partitions are written inside the lake, where readers don't look, and moved into
+    place by swap(); staging is cleared only after that. A run that ended halfway is made good by the next one (or by
+    recover()). Running again changes nothing. A row is known by `row_keys` (the partition's keys if not given) and tick.
     """
+    recover(spark, target)
     new = spark.read.schema(schema).parquet(staging)
     touched = new.select(*keys).distinct()
     old = spark.read.schema(schema).parquet(target)
@@ -89,25 +125,104 @@ def compact(spark: SparkSession, target: str, staging: str, schema: T.StructType
         old = old.where(F.col(key).isin(values)) if len(values) <= MONTHS else old
     old = old.join(touched, keys, "left_semi").select(new.columns)
     merged = merge_bars(old, new, row_keys or keys)
-    beside = scratch(spark, "compact")
-    write_lake(merged, beside, keys=keys)
-    whole = spark.read.schema(schema).parquet(beside)
-    write_lake(whole, target, keys=keys)
+    merged = write_swap(spark, merged, target, keys)
+    counts = quantiles.written(spark.read.schema(schema).parquet(f"{merged}/new").groupBy(*keys).agg(F.count("*").alias("n_rows")), "counts")
+    swap(spark, merged, target)
     if clear:
         empty(spark, staging)
-    return whole.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    return counts
+
+
+def write_swap(spark: SparkSession, df: DataFrame, root: str, keys: list[str] = KEYS) -> str:
+    """Write whole new partitions of a lake beside its own, and then, as the last step, a journal that names them."""
+    folder = f"{root.rstrip('/')}/{SWAP}{uuid.uuid4().hex}"
+    write_lake(df, f"{folder}/new", keys=keys)
+    fs, path = _store(spark, folder)
+    names = _leaves(fs, path(f"{folder}/new"), len(keys))
+    out = fs.create(path(f"{folder}/journal.tmp"))
+    out.write(bytearray("\n".join(names).encode()))
+    out.close()
+    fs.rename(path(f"{folder}/journal.tmp"), path(f"{folder}/journal"))
+    return folder
+
+
+def swap(spark: SparkSession, folder: str, root: str) -> None:
+    """Move the partitions that a journal names into a lake, each by two renames: the old folder out, the new one in.
+
+    A step that was done before is passed over, so a swap may be run again after a failure at any point. A reader sees a
+    partition as it was or as it will be, but for the moment between its two renames.
+    """
+    fs, path = _store(spark, folder)
+    for name in [x for x in _read(fs, path(f"{folder}/journal")).split("\n") if x]:
+        new, old, own = (path(f"{x}/{name}") for x in (f"{folder}/new", f"{folder}/old", root.rstrip("/")))
+        if not fs.exists(new):
+            continue  # it was moved before
+        if fs.exists(own):
+            fs.mkdirs(old.getParent())
+            _move(fs, own, old)
+        fs.mkdirs(own.getParent())
+        _move(fs, new, own)
+    fs.delete(path(folder), True)
+
+
+def recover(spark: SparkSession, root: str) -> int:
+    """Finish the swaps of a lake that have a journal, drop those that don't; how many were finished."""
+    fs, path = _store(spark, root)
+    if not fs.exists(path(root)):
+        return 0
+    done = 0
+    for status in fs.listStatus(path(root)):
+        name = status.getPath().getName()
+        if not name.startswith(SWAP):
+            continue
+        folder = f"{root.rstrip('/')}/{name}"
+        if fs.exists(path(f"{folder}/journal")):
+            swap(spark, folder, root)
+            done += 1
+        else:
+            fs.delete(path(folder), True)
+    return done
+
+
+def _store(spark: SparkSession, root: str):  # noqa: ANN202
+    """The Hadoop file system of a path, and a function from text to its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _move(fs, old, new) -> None:  # noqa: ANN001
+    if not fs.rename(old, new):
+        raise OSError(f"can't move {old} to {new}")
+
+
+def _read(fs, path) -> str:  # noqa: ANN001
+    file = fs.open(path)
+    data = bytes(file.readAllBytes())
+    file.close()
+    return data.decode()
+
+
+def _leaves(fs, path, depth: int, lead: str = "") -> list[str]:  # noqa: ANN001
+    """Partition folders so many levels under a path, as relative paths."""
+    found = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if status.isDirectory() and "=" in name:
+            own = f"{lead}{name}"
+            found += [own] if depth == 1 else _leaves(fs, status.getPath(), depth - 1, f"{own}/")
+    return found
 
 
 def exists(spark: SparkSession, root: str) -> bool:
     """Whether there is something at a path of any store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    fs, path = _store(spark, root)
+    return fs.exists(path(root))
 
 
 def empty(spark: SparkSession, root: str) -> None:
     """Remove a lake's folder with all in it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _store(spark, root)
+    fs.delete(path(root), True)
 
 
 def repaired(df: DataFrame) -> DataFrame:

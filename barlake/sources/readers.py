@@ -10,9 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import records
+
 #: A vendor's bar of 32 bytes, little-endian, and what is read of it.
 RECORD = np.dtype([("dates", "<u2"), ("sub_dates", "<i2"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("volume", "<i4"), ("appendix", "<i4")])
-BAR_SCHEMA = "path string, dates int, sub_dates short, open long, high long, low long, close long, amount float, volume int"
+BAR_FIELDS = "dates int, sub_dates short, open long, high long, low long, close long, amount float, volume int"
+BAR_SCHEMA = f"path string, place long, {BAR_FIELDS}"
+#: Bytes from which on a file is read in ranges, if no other split is asked for: a row of Spark holds less than 2 GB.
+WHOLE = 1 << 30
 #: Names of files that a dataset takes, by format and kind.
 FILE_NAMES = {
     "bin_stock": r"^(sh6|sz0|sz3)[0-9]{5}.*\.01$", "bin_fund": r"^(sh51|sz15|sz16)[0-9]{4}.*\.01$", "bin_any": r"\.01$",
@@ -49,15 +54,33 @@ def _files(spark: SparkSession, root: str, suffix: str, pattern: str) -> DataFra
     return files.where(F.element_at(F.split("path", "/"), -1).rlike(pattern)) if pattern else files
 
 
-def read_binary_bars(spark: SparkSession, root: str, pattern: str = FILE_NAMES["bin_any"], dedup: bool = True) -> DataFrame:
-    """Bars of binary files under a folder; see decode_bars()."""
-    return decode_bars(_files(spark, root, "", pattern), dedup)
+def read_binary_bars(spark: SparkSession, root: str, pattern: str = FILE_NAMES["bin_any"], dedup: bool = True, subset: list[str] | None = None, split: int = 0) -> DataFrame:
+    """Bars of binary files under a folder; see decode_bars().
+
+    Where a file has `WHOLE` bytes or more, or `split` is given, the files are read in byte ranges, each a task of its own.
+    """
+    if not split and discover(spark, root, "", pattern).where(F.col("size") >= WHOLE).limit(1).count():
+        split = records.RANGE
+    if split:
+        return _bars(records.read_fixed(spark, root, RECORD, BAR_FIELDS, pattern, split), dedup, subset)
+    return decode_bars(_files(spark, root, "", pattern), dedup, subset)
+
+
+def _bars(rows: DataFrame, dedup: bool, subset: list[str] | None) -> DataFrame:
+    """Records without those that repeat in their file: of equal rows one, or of equal keys the first."""
+    if dedup and subset:
+        rank = F.row_number().over(Window.partitionBy("path", *subset).orderBy("place"))
+        rows = rows.withColumn("row_rank", rank).where("row_rank = 1").drop("row_rank")
+    elif dedup:
+        rows = rows.drop("place").dropDuplicates()
+    return rows.withColumn("sid", file_sid(F.col("path"))).drop("path", "place")
 
 
-def decode_bars(files: DataFrame, dedup: bool = True) -> DataFrame:
+def decode_bars(files: DataFrame, dedup: bool = True, subset: list[str] | None = None) -> DataFrame:
     """Bars of files (path, content): the record's fields but the last, and sid from the file's name.
 
-    A trailing part of a record is ignored; equal rows of a file count once; an empty file has no rows.
+    A trailing part of a record is ignored; equal rows of a file count once, or, with `subset`, the first row of each of its
+    keys; an empty file has no rows.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,18 +89,17 @@ def decode_bars(files: DataFrame, dedup: bool = True) -> DataFrame:
                 rows = np.frombuffer(content, RECORD, len(content) // RECORD.itemsize)
                 if len(rows):
                     kinds = (pa.int32(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array(rows[c], t) for c, t in zip(RECORD.names, kinds, strict=False))], ["path", *RECORD.names[:-1]])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(np.arange(len(rows))), *(pa.array(rows[c], t) for c, t in zip(RECORD.names, kinds, strict=False))], ["path", "place", *RECORD.names[:-1]])
 
-    bars = files.select("path", "content").mapInArrow(decode, BAR_SCHEMA)
-    bars = bars.withColumn("sid", file_sid(F.col("path"))).drop("path")
-    return bars.dropDuplicates() if dedup else bars
+    return _bars(files.select("path", "content").mapInArrow(decode, BAR_SCHEMA), dedup, subset)
 
 
-def read_csv_bars(spark: SparkSession, root: str, rename: dict[str, str], schema: str | None = None, sep: str = ",", subset: list[str] | None = None) -> DataFrame:
+def read_csv_bars(spark: SparkSession, root: str, rename: dict[str, str], schema: str | None = None, sep: str = ",", subset: list[str] | None = None, pattern: str = "") -> DataFrame:
     """CSV with a header, renamed, without repeated rows, or with the first row of each key in `subset`: the first of
-    the first file, by path and by place in it."""
+    the first file, by path and by place in it. pattern: only files whose names it finds."""
     reader = spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
     rows = (reader.schema(schema) if schema else reader).csv(root)
+    rows = rows.where(F.col("_metadata.file_name").rlike(pattern)) if pattern else rows
     return _first(rows, subset, rename) if subset else rows.withColumnsRenamed(rename).dropDuplicates()
 
 
@@ -110,6 +132,29 @@ def write_text(rows: DataFrame, root: str, sep: str = ",", header: bool = True,
     writer.mode("append" if append else "overwrite").csv(root)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Files (path, content) under a folder of a store that Arrow opens, by the last part of their paths; those of equal
+    names replace each other. A file is written whole, beside its name, and then moved to it, so a task may run again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                name = path.rpartition("/")[2]
+                beside = f"{top}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as out:
+                    out.write(content)
+                store.move(beside, f"{top}/{name}")
+            yield pa.RecordBatch.from_arrays([batch["path"]], ["path"])
+
+    files.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def read_table(spark: SparkSession, url: str, name: str, key: str = "", low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
     """A database table over JDBC, in parts of a numeric key if one is named; needs a driver on the classpath."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, fetchsize="10000", **options)

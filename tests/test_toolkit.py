@@ -90,13 +90,14 @@ def test_pipelines(spark, tmp_path):
     csv = tmp_path / "csv"
     csv.mkdir()
     head = "日期,代码,开盘价,最高价,最低价,收盘价,成交量（手）,成交额（元）"
-    line = "2024-01-05 09:31:00,SH.000001,10.01,10.02,10.00,10.015,3,1.0015"
-    (csv / "SH.000001.csv").write_text(f"{head}\n{line}\n{line}\n", encoding="utf-8")
-    for load, volume in ((pipelines.stock_csv, 300000), (pipelines.fund_csv, 3000)):
+    for name in ("SZ.000001", "SH.510001", "SH.000300"):  # a folder of all kinds: each pipeline takes its own
+        line = f"2024-01-05 09:31:00,{name},10.01,10.02,10.00,10.015,3,1.0015"
+        (csv / f"{name}.csv").write_text(f"{head}\n{line}\n{line}\n", encoding="utf-8")
+    for load, sid, volume in ((pipelines.stock_csv, "000001", 300000), (pipelines.fund_csv, "510001", 3000)):
         to = str(tmp_path / load.__name__)
         load(spark, str(csv), to)
         (r,) = lake.scan_lake(spark, to, schema).collect()
-        assert (r.sid, r.date, r.volume, r.amount, r.tick) == ("000001", "202401", volume, 1001, 1704418260)
+        assert (r.sid, r.date, r.volume, r.amount, r.tick) == (sid, "202401", volume, 1001, 1704418260)
 
 
 def test_other_pipelines(spark, tmp_path):
@@ -113,6 +114,11 @@ def test_other_pipelines(spark, tmp_path):
     pipelines.benchmark_csv(spark, str(tmp_path / "csv"), str(tmp_path / "benchmark"))
     (r,) = lake.scan_lake(spark, str(tmp_path / "benchmark"), schema).collect()
     assert (r.type, r.sid, r.volume, r.amount, r.close) == ("benchmark", "000300", 3, 7, 1001500)
+    (tmp_path / "index").mkdir()
+    (tmp_path / "index" / "SH.000001.csv").write_text(f"{head}\n2024-01-05 09:31:00,SH.000001,10.01,10.02,10.00,10.015,3,7.9\n", encoding="utf-8")
+    pipelines.benchmark_csv(spark, str(tmp_path / "index"), str(tmp_path / "indices"))
+    (r,) = lake.scan_lake(spark, str(tmp_path / "indices"), schema).collect()
+    assert (r.type, r.sid) == ("benchmark", "1A0001") and clean.classify(spark.createDataFrame([(r.sid,)], "sid string")).first().type == "benchmark"
 
 
 def test_first_rows_and_text(spark, tmp_path):
