@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds join documents to test items, local alignment scores the passages.
 
 No copy above the score is lost. An alignment that scores `score` of the best possible may lose a bounded number of
-points, and each border between two neighbouring words of the item that it breaks costs one at least (an inserted word).
-So a number of an item's word pairs is whole in every such alignment; if it is zero, as for items of few words at low
-scores, the same holds for single words. Leaving out the most frequent ones but for that number, less the hits asked for,
-still leaves so many hits in every alignment: these, the rare ones, are the seeds.
+points. Each word of the item that it leaves out costs a match's points at least, so a number of the item's words are in
+every such alignment; each border between neighbouring words that it breaks costs a point at least (an inserted word), so a
+number of its word pairs are whole, too, where scores are high. Leaving out the most frequent words (or pairs) but for that
+number, less the hits asked for, still leaves so many hits in every alignment. These, the rare ones, are the seeds; for each
+item the words or the pairs are taken, whichever occur less often in all documents. At 0.6 that leaves out the more frequent
+half of an item's words, stop words first.
 """
 
 from __future__ import annotations
@@ -31,17 +33,17 @@ BORDER, HITS = min(-GAP, (MATCH - MISMATCH) / 2, (MATCH - GAP) / 2, MATCH), 3
 SLOTS = 1 << 23
 
 
-def whole_grams(words: int, score: float) -> tuple[int, int, int]:
-    """Of an item of so many words: words of its n-grams (2 or 1), how many of these any alignment of that score leaves
-    whole, and the points that it may lose."""
+def whole_grams(words: int, score: float) -> tuple[dict[int, int], int]:
+    """Of an item of so many words: how many of its words (1) and word pairs (2) any alignment of that score leaves whole,
+    where it is any, and the points that it may lose."""
     slack = int(MATCH * words * (1 - score) + 1e-9)
-    pairs = words - 1 - int(slack / BORDER)
-    return (2, pairs, slack) if pairs > 0 else (1, max(1, words - slack // MATCH), slack)
+    whole = {1: max(1, words - slack // MATCH), 2: words - 1 - int(slack / BORDER)}
+    return {width: n for width, n in whole.items() if n > 0}, slack
 
 
 def item_grams(tests: DataFrame, score: float) -> DataFrame:
     """item, gram, item_pos, width (words of the n-gram), words (of the item), slack, and keep: how many of the item's
-    rarest n-grams are seeds, and hits: how many of those a copy has at least."""
+    rarest n-grams of that width are enough, and hits: how many of those a copy has at least."""
     kind = tests.schema["item"].dataType
     names = ["gram", "item_pos", "width", "words", "slack", "keep", "hits"]
     schema = T.StructType([T.StructField("item", kind), *(T.StructField(x, T.LongType()) for x in names)])
@@ -54,12 +56,13 @@ def item_grams(tests: DataFrame, score: float) -> DataFrame:
                 for i, n in enumerate(np.diff(at).tolist()):
                     if not n:
                         continue
-                    width, need, slack = whole_grams(n, score)
-                    own = shingles(hashes[at[i] : at[i + 1]], np.array([0, n]), width)[0].view(np.int64)
-                    hits = min(need, HITS)
-                    one = [np.full(len(own), x) for x in (width, n, slack, len(own) - need + hits, hits)]
-                    rows.append(np.full(len(own), i))
-                    out.append(np.stack([own, np.arange(len(own)), *one]))
+                    whole, slack = whole_grams(n, score)
+                    for width, need in whole.items():
+                        own = shingles(hashes[at[i] : at[i + 1]], np.array([0, n]), width)[0].view(np.int64)
+                        hits = min(need, HITS)
+                        one = [np.full(len(own), x) for x in (width, n, slack, len(own) - need + hits, hits)]
+                        rows.append(np.full(len(own), i))
+                        out.append(np.stack([own, np.arange(len(own)), *one]))
                 if out:
                     yield pa.RecordBatch.from_arrays([part["item"].take(pa.array(np.concatenate(rows))), *map(pa.array, np.concatenate(out, axis=1))], schema.names)
 
@@ -161,9 +164,9 @@ def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     """Passages of documents that copy or edit a test item: key, item, score (0 to 1), begin and end (code points).
 
     One row, the best, for each document and item at `score` or above: the same rows as alignment of all documents with
-    all items would give, word by word, without case and punctuation. Seeds are an item's word pairs (or words) without
-    the most frequent ones over all documents; how many are left out, and how many hits in one stretch of a document make
-    a passage to align, follows from the score (see the module). Null keys, and null or empty texts, match nothing;
+    all items would give, word by word, without case and punctuation. Seeds are an item's words or word pairs without the
+    most frequent ones over all documents; how many are left out, and how many hits in one stretch of a document make a
+    passage to align, follows from the score (see the module). An item of one word is found in every document that has it. Null keys, and null or empty texts, match nothing;
     repeated rows count once; empty tables give an empty one; other columns don't matter. Texts are hashed twice, for
     counts and for seeds, and aren't shuffled but for those with a passage. Where the seeds are too large to broadcast, a
     hot one's rows are split by Spark's skew join.
@@ -176,9 +179,15 @@ def find_copies(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     counts = gram_counts(rows, widths, _slots(grams))
     counts = counts.join(small(grams.select("gram").distinct(), 16), "gram", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "gram", "item_pos"))
-    seeds = cut(grams.join(counts, "gram", "left").withColumn("rank", rank).where("rank <= keep and n is not null").drop("rank", "keep", "n", "width"))
-    met = gram_rows(rows, widths, _slots(seeds)).join(small(seeds, 64), "gram")
+    rank = F.row_number().over(Window.partitionBy("item", "width").orderBy(F.coalesce("n", F.lit(0)), "gram", "item_pos"))
+    rare = grams.join(counts, "gram", "left").withColumn("rank", rank).where("rank <= keep")
+    cost = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("item", "width"))
+    cheaper = F.min(F.struct("cost", "width")).over(Window.partitionBy("item"))["width"]
+    rare = rare.withColumn("cost", cost).withColumn("cheaper", cheaper).where("width = cheaper and n is not null")
+    seeds = cut(rare.drop("rank", "keep", "n", "cost", "cheaper"))
+    used = sorted(r[0] for r in seeds.select("width").distinct().collect()) or widths
+    seeds = seeds.drop("width")
+    met = gram_rows(rows, used, _slots(seeds)).join(small(seeds, 64), "gram")
     # A copy is no longer than its item and what may be inserted; it may lie across the border of two stretches of that
     # length, so each hit counts in both. Places of the item are told apart by a bit each; where 64 bits don't do, hits
     # of one place may count more than once, which can only add passages.
