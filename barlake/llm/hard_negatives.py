@@ -22,7 +22,7 @@ from ._util import ship, stored, table
 #: Positives of an anchor, negatives of a positive; scale of components; the window of a negative's score in hundredths.
 POSITIVES, NEGATIVES, SCALE, LOW, HIGH = 5, 3, 256, 50, 95
 #: Rows of a block and anchors of a chunk (on average), and places read in each list at first; it doubles each time.
-BLOCK, CHUNK, STEP = 8192, 2048, 16
+BLOCK, CHUNK, STEP = 8192, 2048, 64
 
 
 def usable(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -46,7 +46,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, q: np.ndarray) -> None:
         self.ids, self.labels, self.q = ids, labels, q
-        up = np.argsort(q, axis=0, kind="stable").T
+        up = np.argsort(q, axis=0, kind="stable").T.astype(np.int32)
         self.lists = np.concatenate([up, up[:, ::-1]])  # of dimension d upwards, and at d + dims downwards
         self.dims = q.shape[1]
         self.values = np.concatenate([np.sort(q, axis=0).T, np.sort(q, axis=0).T[:, ::-1]])
@@ -56,23 +56,24 @@ class Block:
         n = len(self.ids)
         used = np.flatnonzero(a)
         sign = used + self.dims * (a[used] > 0)
-        lists, weights = self.lists[sign], a[used]
+        weights = a[used]
         seen = np.zeros(n, bool)
         places, scores = [], []
         least = low.astype(np.float64)  # what a row that hasn't been met must reach
-        depth, step = 0, STEP
+        depth, step, unread = 0, STEP, int(allowed.sum())
         # At depth 0 the values at the lists' heads bound all rows.
-        while n and depth < n:
+        while unread and depth < n:
             frontier = weights @ self.values[sign, max(0, depth - 1)] if len(used) else 0
             if frontier < least.min():
                 break
             met = np.zeros(n, bool)
             if len(used):
-                met[lists[:, depth : depth + step]] = True
+                met[self.lists[sign, depth : depth + step]] = True
             else:
                 met[:] = True  # a zero anchor has no lists: all rows score alike
             new = np.flatnonzero(met & ~seen & allowed)
             seen |= met
+            unread -= len(new)
             if len(new):
                 got = self.q[new] @ a
                 places.append(new)
