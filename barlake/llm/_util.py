@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -26,9 +27,12 @@ _kept: dict[str, object] = {}
 
 
 def kept(name: str, make: Callable[[], object] | None = None) -> object:
-    """The worker's entry of that name, made if it isn't there; entries of other names are let go first."""
+    """The worker's entry of that name, made if it isn't there; entries of other names are let go first, and with them the
+    memory that Arrow holds back for later use."""
     if name not in _kept:
         _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         if make:
             _kept[name] = make()
     return _kept.get(name)

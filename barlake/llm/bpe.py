@@ -26,7 +26,7 @@ WORD_END = "</w>"
 #: White space as the library has it: four control characters that Python's split() takes for white space are none.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
-#: Characters in a chunk of a text, states of the transducer and runs in a cache; beyond the last two they are emptied.
+#: Characters in a chunk of a text, states of the transducer and runs in a cache; beyond the last two they are made anew.
 CHUNK = 1 << 16
 #: Bytes of a piece of a long word, and characters of the longest run that a cache keeps.
 PIECE, KEPT_RUN = 1 << 12, 256
@@ -370,7 +370,7 @@ class IdCache:
             own = [] if "<|" in x else runs_of(lowered(x))
             counts.append(len(own))
             runs += own
-        if len(self.index) >= 3 * RUNS:
+        if len(self.index) >= RUNS:
             self.reset()
         found = list(map(self.index.get, runs))
         new = [i for i, n in enumerate(found) if n is None]
