@@ -28,6 +28,11 @@ HONORIFICS = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señor
 ALPHABETS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0-9": "0123456789", "а-яё": "абвгдежзиклмнопрстуфхцчшэюя", "А-ЯЁ": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω", "Α-Ω": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 SYLLABLES = {"latin": ["ba", "den", "gor", "hal", "ken", "lin", "mar", "nel", "por", "ran", "sel", "tor", "vin", "wal", "zen", "mer"], "cyrillic": ["ба", "вор", "гал", "дан", "кор", "лен", "мир", "нов", "пор", "сев", "тар", "хол"], "greek": ["βα", "δη", "κα", "λι", "μα", "νο", "πα", "ρο", "σα", "τζι"]}
 
+#: Surnames that are common words, too, and stay where a sentence begins with them.
+COMMON = ["Will", "May", "Mark", "Rose", "Young", "Long", "Short", "Small", "Rich", "Grant", "Hope", "Law", "Day", "Bill", "Page", "Price", "Major", "West", "East", "North", "South", "King", "White", "Brown", "Black", "Green", "Summer", "Winter", "March", "April", "June", "August", "Case", "Field", "Hill", "Park", "Wood", "Stone", "Banks", "Best", "Good", "Love", "Moon", "Sharp", "Strong", "Wise", "Rush", "Cook", "Hall", "House", "Church"]
+#: Parts in which a text's surnames are looked up, at most.
+BUCKETS = 256
+
 _honor = "|".join(x for group in HONORIFICS.values() for x in group)
 _given = "|".join(x for group in GIVEN.values() for x in group)
 _lead = r"(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
@@ -187,6 +192,39 @@ def _person(entity: Column, words: Column, seed: Column, surname: Column, attemp
     return F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
 
 
+def last_word(name: Column) -> Column:
+    return F.regexp_extract(name, r"(\p{L}[\p{L}'’-]+)$", 1)
+
+
+def bare_surnames(gaps: Column, names: Column) -> Column:
+    """Gaps of a text in which the surnames of names (array of entity and made) are replaced where they stand alone, also
+    before an apostrophe or a hyphen. Only words as the name has them, capital first, count; a surname that is a common
+    word stays where a sentence begins with it. Words are looked up by hash, so the work is linear in the text."""
+    pairs = F.array_distinct(F.transform(names, lambda z: F.struct(last_word(z["entity"]).alias("k"), last_word(z["made"]).alias("v"))))
+    n = lambda found: F.least(F.lit(BUCKETS), F.size(found))
+    hashed = lambda found: F.transform(F.sequence(F.lit(0), n(found) - 1), lambda b: F.filter(found, lambda p: F.pmod(F.xxhash64(p["k"]), n(found)) == b))
+    common = F.array(*map(F.lit, COMMON))
+
+    def looked_up(word: Column, known: Column) -> Column:
+        bucket = F.get(known, F.pmod(F.xxhash64(word), F.size(known)).cast("int"))
+        return F.get(F.filter(bucket, lambda p: p["k"] == word), 0)["v"]
+
+    def replaced(word: Column, known: Column, begins: Column) -> Column:
+        tried = [word, F.regexp_replace(word, r"['’]\p{L}$", ""), F.regexp_extract(word, r"^[\p{L}\p{N}]+", 0)]
+        found = [F.concat(looked_up(x, known), F.substring(word, F.length(x) + 1, F.length(word))) for x in tried]
+        stays = ~word.rlike(r"^\p{Lu}") | (begins & F.array_contains(common, word))
+        return F.when(stays, word).otherwise(F.coalesce(*found, word))
+
+    def in_gap(gap: Column, j: Column, known: Column) -> Column:
+        words = F.regexp_extract_all(gap, F.lit(r"[\p{L}\p{N}]++(?:['’-]++[\p{L}\p{N}]++)*|[^\p{L}\p{N}]++"), F.lit(0))
+        begins = lambda held, i: F.when(i == 0, j == 0).otherwise(F.get(held, i - 1).rlike(r"[.!?…\n][^\p{L}\p{N}]*$"))
+        return F.transform(F.array(words), lambda held: F.array_join(F.transform(held, lambda w, i: replaced(w, known, begins(held, i))), ""))[0]
+
+    # Arrays of one element hand on what was found, so that nothing is evaluated for each word again.
+    known = F.transform(F.array(pairs), hashed)
+    return F.transform(known, lambda k: F.transform(gaps, lambda g, j: in_gap(g, j, k)))[0]
+
+
 def redraws(entities: DataFrame, key: str) -> DataFrame:
     """norm and attempt (above 0) of the entities (entity, norm, kind; one row for each norm) that have to draw again.
 
@@ -221,7 +259,8 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", found: str = "
 
     Null texts stay null with no entities, texts without entities stay as they are. Equal entities, also of repeated
     rows, get equal surrogates; an empty table stays empty; where a column has the name `found`, the number's gets
-    another. A surname that a name in a text ends in is replaced in the rest of the text, too; titles stay. Surrogates
+    another. A surname that a name in a text ends in is replaced in the rest of the text, too
+    (see bare_surnames()); titles stay. Texts of any length are taken whole, with any number of names. Surrogates
     get longer where a kind's space runs out.
 
     The patterns run over each text once: rows are written with what was found in them to the shared folder, and read
@@ -251,10 +290,9 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", found: str = "
     out = out.withColumn(made, F.when(F.size(spot) > 0, surrogates(tried, key)))
     gaps = F.split(F.col(text), ANY, -1)
     # Bare surnames: the last word of each name, as a whole word of the gaps.
-    last = lambda x: F.regexp_extract(x, r"(\p{L}[\p{L}'’-]+)$", 1)
-    names = F.filter(F.arrays_zip(F.col(spot)["entity"].alias("entity"), F.col(spot)["kind"].alias("kind"), F.col(made).alias("made")), lambda z: (z["kind"] == "name") & (last(z["entity"]) != ""))
-    bare = lambda g: F.aggregate(names, g, lambda t, z: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}'’-])"), last(z["entity"]), F.lit(r"(?![\p{L}\p{N}])")), last(z["made"])))
-    gaps = F.when(F.exists(spot, lambda s: s["kind"] == "name"), F.transform(gaps, bare)).otherwise(gaps)
+    names = F.filter(F.arrays_zip(F.col(spot)["entity"].alias("entity"), F.col(spot)["kind"].alias("kind"), F.col(made).alias("made")), lambda z: (z["kind"] == "name") & (last_word(z["entity"]) != ""))
+    named = F.exists(spot, lambda s: (s["kind"] == "name") & (last_word(s["entity"]) != ""))
+    gaps = F.when(named, bare_surnames(gaps, names)).otherwise(gaps)
     woven = F.array_join(F.flatten(F.zip_with(gaps, F.col(made), lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
     out = out.withColumn(free_name(df, found), F.size(F.filter(spot, lambda s: s["kind"] != "number")))
     return out.withColumn(text, F.when(F.size(spot) > 0, woven).otherwise(F.col(text))).drop(spot, again, made)
