@@ -16,6 +16,8 @@ KEYS = ["type", "year", "quarter", "sid", "date"]
 FILE_ROWS, ROW_GROUP, MONTHS = 1_000_000, 128 << 20, 1200
 #: Different ids that are broadcast at most; 64-bit words of the bitmap that stands for more of them.
 BROADCAST_IDS, BITMAP_WORDS = 500_000, 1 << 20
+#: Fixed value: what Spark calls the folder of a null key.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 #: A folder of a lake in which new partitions wait to be moved in; Spark's readers pass over names that begin so.
 SWAP = "_swap-"
 
@@ -39,7 +41,10 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
     keys = [k for k in keys if k in df.columns]
     if most and df.select(*keys).distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} partitions")
-    out = shaped(df, keys)
+    # Spark's writer sorts anew, by the keys alone, where a key may be null or is a constant (which falls out of a sort):
+    # so null keys get their folder's name here, and no key is seen to be constant.
+    whole = lambda k: F.when(F.spark_partition_id() < 0, F.lit(NULL_FOLDER)).otherwise(F.coalesce(F.col(k), F.lit(NULL_FOLDER)))
+    out = shaped(df, keys).withColumns({k: whole(k) for k in keys})
     if hot_rows:
         file_rows = min(file_rows, hot_rows * 5 // 4)  # a task may get several stretches
         cut, _ = quantiles.stretches(out, keys, order, hot_rows)

@@ -111,6 +111,12 @@ def test_median_of_hot_groups(spark):
 
 def test_hot_partitions_are_written_by_several_tasks(spark, tmp_path):
     rows = [("600000", datetime(2024, 1, 5) + timedelta(minutes=i), float(i)) for i in range(2000)] + [("600001", datetime(2024, 1, 5), 1.0)]
+    rows = rows[::-7] + [x for i, x in enumerate(rows[::-1]) if i % 7]
+    assert len(rows) == 2001
+    lake.write_lake(bars(spark, rows), str(tmp_path / "plain"))
+    (file,) = (tmp_path / "plain").glob("*/*/*/sid=600000/*/*.parquet")
+    ticks = [r.tick for r in spark.read.parquet(str(file)).collect()]
+    assert len(ticks) == 2000 and ticks == sorted(ticks)
     lake.write_lake(bars(spark, rows), str(tmp_path / "lake"), hot_rows=200)
     files = {sid: list((tmp_path / "lake").glob(f"*/*/*/sid={sid}/*/*.parquet")) for sid in ("600000", "600001")}
     assert 8 <= len(files["600000"]) <= 12 and len(files["600001"]) == 1
