@@ -33,9 +33,12 @@ def decode_packed(df: DataFrame, dates: str = "dates", minutes: str = "sub_dates
     return df.withColumn("tick", F.unix_timestamp(timeutil.local_to_utc(F.col("datetime")).cast("timestamp"))).drop(dates, minutes)
 
 
-def parse_text_date(df: DataFrame, column: str = "datetime", strptime: str = "%Y-%m-%d %H:%M:%S", tick_mode: str = "utc") -> DataFrame:
-    """Text to datetime (local) and tick: the true epoch, or with "wallclock" the epoch of the local clock read as UTC."""
-    df = df.withColumn("datetime", F.to_timestamp_ntz(F.col(column), F.lit(timeutil.pattern_of(strptime))))
+def parse_text_date(df: DataFrame, column: str = "datetime", strptime: str = "%Y-%m-%d %H:%M:%S", tick_mode: str = "utc", strict: bool = True) -> DataFrame:
+    """Text to datetime (local) and tick: the true epoch, or with "wallclock" the epoch of the local clock read as UTC. Text
+    that is no date raises, or, if not strict, is null."""
+    pattern = timeutil.pattern_of(strptime)
+    parsed = F.to_timestamp_ntz(F.col(column), F.lit(pattern)) if strict else F.try_to_timestamp(F.col(column), F.lit(pattern)).cast("timestamp_ntz")
+    df = df.withColumn("datetime", parsed)
     clock = F.unix_timestamp(F.col("datetime").cast("timestamp"))
     return df.withColumn("tick", clock if tick_mode == "wallclock" else F.unix_timestamp(timeutil.local_to_utc(F.col("datetime")).cast("timestamp")))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,33 +38,66 @@ def runs(df: DataFrame, by: str, order: str, within: str, rows: int = HOT_ROWS)
 def chunks(df: DataFrame, by: str, order: str, size: int = CHUNK, rows: int = HOT_ROWS) -> DataFrame:
     """Add the frame number of each row: at most `size` rows of one id. An id of more than `rows` rows is numbered in
     stretches of the order that hold equally many, so a hot one isn't one task."""
+    return _chunks(df, by, order, size, rows)[0]
+
+
+def _chunks(df: DataFrame, by: str, order: str, size: int, rows: int) -> tuple[DataFrame, bool]:
+    """chunks(), and whether an id was cut; if none was, the rows of an id lie together, in order."""
     marked, cut = stretches(df, [by], order, rows)
     place = F.row_number().over(Window.partitionBy(by, "stretch").orderBy(order))
     ranked = marked.withColumn("place", place)
     if not cut:
-        return ranked.select(*df.columns, F.floor((F.col("place") - 1) / size).alias("frame"))
+        return ranked.select(*df.columns, F.floor((F.col("place") - 1) / size).alias("frame")), False
     counts = marked.groupBy(by, "stretch").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     counts = counts.select(F.col(by).alias("group_of"), F.col("stretch").alias("stretch_of"), before.alias("before"))
     joined = ranked.join(counts, F.col(by).eqNullSafe(F.col("group_of")) & (F.col("stretch") == F.col("stretch_of")))
-    return joined.select(*df.columns, F.floor((F.col("place") + F.col("before") - 1) / size).alias("frame"))
+    return joined.select(*df.columns, F.floor((F.col("place") + F.col("before") - 1) / size).alias("frame")), True
 
 
-def export(df: DataFrame, kind: str, by: str, order: str, size: int = CHUNK) -> DataFrame:
+def export(df: DataFrame, kind: str, by: str, order: str, size: int = CHUNK, rows: int = HOT_ROWS) -> DataFrame:
     """One row for each frame: id, frame, n_rows and payload, an lz4-compressed Arrow stream with the kind and the id in
-    its metadata. A group is a frame, so it has at most `size` rows."""
+    its metadata.
+
+    Rows are shuffled and sorted once, by id; frames are cut from the batches of a task in one pass, which holds one frame
+    and one batch. Only where an id has more than `rows` rows do the numbered frames get a shuffle of their own, so that it
+    isn't one task.
+    """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by(order)
+    def packed(table: pa.Table) -> tuple:
         sid, frame = table[by][0].as_py(), table["frame"][0].as_py()
-        rows = table.drop_columns([by, "frame"]).combine_chunks()
-        rows = rows.replace_schema_metadata({"rpc_type": kind, "sid": str(sid)})
+        held = table.drop_columns([by, "frame"]).combine_chunks().replace_schema_metadata({"rpc_type": kind, "sid": str(sid)})
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
-            writer.write_table(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([sid]), pa.array([frame], pa.int64()), pa.array([rows.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()])], [by, "frame", "n_rows", "payload"])
+        with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_table(held)
+        return sid, frame, held.num_rows, sink.getvalue().to_pybytes()
+
+    def differ(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pc.coalesce(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            new = [differ(table[c].slice(0, table.num_rows - 1), table[c].slice(1)) for c in (by, "frame")]
+            ends = np.flatnonzero(pc.or_(*new).to_numpy()) + 1
+            begins = [0, *ends.tolist()]
+            yield from framed([packed(table.slice(i, j - i)) for i, j in zip(begins, ends.tolist(), strict=False)])
+            rest = table.slice(begins[-1])
+        if rest is not None:
+            yield from framed([packed(rest)])
+
+    def framed(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [by, "frame", "n_rows", "payload"])
 
-    return chunks(df, by, order, size).groupBy(by, "frame").applyInArrow(encode, f"{by} string, frame long, n_rows long, payload binary")
+    numbered, several = _chunks(df, by, order, size, rows)
+    numbered = numbered.repartition(by, "frame") if several else numbered
+    # Where no id was cut the rows are in this order already, and Spark leaves the sort out.
+    return numbered.sortWithinPartitions(by, *(["frame"] if several else []), order).mapInArrow(cut, f"{by} string, frame long, n_rows long, payload binary")
 
 
 def decode_frame(payload: bytes) -> tuple[dict[str, str], pa.Table]:

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timeutil as tu
-from ..operators import clean, frames, master
+from ..operators import clean, frames, master, order
 from ..session import scratch
 from ..sources import lake, readers, records
-from . import topics
+from . import pipelines, topics
 from .fixtures import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,9 @@ def instant_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAKE_SCHEMA = "close double, datetime timestamp, event_id long, tick long, volume long, type string, year string, quarter string, sid string, date string"
 
 
+_LAKE_SCHEMA_OF_BARS = "amount long, close long, datetime timestamp, high long, low long, open long, tick long, volume long, type string, year string, quarter string, sid string, date string"
+
+
 def _write(spark: SparkSession, sf_dir: str, name: str, **how: object) -> str:
     """A lake of the order fixture's kind: few partitions for each month of bars."""
     root = scratch(spark, name)
@@ -554,6 +557,85 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_lines(spark, _text_files(bars, "value", scratch(spark, "text")))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index, round(coalesce(c, avg(c) OVER (PARTITION BY sid)), 6) AS close FROM (SELECT sid, event_id, CASE WHEN NOT isnan(close) AND NOT isinf(close) THEN close END AS c FROM dirty_bars)")
+def rows_in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files in order, filled, and numbered as they stood in the files."""
+    root = scratch(spark, "csv")
+    view(spark, sf_dir, "dirty_bars").orderBy("event_id").write.option("header", "true").csv(root)
+    rows = readers.read_csv_bars(spark, root, {}, "sid string, event_id long, close double", place=True)
+    return _round(order.indexed(clean.fill_inf(rows, "mean", ["close"])).select("event_id", "row_index", "close"), ["close"])
+
+
+def _vendor_csv(rows: DataFrame, header: dict[str, str], market: str) -> DataFrame:
+    """CSV files (path, content) of bars (sid, datetime, ...), one for each id, under a vendor's header."""
+    text = {"datetime": F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"), "sid": F.concat(F.lit(market), "sid")}
+    line = F.concat_ws(",", *(text.get(c, F.col(c).cast("string")) for c in header.values()))
+    held = rows.select("sid", line.alias("line")).groupBy("sid").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    content = F.encode(F.concat(F.lit(",".join(header) + "\n"), "lines"), "UTF-8")
+    return held.select(F.concat(F.lit(f"{market}"), "sid", F.lit(".csv")).alias("path"), content.alias("content"))
+
+
+_LAKE_BARS = ["sid", "tick", "open", "close", "volume", "amount", "type", "date"]
+_LOADED = """'{kind}' AS type, strftime(datetime, '%Y%m') AS date, CAST(floor(epoch(datetime)) AS BIGINT) - 28800 AS tick,
+  CAST(trunc(open * 100000) AS BIGINT) AS open, CAST(trunc(close * 100000) AS BIGINT) AS close"""
+
+
+@query(f"""SELECT DISTINCT sid, {_LOADED.format(kind='stock')}, volume * 100000 AS volume, CAST(trunc(amount * 1000) AS BIGINT) AS amount FROM bars WHERE regexp_matches(sid, '^6[0-9]{{5}}')
+  UNION ALL SELECT DISTINCT sid, {_LOADED.format(kind='fund')}, volume * 1000 AS volume, CAST(trunc(amount * 1000) AS BIGINT) AS amount FROM bars WHERE regexp_matches(sid, '^51[0-9]{{4}}')""")
+def load_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named pipelines of stocks and of funds over one folder that holds the files of both."""
+    source, root = scratch(spark, "vendor"), scratch(spark, "lake")
+    for kind in ("6", "51"):
+        bars = view(spark, sf_dir, "bars").where(F.col("sid").startswith(kind))
+        readers.write_files(_vendor_csv(bars, pipelines.STOCK_HEADER, "SH."), source)
+    pipelines.stock_csv(spark, source, root)
+    pipelines.fund_csv(spark, source, root)
+    return spark.read.schema(_LAKE_SCHEMA_OF_BARS).parquet(root).select(_LAKE_BARS)
+
+
+@query(f"""SELECT DISTINCT CASE user_id % 4 WHEN 0 THEN '1A0001' WHEN 1 THEN '1B0688' WHEN 2 THEN '2A01' ELSE '399006' END AS sid, {_LOADED.format(kind='benchmark')}, volume, CAST(trunc(amount) AS BIGINT) AS amount
+  FROM (SELECT user_id, ts AS datetime, value AS open, value AS close, event_id % 1000 AS volume, value * (event_id % 1000) AS amount FROM events)""")
+def load_benchmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named pipeline of indices: vendors' codes become the lake's."""
+    source, root = scratch(spark, "vendor"), scratch(spark, "lake")
+    bars = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id") % 4, F.col("ts").alias("datetime"), *(F.col("value").alias(c) for c in clean.PRICES), (F.col("event_id") % 1000).alias("volume"))
+    codes = F.element_at(F.array(*(F.lit(x) for x in ("SH.000001", "SH.000688", "SZ.399001", "SZ.399006"))), (F.col("(user_id % 4)") + 1).cast("int"))
+    bars = bars.withColumns({"sid": codes, "amount": F.col("open") * F.col("volume")})
+    readers.write_files(_vendor_csv(bars, pipelines.BENCHMARK_HEADER, ""), source)
+    pipelines.benchmark_csv(spark, source, root)
+    return spark.read.schema(_LAKE_SCHEMA_OF_BARS).parquet(root).select(_LAKE_BARS)
+
+
+_STOCK_FILES = """SELECT DISTINCT '6' || lpad(CAST(event_id // 1000 AS VARCHAR), 5, '0') AS sid, strftime(ts, '%Y%m') AS date, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) - 28800 AS tick,
+  event_id % 1000 * 1000 AS open, event_id % 500 * 1000 AS volume FROM packed"""
+
+
+@query(_STOCK_FILES)
+def load_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named pipeline of binary stock files."""
+    source, root = scratch(spark, "vendor"), scratch(spark, "lake")
+    readers.write_files(_stock_files(view(spark, sf_dir, "packed")), source)
+    pipelines.stock_bin(spark, source, root)
+    return spark.read.schema(_LAKE_SCHEMA_OF_BARS).parquet(root).select("sid", "date", "tick", "open", "volume")
+
+
+@query(f"""SELECT sid, date, tick, open, volume, NULL AS reason, NULL AS n_rows FROM ({_STOCK_FILES} WHERE event_id // 1000 % 3 <> 1)
+  UNION ALL SELECT '6' || lpad(CAST(event_id // 1000 AS VARCHAR), 5, '0'), NULL, NULL, NULL, NULL, 'no such time', count(*) FROM packed WHERE event_id // 1000 % 3 = 1 AND event_id % 100 = 7 GROUP BY 1""")
+def load_skips_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As load_binary_files, where every third file has bars in a thirteenth month: the bars of the others, and those files."""
+    source, root = scratch(spark, "vendor"), scratch(spark, "lake")
+    odd = (F.floor(F.col("event_id") / 1000) % 3 == 1) & (F.col("event_id") % 100 == 7)
+    packed = view(spark, sf_dir, "packed").withColumn("dates", F.when(odd, F.lit(20 * 2048 + 1301)).otherwise(F.col("dates")))
+    readers.write_files(_stock_files(packed), source)
+    bad = pipelines.stock_bin(spark, source, root, on_error="skip")
+    loaded = spark.read.schema(_LAKE_SCHEMA_OF_BARS).parquet(root).select("sid", "date", "tick", "open", "volume")
+    return loaded.unionByName(bad.select(readers.file_sid(F.col("path")).alias("sid"), "reason", "n_rows"), allowMissingColumns=True)
+
+
+def _stock_files(packed: DataFrame) -> DataFrame:
+    return _packed_files(packed).withColumn("path", F.replace("path", F.lit("/sz0"), F.lit("/sh6")))
+
+
 def _partition_files(spark: SparkSession, sf_dir: str) -> str:
     root = scratch(spark, "files")
     bars = view(spark, sf_dir, "bars").select(F.substring("sid", 6, 1).alias("digit"), F.col("sid").alias("value"))

@@ -23,6 +23,8 @@ FILE_NAMES = {
     "bin_stock": r"^(sh6|sz0|sz3)[0-9]{5}.*\.01$", "bin_fund": r"^(sh51|sz15|sz16)[0-9]{4}.*\.01$", "bin_any": r"\.01$",
     "csv_stock": r"^(SH\.6|SZ\.0|SZ\.3)[0-9]{5}.*\.csv$", "csv_fund": r"^(SH\.51|SZ\.15|SZ\.16)[0-9]{4}.*\.csv$", "csv_any": r"\.csv$",
 }
+#: Globs for listing that hold all names of a kind: a CSV reader takes its header from the first file listed.
+GLOBS = {FILE_NAMES["csv_stock"]: "{SH.6,SZ.0,SZ.3}*.csv", FILE_NAMES["csv_fund"]: "{SH.51,SZ.15,SZ.16}*.csv"}
 
 
 def file_sid(path: Column) -> Column:
@@ -54,30 +56,31 @@ def _files(spark: SparkSession, root: str, suffix: str, pattern: str) -> DataFra
     return files.where(F.element_at(F.split("path", "/"), -1).rlike(pattern)) if pattern else files
 
 
-def read_binary_bars(spark: SparkSession, root: str, pattern: str = FILE_NAMES["bin_any"], dedup: bool = True, subset: list[str] | None = None, split: int = 0) -> DataFrame:
-    """Bars of binary files under a folder; see decode_bars().
+def read_binary_bars(spark: SparkSession, root: str, pattern: str = FILE_NAMES["bin_any"], dedup: bool = True, subset: list[str] | None = None, split: int = 0, skip: DataFrame | None = None, paths: bool = False) -> DataFrame:
+    """Bars of binary files under a folder; see decode_bars(). skip: a frame of the paths (path) of files to leave out.
 
     Where a file has `WHOLE` bytes or more, or `split` is given, the files are read in byte ranges, each a task of its own.
     """
     if not split and discover(spark, root, "", pattern).where(F.col("size") >= WHOLE).limit(1).count():
         split = records.RANGE
     if split:
-        return _bars(records.read_fixed(spark, root, RECORD, BAR_FIELDS, pattern, split), dedup, subset)
-    return decode_bars(_files(spark, root, "", pattern), dedup, subset)
+        return _bars(records.read_fixed(spark, root, RECORD, BAR_FIELDS, pattern, split), dedup, subset, skip, paths)
+    return decode_bars(_files(spark, root, "", pattern), dedup, subset, skip, paths)
 
 
-def _bars(rows: DataFrame, dedup: bool, subset: list[str] | None) -> DataFrame:
+def _bars(rows: DataFrame, dedup: bool, subset: list[str] | None, skip: DataFrame | None, paths: bool) -> DataFrame:
     """Records without those that repeat in their file: of equal rows one, or of equal keys the first."""
+    rows = rows.join(skip.select("path"), "path", "left_anti") if skip else rows
     if dedup and subset:
         rank = F.row_number().over(Window.partitionBy("path", *subset).orderBy("place"))
         rows = rows.withColumn("row_rank", rank).where("row_rank = 1").drop("row_rank")
     elif dedup:
         rows = rows.drop("place").dropDuplicates()
-    return rows.withColumn("sid", file_sid(F.col("path"))).drop("path", "place")
+    return rows.withColumn("sid", file_sid(F.col("path"))).drop("place", *([] if paths else ["path"]))
 
 
-def decode_bars(files: DataFrame, dedup: bool = True, subset: list[str] | None = None) -> DataFrame:
-    """Bars of files (path, content): the record's fields but the last, and sid from the file's name.
+def decode_bars(files: DataFrame, dedup: bool = True, subset: list[str] | None = None, skip: DataFrame | None = None, paths: bool = False) -> DataFrame:
+    """Bars of files (path, content): the record's fields but the last, and sid from the file's name; the path, if asked for.
 
     A trailing part of a record is ignored; equal rows of a file count once, or, with `subset`, the first row of each of its
     keys; an empty file has no rows.
@@ -91,24 +94,36 @@ def decode_bars(files: DataFrame, dedup: bool = True, subset: list[str] | None =
                     kinds = (pa.int32(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(np.arange(len(rows))), *(pa.array(rows[c], t) for c, t in zip(RECORD.names, kinds, strict=False))], ["path", "place", *RECORD.names[:-1]])
 
-    return _bars(files.select("path", "content").mapInArrow(decode, BAR_SCHEMA), dedup, subset)
+    return _bars(files.select("path", "content").mapInArrow(decode, BAR_SCHEMA), dedup, subset, skip, paths)
 
 
-def read_csv_bars(spark: SparkSession, root: str, rename: dict[str, str], schema: str | None = None, sep: str = ",", subset: list[str] | None = None, pattern: str = "") -> DataFrame:
+def read_csv_bars(spark: SparkSession, root: str, rename: dict[str, str], schema: str | None = None, sep: str = ",", subset: list[str] | None = None, pattern: str = "", dedup: bool = True, place: bool = False, skip: DataFrame | None = None) -> DataFrame:
     """CSV with a header, renamed, without repeated rows, or with the first row of each key in `subset`: the first of
-    the first file, by path and by place in it. pattern: only files whose names it finds."""
-    reader = spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    the first file, by path and by place in it. pattern: only files whose names it finds; skip: a frame of the paths (path)
+    of files to leave out; place: keep where a row stood (see placed()), of repeated rows the first place."""
+    reader = spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true").option("pathGlobFilter", GLOBS.get(pattern, "*.csv"))
     rows = (reader.schema(schema) if schema else reader).csv(root)
     rows = rows.where(F.col("_metadata.file_name").rlike(pattern)) if pattern else rows
-    return _first(rows, subset, rename) if subset else rows.withColumnsRenamed(rename).dropDuplicates()
+    if not (subset or place or skip):
+        rows = rows.withColumnsRenamed(rename)
+        return rows.dropDuplicates() if dedup else rows
+    rows = placed(rows).withColumnsRenamed(rename)
+    rows = rows.join(skip.select("path"), rows["row_place.path"] == skip["path"], "left_anti") if skip else rows
+    rows = _first(rows, subset or [c for c in rows.columns if c != "row_place"]) if subset or dedup else rows
+    return rows if place else rows.drop("row_place")
 
 
-def _first(rows: DataFrame, subset: list[str], rename: dict[str, str] | None = None) -> DataFrame:
-    """The first row of each key, by the rows' file and their place there."""
-    block = F.struct(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    marked = rows.select("*", block.alias("row_place")).withColumnsRenamed(rename or {})
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows as a file source has read them, with row_place: path, the block's begin in the file, and a number that grows
+    along the block. It sorts as the rows stand in their files, and travels with them through joins and shuffles."""
+    block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", block.alias("row_place"))
+
+
+def _first(rows: DataFrame, subset: list[str]) -> DataFrame:
+    """The first row of each key, by row_place."""
     rank = F.row_number().over(Window.partitionBy(*subset).orderBy("row_place"))
-    return marked.withColumn("row_rank", rank).where("row_rank = 1").drop("row_place", "row_rank")
+    return rows.withColumn("row_rank", rank).where("row_rank = 1").drop("row_rank")
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -118,12 +133,14 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
 def read_avro(spark: SparkSession, root: str, subset: list[str] | None = None) -> DataFrame:
     """Avro rows without repeats; needs the Avro module on Spark's classpath."""
     rows = spark.read.format("avro").load(root)
-    return _first(rows, subset) if subset else rows.dropDuplicates()
+    return _first(placed(rows), subset).drop("row_place") if subset else rows.dropDuplicates()
 
 
-def write_avro(rows: DataFrame, root: str, append: bool = False, codec: str = "snappy") -> None:
-    """Avro files; needs the Avro module on Spark's classpath."""
-    rows.write.format("avro").option("compression", codec).mode("append" if append else "overwrite").save(root)
+def write_avro(rows: DataFrame, root: str, append: bool = False, codec: str = "snappy", schema: str = "") -> None:
+    """Avro files, in a given Avro schema (the text of an .avsc file) if there is one; needs the Avro module on Spark's
+    classpath."""
+    writer = rows.write.format("avro").option("compression", codec).mode("append" if append else "overwrite")
+    (writer.option("avroSchema", schema) if schema else writer).save(root)
 
 
 def write_text(rows: DataFrame, root: str, sep: str = ",", header: bool = True, append: bool = False) -> None:
