@@ -4,11 +4,14 @@ Main path: built-in functions only. Entities are found by one pattern; each gets
 hash of its normal form: digits for digits in the same layout, letters of the same script and case, a valid check digit for
 card numbers, given names of the same gender. Equal entities get equal surrogates everywhere. Before anything is replaced,
 the distinct entities of the whole table are checked: where two would get one surrogate, or one would get another's real
-value, all but one draw again.
+value, all but one draw again. Surnames are checked as entities of their own, before the names: all who bear one share its
+surrogate, and no two surnames have the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,10 +78,20 @@ def normal(entity: Column, kind: Column) -> Column:
     """What two writings of one entity have in common: its type, and case or layout left out."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
     person = F.lower(F.regexp_replace(entity, rf"^(?:{_honor})\.? ", ""))
-    body = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.concat(gender_of(entity), F.lit(" "), person)).when(kind == "secret", F.regexp_replace(entity, f"^{_lead}", "")).otherwise(entity)
+    body = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.concat(gender_of(entity), F.lit(" "), person)).when(kind == "secret", F.regexp_replace(entity, f"^{_lead}", "")).when(kind == "surname", F.lower(entity)).otherwise(entity)
     return F.concat(kind, F.lit(":"), body)
 
 
+def words_of(name: Column) -> Column:
+    """A name's words, without a title."""
+    return F.split(F.regexp_replace(name, rf"^(?:{_honor})\.? ", ""), " ")
+
+
+def surname_of(entity: Column, kind: Column) -> Column:
+    """The normal form of a name's surname as an entity of its own; null for other kinds."""
+    return F.when(kind == "name", normal(F.element_at(words_of(entity), -1), F.lit("surname")))
+
+
 def gender_of(entity: Column) -> Column:
     out = F.lit("n")
     for gender, titles in HONORIFICS.items():
@@ -126,18 +139,20 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def surrogates(items: Column, key: str) -> Column:
+def surrogates(items: Column, key: str, family: Callable[[Column], Column] = lambda s: F.lit(0)) -> Column:
     """The replacements of entities (array of entity, kind, norm, attempt), each in its own layout: a function of the key,
-    its normal form and the attempt. Steps hand on what they found, so that nothing is evaluated twice."""
+    its normal form, the attempt and, for a name, its surname's attempt, which `family` takes from the item. The kind
+    `surname` is a surname alone. Steps hand on what they found, so that nothing is evaluated twice."""
     title = rf"^(?:{_honor})\.? "
     keep = lambda s, *names: [s[x].alias(x) for x in names]
     base = ("entity", "kind", "attempt")
 
     def seeded(s: Column) -> Column:
         entity = s["entity"]
-        words = F.split(F.regexp_replace(entity, title, ""), " ")
-        part = F.when(s["kind"] == "name", F.concat_ws("\x1f", F.lower(F.element_at(words, -1)), s["attempt"].cast("string"))).otherwise(F.lower(F.substring_index(entity, "@", -1)))
-        return F.struct(*keep(s, *base), F.sha2(F.concat_ws("\x1f", F.lit(key), s["norm"], s["attempt"].cast("string")), 256).alias("seed"), F.sha2(F.concat_ws("\x1f", F.lit(key), part), 256).alias("part_seed"), F.regexp_replace(entity, "[^0-9]", "").alias("digits"), words.alias("words"))
+        words = words_of(entity)
+        drawn_in = F.when(s["kind"] == "name", family(s)).otherwise(s["attempt"])
+        part = F.when(s["kind"].isin("name", "surname"), F.concat_ws("\x1f", F.lower(F.element_at(words, -1)), drawn_in.cast("string"))).otherwise(F.lower(F.substring_index(entity, "@", -1)))
+        return F.struct(*keep(s, *base), drawn_in.alias("drawn_in"), F.sha2(F.concat_ws("\x1f", F.lit(key), s["norm"], s["attempt"].cast("string")), 256).alias("seed"), F.sha2(F.concat_ws("\x1f", F.lit(key), part), 256).alias("part_seed"), F.regexp_replace(entity, "[^0-9]", "").alias("digits"), words.alias("words"))
 
     def drawn(s: Column) -> Column:
         seed = s["seed"]
@@ -145,7 +160,7 @@ def surrogates(items: Column, key: str) -> Column:
         each = F.transform(F.split(s["digits"], ""), lambda c, i: F.when((i == 0) & (s["kind"] == "card"), c).when(i == 0, (_draw(seed, i) % 8 + 2).cast("string")).otherwise((_draw(seed, i) % 10).cast("string")))
         # A phone number keeps its country code.
         code = F.regexp_extract(s["entity"], r"^\+([0-9]{1,3})(?=[ .(-])", 1)
-        return F.struct(*keep(s, *base, "seed", "part_seed", "digits", "words"), F.array_join(each, "").alias("drawn"), code.alias("code"))
+        return F.struct(*keep(s, *base, "drawn_in", "seed", "part_seed", "digits", "words"), F.array_join(each, "").alias("drawn"), code.alias("code"))
 
     def made(s: Column) -> Column:
         entity, kind, seed, part_seed, digits = (s[x] for x in ("entity", "kind", "seed", "part_seed", "drawn"))
@@ -166,29 +181,36 @@ def surrogates(items: Column, key: str) -> Column:
         hexes = F.substring(F.concat(seed, F.sha2(seed, 256)), F.lit(1), F.least(F.length(bare), F.lit(128)))
         secret = F.when(bare.startswith("AKIA"), F.concat(F.lit("AKIA"), _letters(F.substring(bare, F.lit(5), F.length(bare)), seed))).when(bare.rlike("^[0-9a-f]{1,128}$"), hexes).otherwise(_letters(bare, seed))
         out = F.when(kind == "ip", ip).when(kind == "card", _layout(entity, card)).when(kind == "phone", _layout(entity, phone)).when(kind == "ssn", _layout(entity, digits)).when(kind == "iban", iban)
-        person = F.concat(F.regexp_extract(entity, title, 0), _person(entity, s["words"], seed, part_seed, s["attempt"]))
+        surname = _surname(s["words"], part_seed, s["drawn_in"])
+        person = F.concat(F.regexp_extract(entity, title, 0), _person(entity, s["words"], seed, surname, s["attempt"]))
         fixed = F.concat(out.otherwise(F.concat(lead, secret)), F.when((kind == "ip") & (last != ""), ":").otherwise(""), last)
-        return F.when(kind == "number", entity).when(kind == "name", person).when(kind == "email", mail).otherwise(fixed)
+        return F.when(kind == "number", entity).when(kind == "name", person).when(kind == "surname", surname).when(kind == "email", mail).otherwise(fixed)
 
     return F.transform(F.transform(F.transform(items, seeded), drawn), made)
 
 
-def _person(entity: Column, words: Column, seed: Column, surname: Column, attempt: Column) -> Column:
-    """A given name of the same gender and script if there is one, and a surname made of syllables whose seed depends on
-    the surname (and on the attempt) alone, so that Ms Doe and Jane Doe keep a name in common. Each further attempt has
-    one more syllable, so the names don't run out."""
+def _surname(words: Column, seed: Column, attempt: Column) -> Column:
+    """A surname made of syllables of the last word's script, whose seed depends on that word (and on its attempt) alone.
+    Each further attempt has one more syllable, so surnames don't run out."""
+    script, out = script_of(F.element_at(words, -1)), F.lit(None).cast("string")
+    for s, parts in SYLLABLES.items():
+        made = F.initcap(F.concat(*(_pick(parts, _draw(seed, i)) for i in range(1, 5))))
+        more = F.array_join(F.transform(F.sequence(F.lit(5), attempt + 4), lambda i: _pick(parts, _draw(seed, i))), "")  # noqa: B023
+        out = F.when(script == s, F.when(attempt > 0, F.concat(made, more)).otherwise(made)).otherwise(out)
+    return out
+
+
+def _person(entity: Column, words: Column, seed: Column, family: Column, attempt: Column) -> Column:
+    """A given name of the same gender and script if there is one, and the surname's surrogate, so that Ms Doe and Jane Doe
+    keep a name in common. Each further attempt has one more given name (Anna-Maria), so those don't run out, either. A
+    surname alone has no second draw, as its own check settles it."""
     gender, script = gender_of(entity), script_of(entity)
     given = F.lit(None).cast("string")
-    family = F.lit(None).cast("string")
-    for (s, g), names in GIVEN.items():
-        given = F.when((script == s) & (gender == g), _pick(names, _draw(seed, 0))).otherwise(given)
-    for s, parts in SYLLABLES.items():
+    for s in SYLLABLES:
         both = [x for (s2, _), group in GIVEN.items() if s2 == s for x in group]
-        given = F.when((script == s) & (gender == "n"), _pick(both, _draw(seed, 0))).otherwise(given)
-        made = F.initcap(F.concat(*(_pick(parts, _draw(surname, i)) for i in range(1, 5))))
-        more = F.array_join(F.transform(F.sequence(F.lit(5), attempt + 4), lambda i: _pick(parts, _draw(surname, i))), "")  # noqa: B023
-        made = F.when(attempt > 0, F.concat(made, more)).otherwise(made)
-        family = F.when(script == s, made).otherwise(family)
+        for g, names in (("n", both), *((g, names) for (s2, g), names in GIVEN.items() if s2 == s)):
+            drawn = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(names, _draw(seed, i))), "-")  # noqa: B023
+            given = F.when((script == s) & (gender == g), drawn).otherwise(given)
     return F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
 
 
@@ -226,16 +248,17 @@ def bare_surnames(gaps: Column, names: Column) -> Column:
 
 
 def redraws(entities: DataFrame, key: str) -> DataFrame:
-    """norm and attempt (above 0) of the entities (entity, norm, kind; one row for each norm) that have to draw again.
+    """norm and attempt (above 0) of the entities (entity, norm, kind, family; one row for each norm) that have to draw
+    again.
 
     Every kind's space grows with the attempts, so the rounds end, however many entities there are.
     """
-    waiting = entities.select("entity", "norm", "kind", F.lit(0).alias("attempt"))
+    waiting = entities.select("entity", "norm", "kind", "family", F.lit(0).alias("attempt"))
     real = entities.select(F.col("norm").alias("taken")).distinct()
     settled, out = None, None
     while True:
-        item = F.array(F.struct("entity", "kind", "norm", "attempt"))
-        drawn = cut(waiting.withColumn("made", surrogates(item, key)[0])).withColumn("made", normal(F.col("made"), F.col("kind")))
+        item = F.array(F.struct("entity", "kind", "norm", "attempt", "family"))
+        drawn = cut(waiting.withColumn("made", surrogates(item, key, lambda s: s["family"])[0])).withColumn("made", normal(F.col("made"), F.col("kind")))
         first = drawn.groupBy("made").agg(F.min("norm").alias("winner"), F.count("*").alias("n"))
         bad = first.where("n > 1").select("made", "winner").join(drawn, "made").where("norm <> winner").select("norm")
         bad = bad.union(drawn.join(real, drawn["made"] == real["taken"], "left_semi").select("norm"))
@@ -254,6 +277,18 @@ def redraws(entities: DataFrame, key: str) -> DataFrame:
     return out if out is not None else waiting.select("norm", "attempt").limit(0)
 
 
+def all_redraws(entities: DataFrame, key: str) -> DataFrame:
+    """As redraws(), for entities without family: surnames and all kinds but names draw first, then names, whose surnames
+    stand by then. The surnames' norms are among the result."""
+    plain = entities.where("kind <> 'name'").select("entity", "norm", "kind")
+    names = entities.where("kind = 'name'").withColumn("surname", surname_of(F.col("entity"), F.col("kind")))
+    surnames = names.groupBy(F.col("surname").alias("norm")).agg(F.min(F.element_at(words_of(F.col("entity")), -1)).alias("entity"))
+    first = redraws(cut(plain.unionByName(surnames.withColumn("kind", F.lit("surname"))).withColumn("family", F.lit(0))), key)
+    family = first.select(F.col("norm").alias("surname"), F.col("attempt").alias("family"))
+    names = names.join(family, "surname", "left").withColumn("family", F.coalesce("family", F.lit(0)))
+    return cut(first.unionByName(redraws(cut(names), key)))
+
+
 def replace_entities(df: DataFrame, key: str, text: str = "text", found: str = "n_entities") -> DataFrame:
     """Replace the entities of whole texts by surrogates under a secret key and add their number; other columns are kept.
 
@@ -273,11 +308,12 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", found: str = "
     items = F.transform(items, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), normal(s["entity"], s["kind"]).alias("norm")))
     out = stored(df.withColumn(spot, items))
     each = out.select(F.explode(spot).alias("s")).where("s.kind <> 'number'").select("s.*")
-    odd = redraws(cut(each.groupBy("norm", "kind").agg(F.min("entity").alias("entity"))), key)
+    odd = all_redraws(cut(each.groupBy("norm", "kind").agg(F.min("entity").alias("entity"))), key)
     n = odd.count()
     if n:
         hold = free_name(df, "text_hash")
-        few = out.where(F.size(spot) > 0).select(F.sha2(body, 256).alias(hold), F.explode(F.col(spot)["norm"]).alias("norm"))
+        own = F.array_union(F.col(spot)["norm"], F.array_compact(F.transform(spot, lambda s: surname_of(s["entity"], s["kind"]))))
+        few = out.where(F.size(spot) > 0).select(F.sha2(body, 256).alias(hold), F.explode(own).alias("norm"))
         few = few.join(F.broadcast(odd) if n * 100 <= BROADCAST_BYTES else odd, "norm").select(hold, "norm", "attempt").distinct()
         few = cut(few.groupBy(hold).agg(F.map_from_entries(F.collect_list(F.struct("norm", "attempt"))).alias(again)))
         few = F.broadcast(few) if few.count() * 300 <= BROADCAST_BYTES else few
@@ -285,9 +321,9 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", found: str = "
         attempt = lambda norm: F.coalesce(F.element_at(F.col(again), norm), F.lit(0))
     else:
         out, attempt = out.withColumn(again, F.lit(0)), lambda norm: F.lit(0)
-    tried = F.transform(F.col(spot), lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["norm"].alias("norm"), attempt(s["norm"]).alias("attempt")))
+    tried = F.transform(F.col(spot), lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["norm"].alias("norm"), attempt(s["norm"]).alias("attempt"), F.when(s["kind"] == "name", attempt(surname_of(s["entity"], s["kind"]))).otherwise(0).alias("family")))
     made = free_name(df, "surrogate_list")
-    out = out.withColumn(made, F.when(F.size(spot) > 0, surrogates(tried, key)))
+    out = out.withColumn(made, F.when(F.size(spot) > 0, surrogates(tried, key, lambda s: s["family"])))
     gaps = F.split(F.col(text), ANY, -1)
     # Bare surnames: the last word of each name, as a whole word of the gaps.
     names = F.filter(F.arrays_zip(F.col(spot)["entity"].alias("entity"), F.col(spot)["kind"].alias("kind"), F.col(made).alias("made")), lambda z: (z["kind"] == "name") & (last_word(z["entity"]) != ""))

@@ -180,6 +180,21 @@ def test_bare_surnames(spark):
     assert took[0] < took[1] + 20, took
 
 
+def test_surnames_stay_distinct(spark):
+    """Surnames of women and of men, some borne with a given name, too: each has one surrogate, and none shares it."""
+    from barlake.llm import pii
+
+    names = [f"N{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(4000)]
+    rows = [(i, f"{('Mr', 'Ms')[i % 2]} {x} met {('Anna', 'Dr Peter', 'Dr')[i % 3]} {x}. {x}!") for i, x in enumerate(names)]
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    found = [re.fullmatch(r"M[rs] (\w+) met (?:Dr )?(?:[\w-]+ )?\1\. \1!", got[i]) for i in range(4000)]
+    assert all(found) and len({m[1] for m in found}) == 4000 and not {m[1] for m in found} & set(names)
+    # Many given names for one surname: more than there are to draw from.
+    people = [f"{g} Doe" for script, gender in pii.GIVEN if script == "latin" for g in pii.GIVEN[script, gender]]
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame([(x,) for x in people], "text string"), "k").collect()]
+    assert len(set(got)) == len(people) and len({x.split()[-1] for x in got}) == 1
+
+
 # op4 and op6
 
 def test_counts_and_ids_equal_the_library_on_odd_strings():
