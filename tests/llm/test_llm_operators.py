@@ -12,7 +12,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, chat, decontamination, fingerprints, line_dedup, near_dedup, packing, pii, sharding, token_counts, toxicity
+from barlake.llm import _text, bpe, chat, decontamination, fingerprints, line_dedup, near_dedup, packing, pii, sharding, token_counts, toxicity
 from barlake.llm import queries as llm
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -379,6 +379,45 @@ def test_fingerprints(spark, odd, texts):
     assert fingerprints.fingerprints(odd).count() == len(ODD)
 
 
+def plain_lanes(text):
+    """Both kinds of lanes in plain integers, a paragraph and a run of bytes at a time."""
+    whole, base, salt = 1 << 64, int(_text._BASE), [int(x) | 1 for x in _text._SALT]
+    equal, like = [0] * fingerprints.WIDE, [0] * fingerprints.LANES
+    for line in text.encode().split(b"\n") if text else []:
+        digest = hashlib.blake2b(line).digest()
+        equal = [(x + int.from_bytes(digest[8 * i : 8 * i + 8], "little")) % whole for i, x in enumerate(equal)]
+        for i in range(len(line)):
+            h = sum(salt[b] * pow(base, 7 - j, whole) for j, b in enumerate(line[i : i + 8])) % whole
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % whole
+            h = (h ^ h >> 27) * 0x94D049BB133111EB % whole
+            h ^= h >> 31
+            like[h % fingerprints.LANES] += 1 if h >> 40 & 1 else -1
+    return equal, like
+
+
+def test_fingerprints_equal_plain_sums(spark):
+    texts = ["", "a", "\n", "\n\n", "ab\n", "a\nb", "b\na", "x" * 7 + "\n" + "x" * 8 + "\n" + "x" * 9, "É\n\U0001f600 ü", "many words in a line " * 40, "a line\n" * 3000, "x" * 40000]
+    equal, like = fingerprints.vectors(texts)
+    plain = [plain_lanes(x) for x in texts]
+    wrapped = [[(x + 32768) % 65536 - 32768 for x in own] for _, own in plain]
+    for i, (own, _) in enumerate(plain):
+        assert equal[i].tolist() == own and like[i].view(np.int16).tolist() == wrapped[i]
+    alone = [fingerprints.vectors([x]) for x in texts]
+    assert all((e[0] == equal[i]).all() and (k[0] == like[i]).all() for i, (e, k) in enumerate(alone))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in fingerprints.fingerprint_edits(df).collect():
+        text, following = texts[r.doc_id], texts[r.doc_id - 1]
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        for other, near in ((edited, r.near_edited), (following, r.near_next)):
+            (e1, a), (e2, b) = plain_lanes(text), plain_lanes(other)
+            a, b = ([(x + 32768) % 65536 - 32768 for x in v] for v in (a, b))
+            apart = sum(((x - y + 32768) % 65536 - 32768) ** 2 for x, y in zip(a, b, strict=True))
+            both = sum(x * x for x in a + b)
+            want = 1.0 if e1 == e2 and not apart else min(1.0, max(0.0, 1 - apart / both)) if both else 0.0
+            assert near == pytest.approx(want, abs=1e-12)
+
+
 def test_fingerprint_is_homomorphic():
     a, b = "one line\nand another", "third\n\nthird"
     assert fingerprints.insert(fingerprints.fingerprint(a), b) == fingerprints.fingerprint(f"{b}\n{a}") == fingerprints.fingerprint(f"{a}\n{b}")
