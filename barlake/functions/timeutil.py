@@ -130,6 +130,20 @@ def in_intervals(df: DataFrame, at: str, intervals: DataFrame, low: str, high: s
     return joined.drop("interval_bin")
 
 
+def sums_in_intervals(df: DataFrame, at: str, value: str, intervals: DataFrame, key: str, low: str, high: str, bins: float) -> DataFrame:
+    """{key}, n_rows and total of a value: over the rows of df that lie in the intervals of a key; keys without rows are left
+    out. See in_intervals().
+
+    Rows are first summed by their place, and intervals of equal ends are taken once, so what is joined grows with the
+    different places and ends, not with the pairs of rows and intervals.
+    """
+    places = df.where(F.col(at).isNotNull()).groupBy(at).agg(F.count("*").alias("place_rows"), F.sum(value).alias("place_total"))
+    spans = intervals.select(key, low, high).where(F.col(low) < F.col(high))
+    found = in_intervals(places, at, spans.select(low, high).distinct(), low, high, bins)
+    found = found.groupBy(low, high).agg(F.sum("place_rows").alias("place_rows"), F.sum("place_total").alias("place_total"))
+    return spans.join(found, [low, high]).groupBy(key).agg(F.sum("place_rows").alias("n_rows"), F.sum("place_total").alias("total"))
+
+
 def quarter_table(spark: SparkSession, start: date, end: date) -> DataFrame:
     """label, from_epoch and to_epoch (seconds) of all quarters of the local calendar that a span touches."""
     at = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=LOCAL).timestamp())

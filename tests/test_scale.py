@@ -8,12 +8,13 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from test_toolkit import BARS, bars, record
 
 from barlake.functions import timeutil as tu
 from barlake.operators import clean, frames, quantiles
-from barlake.plans import topics
+from barlake.plans import catalog, topics
 from barlake.sources import lake, readers, records
 
 
@@ -184,3 +185,20 @@ def test_written_files(spark, tmp_path):
         readers.write_files(files, str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.bin", "b.bin"]
     assert [r["value"] for r in readers.read_features(spark, str(tmp_path / "out")).collect()] == [1.0, 2.0]
+
+
+def test_interval_sums_join_places_and_not_rows(spark, monkeypatch):
+    join, sizes = tu.in_intervals, []
+
+    def seen(df, at, intervals, *args):
+        sizes.append((df.count(), intervals.count()))
+        return join(df, at, intervals, *args)
+
+    monkeypatch.setattr(tu, "in_intervals", seen)
+    catalog.QUERIES["interval_join"](spark, SF)
+    (n_places, n_spans), orders, parts = sizes[0], *(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "part"))
+    assert n_places <= 84 < orders and n_spans <= min(420, parts)
+    rows = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (2.0, None), (None, 5.0), (9.0, 1.0)], "at double, x double")
+    spans = spark.createDataFrame([("a", 0.0, 2.0), ("b", 0.0, 2.0), ("b", 1.0, 3.0), ("c", 2.0, 3.0), ("none", 3.0, 4.0), ("back", 9.0, 1.0)], "k string, low double, high double")
+    got = tu.sums_in_intervals(rows, "at", "x", spans, "k", "low", "high", 0.7)
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 5.0), ("b", 5, 10.0), ("c", 1, None)]
