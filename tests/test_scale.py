@@ -227,3 +227,7 @@ def equals_sql(spark, root, name):
 
 def test_bulk_update_of_ids_that_several_rows_have(spark, long_keys):
     equals_sql(spark, long_keys, "asset_bulk_update")
+
+
+def test_assets_of_one_id_are_cleaned_by_key(spark, long_keys):
+    equals_sql(spark, long_keys, "asset_clean")
