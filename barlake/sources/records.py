@@ -14,23 +14,24 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: Bytes of a file that one task reads.
-RANGE = 128 << 20
+#: Bytes of a file that one task reads; tasks from which on small ranges share one.
+RANGE, TASKS = 128 << 20, 512
 
 
 def read_fixed(spark: SparkSession, root: str, record: np.dtype, fields: str, pattern: str = "", split: int = RANGE) -> DataFrame:
     """path, place (of the record in its file) and the fields of records in files under a folder (or in one file) whose
     name the pattern finds, in a store that Arrow opens (local, HDFS, S3, GCS).
 
-    A task reads a range of whole records, so one large file is many tasks, and what a task holds is one batch. fields: names
-    and types, for the first fields of the record. A trailing part of a record is ignored. A missing folder raises.
+    A task reads a range of whole records, so one large file is many tasks, and what a task holds is one batch. Where ranges
+    are small and there are more than `TASKS`, a task reads several in turn, up to `RANGE` bytes. fields: names and types,
+    for the first fields of the record. A trailing part of a record is ignored. A missing folder raises.
     """
     size, names = record.itemsize, [x.split()[0] for x in fields.split(", ")]
 
     class Range(InputPartition):
-        def __init__(self, path: str, begin: int, end: int) -> None:
-            super().__init__(path)
-            self.path, self.begin, self.end = path, begin, end
+        def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+            super().__init__(len(spans))
+            self.spans = spans
 
     class Reader(DataSourceReader):
         def __init__(self, options: dict[str, str], schema) -> None:  # noqa: ANN001
@@ -46,24 +47,34 @@ def read_fixed(spark: SparkSession, root: str, record: np.dtype, fields: str, pa
             if info.type == fs.FileType.NotFound:
                 raise FileNotFoundError(top)
             found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(top, recursive=True))
+            files = [(x.path, x.size // size) for x in found if x.type == fs.FileType.File and re.search(pattern, x.base_name)]
             step = max(1, split // size)
-            out = []
-            for file in sorted((x for x in found if x.type == fs.FileType.File and re.search(pattern, x.base_name)), key=lambda x: x.path):
-                whole = file.size // size
-                out += [Range(file.path, i, min(i + step, whole)) for i in range(0, whole, step)]
-            return out or [Range("", 0, 0)]
+            most = max(step, min(RANGE // size, sum(n for _, n in files) // TASKS))
+            out: list[list[tuple[str, int, int]]] = [[]]
+            held = 0
+            for path, whole in sorted(files):
+                for i in range(0, whole, step):
+                    end = min(i + step, whole)
+                    if held + end - i > most:
+                        out.append([])
+                        held = 0
+                    if out[-1] and out[-1][-1][0] == path:  # it goes on where the last one ends
+                        out[-1][-1] = (path, out[-1][-1][1], end)
+                    else:
+                        out[-1].append((path, i, end))
+                    held += end - i
+            return [Range(spans) for spans in out]
 
         def read(self, part: Range) -> Iterator[pa.RecordBatch]:
             from pyarrow import fs
 
-            if part.begin == part.end:
-                return
             store, _ = fs.FileSystem.from_uri(self.options["path"])
-            with store.open_input_file(part.path) as file:
-                for at in range(part.begin, part.end, 1 << 16):
-                    n = min(1 << 16, part.end - at)
-                    rows = np.frombuffer(file.read_at(n * size, at * size), record)
-                    yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(np.arange(at, at + n)), *(pa.array(rows[c]).cast(self.types.field(c).type) for c in names)], schema=self.types)
+            for path, begin, end in part.spans:
+                with store.open_input_file(path) as file:
+                    for at in range(begin, end, 1 << 16):
+                        n = min(1 << 16, end - at)
+                        rows = np.frombuffer(file.read_at(n * size, at * size), record)
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(at, at + n)), *(pa.array(rows[c]).cast(self.types.field(c).type) for c in names)], schema=self.types)
 
     class FixedRecords(DataSource):
         @classmethod

@@ -235,3 +235,13 @@ def test_assets_of_one_id_are_cleaned_by_key(spark, long_keys):
 
 def test_assets_of_one_id_are_all_in_the_database(spark, long_keys):
     equals_sql(spark, long_keys, "database_scan")
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"sh60000{i}.01").write_bytes(b"".join(record(date(2024, 1, 5), 571, 10 + j) for j in range(2000 + i)))
+    (tmp_path / "sh600009.01").write_bytes(b"")
+    raw = records.read_fixed(spark, str(tmp_path), readers.RECORD, readers.BAR_FIELDS, "01$", 64)
+    assert raw.rdd.getNumPartitions() <= 1.5 * records.TASKS  # 3,002 ranges
+    got = sorted((r.path[-9:-3], r.place, r.open) for r in raw.collect())
+    assert got == [(f"60000{i}", j, 10 + j) for i in range(3) for j in range(2000 + i)]
