@@ -36,9 +36,10 @@ def _fractions(parts: int) -> Column:
     return F.array(*(F.lit(i / parts) for i in range(1, parts)))
 
 
-def bounds(df: DataFrame, group: list[str], order: str, rows: int = HOT_ROWS) -> DataFrame | None:
+def bounds(df: DataFrame, group: list[str], order: str, rows: int = HOT_ROWS) -> tuple[DataFrame, int] | None:
     """{group}_of and stretch_bounds of the groups of more than `rows` rows: values of the order (as doubles) that cut a
-    group into stretches of about equally many rows, at most `rows` on average; None if no group is that large."""
+    group into stretches of about equally many rows, on average at most `rows`, or as many as make `MOST_PARTS` of them; and
+    the rows of the largest group's stretches. None if no group is that large."""
     of = [F.col(k).alias(f"{k}_of") for k in group]
     names = [f"{k}_of" for k in group]
     hot = df.groupBy(*of).agg(F.count("*").alias("group_rows")).where(F.col("group_rows") > rows)
@@ -54,21 +55,22 @@ def bounds(df: DataFrame, group: list[str], order: str, rows: int = HOT_ROWS) ->
     own = F.least(F.ceil(F.col("group_rows") / rows), F.lit(parts)).cast("int")
     picked = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.get("cuts", F.greatest(F.ceil(i * parts / own).cast("int") - 1, F.lit(0))))
     found = written(found.select(*names, F.array_distinct(picked).alias("stretch_bounds")), "stretch_bounds")
-    return F.broadcast(found) if n * (64 + 8 * parts) <= BROADCAST_BYTES else found
+    return F.broadcast(found) if n * (64 + 8 * parts) <= BROADCAST_BYTES else found, max(rows, -(-most // parts))
 
 
-def stretches(df: DataFrame, group: list[str], order: str, rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
-    """df with `stretch`, and whether there is more than one: the part of its group's order (a number or an instant) that a
-    row lies in; rows without a value come first. A group of up to `rows` rows is one stretch. Rows of one value stay
+def stretches(df: DataFrame, group: list[str], order: str, rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
+    """df with `stretch`, and about how many rows the longest holds, or 0 if no group is cut: the part of its group's order
+    (a number or an instant) that a row lies in; rows without a value come first. A group of up to `rows` rows is one stretch. Rows of one value stay
     together, so a value that most rows have isn't cut."""
     found = bounds(df, group, order, rows)
     if found is None:
-        return df.withColumn("stretch", F.lit(0)), False
+        return df.withColumn("stretch", F.lit(0)), 0
+    found, longest = found
     at = F.col(order).cast("double")
     place = F.size(F.filter("stretch_bounds", lambda b: b <= at))
     stretch = F.when(F.col("stretch_bounds").isNull(), 0).when(at.isNull(), -1).otherwise(place)
     joined = df.join(found, _same(df, found, group), "left")
-    return joined.select(*(df[c] for c in df.columns), stretch.cast("int").alias("stretch")), True
+    return joined.select(*(df[c] for c in df.columns), stretch.cast("int").alias("stretch")), longest
 
 
 def medians(df: DataFrame, by: str, columns: list[str], rows: int = HOT_ROWS) -> DataFrame:

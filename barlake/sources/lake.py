@@ -34,7 +34,8 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
 
     The input is computed once. All rows of a partition go to one task, which starts a new file every `file_rows` rows; a
     partition is a security's month, so it is small. Where partitions may be large, `hot_rows` lets those with more rows be
-    written by several tasks, each a stretch of the order of about so many rows; that costs a count by keys, and a sketch of
+    written by several tasks, each a stretch of the order of about so many rows (or more, where a partition would have more
+    than `quantiles.MOST_PARTS` stretches, so that its files stay few); that costs a count by keys, and a sketch of
     the large ones. Where `most` is given, more partitions than that raise, which costs a count of the keys beforehand.
     `row_group` is a row group's size in bytes.
     """
@@ -46,8 +47,8 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
     whole = lambda k: F.when(F.spark_partition_id() < 0, F.lit(NULL_FOLDER)).otherwise(F.coalesce(F.col(k), F.lit(NULL_FOLDER)))
     out = shaped(df, keys).withColumns({k: whole(k) for k in keys})
     if hot_rows:
-        file_rows = min(file_rows, hot_rows * 5 // 4)  # a task may get several stretches
-        cut, _ = quantiles.stretches(out, keys, order, hot_rows)
+        cut, longest = quantiles.stretches(out, keys, order, hot_rows)
+        file_rows = min(file_rows, max(hot_rows, longest) * 5 // 4)  # a task may get several stretches
         out = cut.repartition(*keys, "stretch").sortWithinPartitions(*keys, order).drop("stretch")
     else:
         out = out.repartition(*keys).sortWithinPartitions(*keys, order)

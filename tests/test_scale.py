@@ -245,3 +245,12 @@ def test_many_small_ranges_share_tasks(spark, tmp_path):
     assert raw.rdd.getNumPartitions() <= 1.5 * records.TASKS  # 3,002 ranges
     got = sorted((r.path[-9:-3], r.place, r.open) for r in raw.collect())
     assert got == [(f"60000{i}", j, 10 + j) for i in range(3) for j in range(2000 + i)]
+
+
+def test_files_of_hot_partitions_stay_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST_PARTS", 8)
+    rows = [("600000", datetime(2024, 1, 1) + timedelta(minutes=i), float(i)) for i in range(8000)]
+    lake.write_lake(bars(spark, rows), str(tmp_path / "lake"), hot_rows=50)
+    files = list((tmp_path / "lake").glob("*/*/*/*/*/*.parquet"))
+    assert 4 <= len(files) <= 16  # 128 or more, if each had 62 rows at most
+    assert sorted(r.close for r in lake.scan_lake(spark, str(tmp_path / "lake"), BARS).collect()) == [float(i) for i in range(8000)]
