@@ -21,7 +21,7 @@ BENCHMARK_SCALE = STOCK_SCALE | {"volume": 1, "amount": 1}
 
 
 def _to_lake(df: DataFrame, root: str, kind: str, append: bool) -> None:
-    lake.write_lake(clean.partition_keys(df).withColumn("type", F.lit(kind)), root, append)
+    lake.write_lake(clean.partition_keys(df).withColumn("type", F.lit(kind)), root, append, lead=f"type={kind}")
 
 
 def bad_binary(spark: SparkSession, source: str, kind: str) -> DataFrame:

@@ -20,6 +20,8 @@ BROADCAST_IDS, BITMAP_WORDS = 500_000, 1 << 20
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 #: A folder of a lake in which new partitions wait to be moved in; Spark's readers pass over names that begin so.
 SWAP = "_swap-"
+#: A folder of a lake in which the first bars of a kind are written; passed over likewise.
+FIRST = "_first-"
 
 
 def shaped(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -29,7 +31,7 @@ def shaped(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.select(*(stamp(c) for c in data), *(F.col(k).cast("string") for k in keys if k in df.columns))
 
 
-def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] = KEYS, order: str = "tick", file_rows: int = FILE_ROWS, most: int = 0, codec: str = "zstd", row_group: int = ROW_GROUP, hot_rows: int = 0) -> None:
+def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] = KEYS, order: str = "tick", file_rows: int = FILE_ROWS, most: int = 0, codec: str = "zstd", row_group: int = ROW_GROUP, hot_rows: int = 0, lead: str = "") -> None:
     """Write bars into their partitions, sorted by tick: replace the partitions that they touch, or add files.
 
     The input is computed once. All rows of a partition go to one task, which starts a new file every `file_rows` rows; a
@@ -37,8 +39,11 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
     written by several tasks, each a stretch of the order of about so many rows (or more, where a partition would have more
     than `quantiles.MOST_PARTS` stretches, so that its files stay few); that costs a count by keys, and a sketch of
     the large ones. Where `most` is given, more partitions than that raise, which costs a count of the keys beforehand.
-    `row_group` is a row group's size in bytes.
+    `row_group` is a row group's size in bytes. `lead`, such as type=stock, is a folder of the lake that all bars go to, if
+    there is one. Where that folder (or the lake) isn't there yet, nothing is replaced, and the bars are written beside it
+    and moved in by one rename for each top folder: Spark's dynamic overwrite makes and moves each partition in the driver.
     """
+    spark = df.sparkSession
     keys = [k for k in keys if k in df.columns]
     if most and df.select(*keys).distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} partitions")
@@ -49,12 +54,46 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
     if hot_rows:
         cut, longest = quantiles.stretches(out, keys, order, hot_rows)
         file_rows = min(file_rows, max(hot_rows, longest) * 5 // 4)  # a task may get several stretches
-        out = cut.repartition(*keys, "stretch").sortWithinPartitions(*keys, order).drop("stretch")
+        out = cut.repartition(_tasks(spark), *keys, "stretch").sortWithinPartitions(*keys, order).drop("stretch")
     else:
-        out = out.repartition(*keys).sortWithinPartitions(*keys, order)
-    writer = out.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic")
-    writer = writer.option("maxRecordsPerFile", file_rows).option("compression", codec).option("parquet.block.size", row_group)
-    writer.partitionBy(*keys).parquet(root)
+        out = out.repartition(_tasks(spark), *keys).sortWithinPartitions(*keys, order)
+    writer = out.write.option("maxRecordsPerFile", file_rows).option("compression", codec).option("parquet.block.size", row_group).partitionBy(*keys)
+    if append or exists(spark, f"{root.rstrip('/')}/{lead}"):
+        writer.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+        return
+    folder = f"{root.rstrip('/')}/{FIRST}{uuid.uuid4().hex}"
+    try:
+        writer.parquet(folder)
+        if not _moved_in(spark, folder, root):  # someone else wrote such bars meanwhile, which these replace
+            rest = opened(spark, folder, out.schema)
+            write_lake(rest, root, False, keys, order, file_rows, 0, codec, row_group, hot_rows)
+    finally:
+        empty(spark, folder)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks of a write. A small file costs much more than its bytes, by which adaptive execution would join tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def _moved_in(spark: SparkSession, folder: str, root: str) -> bool:
+    """Move the top folders of new bars into a lake that has none of them; whether all could be moved."""
+    fs, path = _store(spark, root)
+    for name in _leaves(fs, path(folder), 1):
+        if fs.exists(path(f"{root}/{name}")) or not fs.rename(path(f"{folder}/{name}"), path(f"{root}/{name}")):
+            return False
+    return True
+
+
+def opened(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
+    """All bars of a lake. Its folders are listed by a few tasks for each core; Spark would make a task for each folder."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(int(before or 10_000), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.schema(schema).parquet(root)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def scan_lake(spark: SparkSession, root: str, schema: T.StructType | str, sids: list[str] | DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -62,7 +101,7 @@ def scan_lake(spark: SparkSession, root: str, schema: T.StructType | str, sids:
 
     The schema is given, since folder names such as sid=000001 aren't numbers. A frame of ids is a semi join.
     """
-    bars = spark.read.schema(schema).parquet(root)
+    bars = opened(spark, root, schema)
     bars = within(bars, start, end) if start is not None and end is not None else bars
     return with_sids(bars, sids)
 
@@ -123,16 +162,16 @@ def compact(spark: SparkSession, target: str, staging: str, schema: T.StructType
     recover()). Running again changes nothing. A row is known by `row_keys` (the partition's keys if not given) and tick.
     """
     recover(spark, target)
-    new = spark.read.schema(schema).parquet(staging)
+    new = opened(spark, staging, schema)
     touched = new.select(*keys).distinct()
-    old = spark.read.schema(schema).parquet(target)
+    old = opened(spark, target, schema)
     for key in keys:
         values = [r[0] for r in touched.select(key).distinct().limit(MONTHS + 1).collect()]
         old = old.where(F.col(key).isin(values)) if len(values) <= MONTHS else old
     old = old.join(touched, keys, "left_semi").select(new.columns)
     merged = merge_bars(old, new, row_keys or keys)
     merged = write_swap(spark, merged, target, keys)
-    counts = quantiles.written(spark.read.schema(schema).parquet(f"{merged}/new").groupBy(*keys).agg(F.count("*").alias("n_rows")), "counts")
+    counts = quantiles.written(opened(spark, f"{merged}/new", schema).groupBy(*keys).agg(F.count("*").alias("n_rows")), "counts")
     swap(spark, merged, target)
     if clear:
         empty(spark, staging)
@@ -238,9 +277,9 @@ def repaired(df: DataFrame) -> DataFrame:
 
 def repair_lake(spark: SparkSession, root: str, to: str, schema: T.StructType | str, keys: list[str] = KEYS) -> None:
     """Write a corrected copy of a lake in the same layout, ZSTD-compressed."""
-    write_lake(repaired(spark.read.schema(schema).parquet(root)), to, keys=keys)
+    write_lake(repaired(opened(spark, root, schema)), to, keys=keys)
 
 
 def partitions(spark: SparkSession, root: str, schema: T.StructType | str, keys: list[str] = KEYS) -> DataFrame:
     """Rows of each partition."""
-    return spark.read.schema(schema).parquet(root).groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    return opened(spark, root, schema).groupBy(*keys).agg(F.count("*").alias("n_rows"))

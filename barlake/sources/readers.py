@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import records
 
@@ -101,7 +103,9 @@ def read_csv_bars(spark: SparkSession, root: str, rename: dict[str, str], schema
     """CSV with a header, renamed, without repeated rows, or with the first row of each key in `subset`: the first of
     the first file, by path and by place in it. pattern: only files whose names it finds; skip: a frame of the paths (path)
     of files to leave out; place: keep where a row stood (see placed()), of repeated rows the first place."""
-    reader = spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true").option("pathGlobFilter", GLOBS.get(pattern, "*.csv"))
+    glob = GLOBS.get(pattern, "*.csv")
+    reader = spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    schema = schema or _header(spark, root, sep, glob)
     rows = (reader.schema(schema) if schema else reader).csv(root)
     rows = rows.where(F.col("_metadata.file_name").rlike(pattern)) if pattern else rows
     if not (subset or place or skip):
@@ -113,6 +117,17 @@ def read_csv_bars(spark: SparkSession, root: str, rename: dict[str, str], schema
     return rows if place else rows.drop("row_place")
 
 
+def _header(spark: SparkSession, root: str, sep: str, glob: str) -> StructType | None:
+    """Text columns by the header of the largest file, if there is one. Spark, left to find the header in a folder, lists
+    every file in a task of its own."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    largest = files.select("path", "length").orderBy(F.desc("length"), "path").first()
+    if largest is None:
+        return None
+    path = re.sub(r"([\\{}\[\]*?])", r"\\\1", largest["path"])  # it is no pattern
+    return spark.read.option("header", "true").option("sep", sep).csv(path).schema
+
+
 def placed(rows: DataFrame) -> DataFrame:
     """Rows as a file source has read them, with row_place: path, the block's begin in the file, and a number that grows
     along the block. It sorts as the rows stand in their files, and travels with them through joins and shuffles."""
