@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens of the same texts, on Arrow.
 
 A task encodes a slice of texts with both tokenizers and keeps each side as one flat array of ids with each document's
-offsets. Byte lengths come from the vocabularies; a cumulative sum, less its value at the document's begin, gives each
+offsets; the byte-level one is asked once for each stretch of text that its pattern cuts anyway. Byte lengths come from the vocabularies; a cumulative sum, less its value at the document's begin, gives each
 token's end, and an Acero hash join of both sides on (document, end), packed into one key, gives the borders that both share.
 Links between borders are counted with group_by in the task; Spark sums the partial counts, and brings each pair's count
 back to the documents.
@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +24,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._util import free_name, kept, ship, slices, stored, table
-from .bpe import vocabulary_path
+from .bpe import Generations, vocabulary_path
 
 BYTE_VOCAB, PIECE_VOCAB = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are brought to the documents in a broadcast: the most frequent ones, as many as this at most.
 BROADCAST_PAIRS = 1 << 19
 #: Bytes of a slice of texts, and of id pairs a task gathers before it sums its counts.
 SLICE, GATHERED = 1 << 19, 1 << 22
+#: Stretches of each of the two generations of a cache, and characters of the longest that it keeps.
+STRETCHES, KEPT_STRETCH = 150_000, 64
+#: White space, and what follows up to the next, or up to a stop after letters; then what follows such letters. Stretches of
+#: a space and letters, which are one word; and characters that may or may not be white space to the library.
+_WHITE, _LETTERS = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_STRETCH = re.compile(f"[{_WHITE}]+(?:[{_LETTERS}]+(?=[,.;:!?])|[^{_WHITE}]*)|[^{_WHITE}]+")
+_WORD = re.compile(f" [{_LETTERS}]+")
+_UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 
 class Side:
-    """One tokenizer: how it encodes, and its entries' bytes and decimal ids."""
+    """One tokenizer: how it encodes texts (all ids in a row, and how many each text has), and its entries' bytes and decimal
+    ids."""
 
     def __init__(self, encode, entries: list[bytes]) -> None:  # noqa: ANN001
         self.encode = encode
@@ -41,6 +52,62 @@ class Side:
         self.names = pa.array([str(i) for i in range(len(entries))], pa.large_string())
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, count.sum()), count
+
+
+class Stretches:
+    """A byte-level tokenizer's ids of texts, each with a space before it. Its pattern begins a new word wherever white space
+    follows something else, and where a stop follows letters, and no word depends on what stands beyond such a place; so
+    ids are asked for a stretch from one such place to the next when that is first seen. Words of letters are passed to the
+    vocabulary's merges alone. Texts with characters of which it isn't sure that they are white space are stretches as
+    a whole, and so are all texts where the pattern, a normaliser or added tokens are others."""
+
+    def __init__(self, tokenizer, config: dict, byte_names: dict[int, str], lengths: np.ndarray) -> None:  # noqa: ANN001
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer, self.known, self.lengths = tokenizer, Generations(STRETCHES), lengths
+        model, usual = config["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        same = usual.items() <= (config.get("pre_tokenizer") or {}).items() and not config.get("normalizer")
+        self.cuts = same and all(x["special"] for x in config.get("added_tokens", []))
+        self.merger = None
+        if self.cuts and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+            self.merger = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+            self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.names = byte_names | {32: " " + byte_names[32]}
+
+    def learn(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        words = [x for x in new if _WORD.fullmatch(x)] if self.merger else []
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            text = "".join(part).encode().decode("latin-1").translate(self.names)
+            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            last = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x.encode()) for x in part]))
+            data, ends = ids.tobytes(), (4 * last + 4).tolist()
+            yield from zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+        rest = [x for x in new if not _WORD.fullmatch(x)] if self.merger else new
+        for i in range(0, len(rest), 500):
+            part = rest[i : i + 500]
+            for x, one in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                yield x, np.array(one.ids, np.int32).tobytes()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = [_STRETCH.findall(" " + t) if self.cuts and not _UNSURE.search(t) else [" " + t] for t in texts]
+        stretches = list(chain.from_iterable(own))
+        found = list(map(self.known.new.get, stretches))
+        missed = dict.fromkeys(x for x, ids in zip(stretches, found, strict=True) if ids is None)
+        missed = {x: self.known.old.get(x) for x in missed}
+        missed.update(self.learn([x for x, ids in missed.items() if ids is None]))
+        for x, ids in missed.items():
+            if len(x) <= KEPT_STRETCH:
+                self.known.put(x, ids)
+        found = [missed[x] if ids is None else ids for x, ids in zip(stretches, found, strict=True)]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        return np.frombuffer(b"".join(found), np.int32), np.diff(ends[np.cumsum([0, *map(len, own)])])
+
+
 def byte_side(path: str) -> Side:
     """A byte-level tokenizer that gets a space before the text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one of many
@@ -54,10 +121,12 @@ def byte_side(path: str) -> Side:
     odd = iter(range(256, 512))
     byte_of = {chr(b) if b in plain else chr(next(odd)): b for b in range(256)}
     entries = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
-    special = {x["id"] for x in json.load(open(path, encoding="utf-8")).get("added_tokens", [])}
+    config = json.load(open(path, encoding="utf-8"))
+    special = {x["id"] for x in config.get("added_tokens", [])}
     for word, i in tokenizer.get_vocab(with_added_tokens=True).items():
         entries[i] = word.encode() if i in special else bytes(byte_of[c] for c in word)
-    return Side(lambda texts: [x.ids for x in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], entries)
+    lengths = np.array([len(x) for x in entries], np.int64)
+    return Side(Stretches(tokenizer, config, {b: c for c, b in byte_of.items()}, lengths).encode, entries)
 
 
 def piece_side(path: str) -> Side:
@@ -67,17 +136,16 @@ def piece_side(path: str) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     entries = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return Side(lambda texts: model.encode(texts, num_threads=1), entries)
+    return Side(lambda texts: _flat(model.encode(texts, num_threads=1)), entries)
 
 
 class Encoded:
     """All tokens of some texts by one tokenizer, flat: ids, each token's document and its end in the document's bytes."""
 
     def __init__(self, side: Side, texts: list[str]) -> None:
-        ids = side.encode(texts)
-        self.count = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, self.count = side.encode(texts)
         offsets = np.concatenate([[0], np.cumsum(self.count)])
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for one in ids for i in one), np.int32, offsets[-1])))
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids))
         self.ids, self.docs = pc.list_flatten(lists), pc.list_parent_indices(lists)
         total = pc.cumulative_sum(side.lengths.take(self.ids))
         self.before = np.concatenate([[0], total.to_numpy()])[offsets]  # bytes of all documents before each
