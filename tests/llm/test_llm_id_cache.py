@@ -41,3 +41,14 @@ def test_arrow_lowers_and_splits_as_python_does():
     assert all(x.isspace() == got for x, got in zip(every, space, strict=True))
     usual = [x for x in every[:0x300] if x != "İ"]
     assert pc.utf8_lower(pa.array(usual)).to_pylist() == [x.lower() for x in usual]
+
+
+def test_runs_that_come_again_after_200000_others_are_not_asked_for_again(monkeypatch):
+    cache = bpe.IdCache(bpe.vocabulary_path())
+    asked, learn = [], cache.learn
+    monkeypatch.setattr(cache, "learn", lambda runs: (asked.extend(runs), learn(runs)))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(200_000)]
+    for _ in range(2):
+        for i in range(0, len(words), 20_000):
+            cache.many([" ".join(words[i : i + 20_000])])
+    assert len(asked) == len(words)
