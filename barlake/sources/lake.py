@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,9 @@ NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 SWAP = "_swap-"
 #: A folder of a lake in which the first bars of a kind are written; passed over likewise.
 FIRST = "_first-"
+#: Types and codecs that Arrow writes to Parquet as Spark reads them; bytes of rows in memory for one group of rows there.
+PLAIN = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+CODECS, HELD = ("zstd", "snappy", "gzip", "none"), 32 << 20
 
 
 def shaped(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -42,6 +49,8 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
     `row_group` is a row group's size in bytes. `lead`, such as type=stock, is a folder of the lake that all bars go to, if
     there is one. Where that folder (or the lake) isn't there yet, nothing is replaced, and the bars are written beside it
     and moved in by one rename for each top folder: Spark's dynamic overwrite makes and moves each partition in the driver.
+    On a local file system (a mount that all share, on a cluster) Arrow writes them, as Hadoop starts a process for each
+    new folder and file there; see _written().
     """
     spark = df.sparkSession
     keys = [k for k in keys if k in df.columns]
@@ -63,7 +72,11 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
         return
     folder = f"{root.rstrip('/')}/{FIRST}{uuid.uuid4().hex}"
     try:
-        writer.parquet(folder)
+        local = _local(spark, folder)
+        if local and codec in CODECS and len(out.columns) > len(keys) and all(isinstance(f.dataType, PLAIN) for f in out.schema):
+            _written(out, local, keys, file_rows, codec, min(row_group, HELD))
+        else:
+            writer.parquet(folder)
         if not _moved_in(spark, folder, root):  # someone else wrote such bars meanwhile, which these replace
             rest = opened(spark, folder, out.schema)
             write_lake(rest, root, False, keys, order, file_rows, 0, codec, row_group, hot_rows)
@@ -71,6 +84,82 @@ def write_lake(df: DataFrame, root: str, append: bool = False, keys: list[str] =
         empty(spark, folder)
 
 
+def _local(spark: SparkSession, folder: str) -> str:
+    """A path's name on a local file system; empty on any other one."""
+    fs, path = _store(spark, folder)
+    return fs.makeQualified(path(folder)).toUri().getPath() if fs.getUri().getScheme() == "file" else ""
+
+
+def _written(df: DataFrame, folder: str, keys: list[str], file_rows: int, codec: str, held: int) -> None:
+    """Write rows that are sorted by text keys in each task to partition folders of a new local folder, as Spark names them.
+
+    A task has one file open, and holds up to `held` bytes of rows for it. A file is written beside the partitions and
+    moved to its name, which the task's number settles, so a task may run again, also while its first run goes on.
+    """
+    job, data = uuid.uuid4().hex, [c for c in df.columns if c not in keys]
+    os.makedirs(folder)  # also for no rows
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        beside = f"{folder}/_beside/{uuid.uuid4().hex}"
+        os.makedirs(f"{folder}/_beside", exist_ok=True)
+        task, writer, current, parts = TaskContext.get().partitionId(), None, None, []
+        n_rows = n_files = size = 0
+
+        def place(values: list[str]) -> str:
+            escaped = (re.sub("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", x) or NULL_FOLDER for x in values)
+            return "/".join([folder, *(f"{k}={x}" for k, x in zip(keys, escaped, strict=True))])
+
+        def flush() -> None:
+            nonlocal writer, parts, size
+            if parts:
+                table = pa.Table.from_batches(parts)
+                writer = writer or pq.ParquetWriter(beside, table.schema, compression=codec, store_schema=False)
+                writer.write_table(table)
+                parts, size = [], 0
+
+        def close() -> None:
+            nonlocal writer, n_rows, n_files
+            flush()
+            if writer:
+                writer.close()
+                to = place(current)
+                os.makedirs(to, exist_ok=True)
+                os.replace(beside, f"{to}/part-{task:05d}-{job}.c{n_files:03d}.{codec}.parquet")
+                writer, n_rows, n_files = None, 0, n_files + 1
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for k in keys:
+                new[1:] |= pc.not_equal(batch[k].slice(1), batch[k].slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(new).tolist()
+            rows = batch.select(data)
+            for begin, end in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                own = [batch[k][begin].as_py() for k in keys]
+                if own != current:
+                    close()
+                    current = own
+                while begin < end:
+                    part = rows.slice(begin, min(end - begin, file_rows - n_rows))
+                    parts.append(part)
+                    begin, n_rows, size = begin + part.num_rows, n_rows + part.num_rows, size + part.nbytes
+                    if n_rows == file_rows:
+                        close()
+                    elif size >= held:
+                        flush()
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        close()
+
+    df.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def _tasks(spark: SparkSession) -> int:
     """Tasks of a write. A small file costs much more than its bytes, by which adaptive execution would join tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
