@@ -123,8 +123,9 @@ def decode_text(df: DataFrame, columns: list[str], charset: str = "UTF-8") -> Da
     return df.withColumns({c: F.decode(F.col(c), charset) for c in columns})
 
 
-def drop_na(df: DataFrame) -> DataFrame:
-    return df.na.drop()
+def drop_na(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without null or NaN in the given columns (by default in any)."""
+    return df.na.drop(subset=columns)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
